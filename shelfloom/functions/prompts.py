@@ -49,19 +49,18 @@ def lines(col: Column) -> Column:
     return F.array_join(col, "\n", "")
 
 
-def chunk_prompt(target: Target, language: str, examples: Column, properties: Column) -> Column:
-    """One prompt for many items, answered by one ``id: text`` line per item."""
-    answers = F.transform(
-        examples, lambda e: F.concat(e["id"], F.lit(": "), e[target.example_field])
-    )
-    return fill(
-        load_template(f"{target.column}_lines"),
-        language,
-        {
-            "EXAMPLE_INPUTS": lines(F.transform(examples, lambda e: e["properties"])),
-            "EXAMPLE_OUTPUTS": lines(answers),
-            "INPUTS": lines(properties),
-        },
+def example_texts(examples: Column) -> Column:
+    """An array of examples as the texts that prompts copy: lines and sections per target."""
+
+    def outputs(field: str) -> Column:
+        return lines(F.transform(examples, lambda e: F.concat(e["id"], F.lit(": "), e[field])))
+
+    return F.struct(
+        lines(F.transform(examples, lambda e: e["properties"])).alias("inputs"),
+        outputs("title").alias("title_lines"),
+        outputs("description").alias("description_lines"),
+        example_section(examples, "title").alias("title_section"),
+        example_section(examples, "description").alias("description_section"),
     )
 
 
@@ -77,15 +76,34 @@ def example_section(examples: Column, field: str) -> Column:
     return F.when(F.size(examples) > 0, body).otherwise("")
 
 
+def chunk_prompt(target: Target, language: str, examples: Column, properties: Column) -> Column:
+    """One prompt for many items, answered by one ``id: text`` line per item.
+
+    ``examples`` are the texts of ``example_texts``.
+    """
+    return fill(
+        load_template(f"{target.column}_lines"),
+        language,
+        {
+            "EXAMPLE_INPUTS": examples["inputs"],
+            "EXAMPLE_OUTPUTS": examples[f"{target.example_field}_lines"],
+            "INPUTS": lines(properties),
+        },
+    )
+
+
 def sectioned_prompt(
     target: Target, language: str, examples: Column, inputs: Column, template: str | None = None
 ) -> Column:
-    """Instructions, examples and input under headings; ``inputs`` is the text of the last part."""
+    """Instructions, examples and input under headings.
+
+    ``examples`` are the texts of ``example_texts``, ``inputs`` is the text of the last part.
+    """
     wording = template if template is not None else load_template(target.name)
     instructions = wording.replace("{{LANGUAGE}}", language)
     return F.concat(
         F.lit(f"## System Instructions\n\n{instructions}\n\n"),
-        example_section(examples, target.example_field),
+        examples[f"{target.example_field}_section"],
         F.lit("## Input\n\n"),
         inputs,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom import schemas as S
-from shelfloom.functions.prompts import row_json
+from shelfloom.functions.prompts import example_texts, row_json
 from shelfloom.functions.text import is_json, strip
 from shelfloom.operators.prepare import split_known_ids
 
@@ -60,8 +60,8 @@ def examples_preview(examples: DataFrame, n: int = 5) -> tuple[int, DataFrame]:
     return examples.count(), examples.limit(n)
 
 
-def example_array(examples: DataFrame, max_bytes: int = MAX_EXAMPLE_BYTES) -> Column:
-    """All examples as one array, in order of id, to be used as a value in any prompt.
+def example_blocks(examples: DataFrame, max_bytes: int = MAX_EXAMPLE_BYTES) -> Column:
+    """The texts prompts copy from the examples, as a value to be used in any row.
 
     Their total size is checked first, by a sum over the table, before they meet in one row.
     """
@@ -70,4 +70,5 @@ def example_array(examples: DataFrame, max_bytes: int = MAX_EXAMPLE_BYTES) -> Co
     if total > max_bytes:
         raise ValueError(f"examples take {total} bytes, more than the {max_bytes} a prompt may hold")
     rows = F.array_sort(F.collect_list(F.struct("id", "properties", "title", "description")))
-    return examples.agg(rows.alias("examples")).scalar()
+    gathered = examples.agg(rows.alias("examples"))
+    return gathered.select(example_texts(F.col("examples")).alias("texts")).scalar()

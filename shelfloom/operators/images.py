@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions.text import image_object_name, match
 from shelfloom.operators.prepare import spread_left_join, without
+from shelfloom.session import materialise
 
 
 def image_urls(feed: DataFrame, link_col: str = "image_url") -> DataFrame:
@@ -117,6 +118,9 @@ def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
             .groupBy("_link", "_prefix")
             .agg(F.min("_end").alias("_end"))
         )
+        if level < depth:
+            # Read twice from here on: by the names that end and by the next level.
+            states = materialise(states, "name-starts")
         ended = patterns.where(F.size("segments") == level).select(
             "name", F.array_join("segments", "%").alias("_prefix")
         )

@@ -16,7 +16,7 @@ from shelfloom.functions.parsing import batch_value
 from shelfloom.functions.text import image_uri
 from shelfloom.generator import Generator
 from shelfloom.operators import merge as M
-from shelfloom.operators.examples import example_array
+from shelfloom.operators.examples import example_blocks
 from shelfloom.operators.numbering import chunk, gather_chunks, next_batch
 from shelfloom.operators.prepare import in_part, restrict_to
 from shelfloom.operators.replies import answers, debug_rows
@@ -145,7 +145,7 @@ def generate(
     the result is the union of what the passes left behind. It ends because every asked row either
     gets its text or comes one try closer to the limit.
     """
-    block = example_array(examples)
+    block = example_blocks(examples)
     if ids is not None:
         asked = restrict_to(output.select("id").distinct(), ids)
         return run_pass(output, asked, prepared, block, generator, settings)
@@ -233,7 +233,7 @@ def batch_requests(
     prepared: DataFrame, examples: DataFrame, settings: Batch
 ) -> dict[str, DataFrame]:
     """Request lines per target: id, prompt and request."""
-    block = example_array(examples)
+    block = example_blocks(examples)
     shape = request_shape(settings.model)
     requests = {}
     for name in settings.targets:

@@ -11,8 +11,6 @@ from shelfloom.session import list_paths
 
 def reply_files(spark: SparkSession, folder: str) -> list[str]:
     """Whether and which finished parts a reply folder holds."""
-    if "://" not in folder:
-        folder = f"file://{folder}"
     patterns = [f"{folder}/*.jsonl", f"{folder}/*/*.jsonl", f"{folder}/part-*"]
     return [p for pattern in patterns for p in list_paths(spark, pattern)]
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from shelfloom.workload import feed
+from shelfloom.workload import feed, prompting, results
 from shelfloom.workload.registry import QUERIES, TWINS
 
-__all__ = ["QUERIES", "TWINS", "feed"]
+__all__ = ["QUERIES", "TWINS", "feed", "prompting", "results"]

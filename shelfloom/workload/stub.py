@@ -93,7 +93,8 @@ def title_reply() -> Column:
         F.lit("\nproduct attribute keys: color | Kind | brand | size"),
         F.when(has_text, " | Material").otherwise(""),
         F.lit("\nproduct attribute values: "),
-        F.split(cell("title"), " ")[0], F.lit(" | "), F.split(cell("title"), " ")[1],
+        F.split(cell("title"), " ")[0], F.lit(" | "),
+        F.when(cell("category") == "SMALL", "Kind").otherwise(F.split(cell("title"), " ")[1]),
         F.lit(" | "), cell("brand"), F.lit(" | Size "), cell("size"),
         F.when(has_text, F.concat(F.lit(" | "), material)).otherwise(""),
         F.when(cell("category") == "SMALL", "\nreplaced keys: none").otherwise(""),
