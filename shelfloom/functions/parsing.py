@@ -68,29 +68,31 @@ def labelled_sections(reply: Column, labels: tuple[str, ...]) -> Column:
     what is left, keeps what follows it, and goes on with the lines above that place. So the work
     is linear in the length of the reply however often a label occurs. Null if a label is missing.
     """
-    start = F.struct(
+    state = F.struct(
         reply.alias("left"), F.array().cast("array<string>").alias("found"), F.lit(True).alias("ok")
     )
-    state = start
     for label in reversed(labels):
-        pattern = rf"(?is)\A(.*)\Q{label}\E\**(.*)\z"
-
-        def step(acc: Column, pattern: str = pattern) -> Column:
-            hit = acc["ok"] & acc["left"].rlike(pattern)
-            above = F.regexp_extract(acc["left"], pattern, 1)
-            section = strip(F.regexp_extract(acc["left"], pattern, 2))
-            return F.struct(
-                F.when(hit, F.regexp_extract(above, r"(?s)\A(.*\n|)", 1)).alias("left"),
-                F.when(hit, F.array_append(acc["found"], section))
-                .otherwise(acc["found"])
-                .alias("found"),
-                F.coalesce(hit, F.lit(False)).alias("ok"),
-            )
-
-        state = F.transform(F.array(state), step)[0]
-    return F.transform(
-        F.array(state), lambda s: F.when(s["ok"], F.reverse(s["found"]))
-    )[0]
+        state = F.transform(F.array(state), _section_step(label))[0]
+    return F.transform(F.array(state), lambda s: F.when(s["ok"], F.reverse(s["found"])))[0]
+
+
+def _section_step(label: str):
+    """Take the last section with this label off what is left."""
+    pattern = rf"(?is)\A(.*)\Q{label}\E\**(.*)\z"
+
+    def step(state: Column) -> Column:
+        hit = F.coalesce(state["ok"] & state["left"].rlike(pattern), F.lit(False))
+        above = F.regexp_extract(state["left"], pattern, 1)
+        section = strip(F.regexp_extract(state["left"], pattern, 2))
+        return F.struct(
+            F.when(hit, F.regexp_extract(above, r"(?s)\A(.*\n|)", 1)).alias("left"),
+            F.when(hit, F.array_append(state["found"], section))
+            .otherwise(state["found"])
+            .alias("found"),
+            hit.alias("ok"),
+        )
+
+    return step
 
 
 def parse_title_reply(reply: Column) -> Column:

@@ -299,6 +299,6 @@ def image_ingest_report(t: Tables) -> DataFrame:
     return image_report(image_links(t))
 
 
-@query("SELECT COUNT(*) AS objects, SUM(length(html)) AS bytes FROM pages")
+@query("SELECT COUNT(*) AS objects, CAST(SUM(length(html)) AS BIGINT) AS bytes FROM pages")
 def image_stats(t: Tables) -> DataFrame:
     return object_stats(_objects(t))

@@ -558,7 +558,7 @@ def parse_single_items(t: Tables) -> DataFrame:
     f"""
     WITH chunks AS ({CHUNKS.format(size=10, source="item_properties")})
     SELECT COUNT(*) AS prompts, COUNT(*) FILTER (WHERE {FAILS}) AS failed,
-           SUM(len({ANSWERED})) FILTER (WHERE NOT ({FAILS})) AS answered
+           CAST(SUM(len({ANSWERED})) FILTER (WHERE NOT ({FAILS})) AS BIGINT) AS answered
     FROM chunks
     """
 )
