@@ -36,10 +36,9 @@ BLOCK_TITLE = r"(?i)generated title:\s*([^\n]+)"
 BLOCK_DESCRIPTION = r"(?is)generated description:\s*(.*?)(?:\n\s*score:|\z)"
 
 # One item per reply, labels possibly in bold or italics.
-MARKDOWN_TITLE = r"(?is)(?:\*\*|\*)*\s*generated title\s*:\s*(?:\*\*|\*)*\s*([^\n]+)"
+MARKDOWN_TITLE = r"(?is)generated title\s*:\s*(?:\*\*|\*)*\s*([^\n]+)"
 MARKDOWN_DESCRIPTION = (
-    r"(?is)(?:\*\*|\*)*\s*generated description\s*:\s*(?:\*\*|\*)*\s*(.*?)"
-    r"(?:\n\s*(?:\*\*|\*)*\s*score:|\z)"
+    r"(?is)generated description\s*:\s*(?:\*\*|\*)*\s*(.*?)(?:\n\s*(?:\*\*|\*)*\s*score:|\z)"
 )
 TITLE_LABEL = "generated title:"
 DESCRIPTION_LABEL = "generated description:"

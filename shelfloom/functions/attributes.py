@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
-from shelfloom.functions.text import drop_possessive, strip, words
+from shelfloom.functions.text import drop_possessive, let, strip, words
 
 
 def clean_value(key: Column, value: Column, strip_comma: bool = False) -> Column:
@@ -23,19 +23,26 @@ def _present(value: Column) -> Column:
 
 def key_values(keys: Column, values: Column) -> Column:
     """Keys with the values of the same position, null where there are fewer values."""
-    return F.transform(
-        keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"))
+    return let(
+        keys,
+        values,
+        lambda ks, vs: F.transform(
+            ks, lambda k, i: F.struct(k.alias("key"), F.get(vs, i).alias("value"))
+        ),
     )
 
 
 def map_keeping_last(entries: Column) -> Column:
     """A map of key/value structs: keys in order of first appearance, the last value wins."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"],
-    )
-    return F.map_from_arrays(keys, values)
+
+    def build(es: Column) -> Column:
+        keys = F.array_distinct(F.transform(es, lambda e: e["key"]))
+        values = F.transform(
+            keys, lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)["value"]
+        )
+        return F.map_from_arrays(keys, values)
+
+    return let(entries, build)
 
 
 def gap_attributes(
@@ -47,16 +54,25 @@ def gap_attributes(
     title or a column of the item, and all keys reported as replaced.
     """
 
-    def wanted(e: Column) -> Column:
-        gap = (F.coalesce(item[e["key"]], F.lit("")) == "") & (
+    def wanted(e: Column, row: Column, originals: Column, corrected: Column) -> Column:
+        gap = (F.coalesce(row[e["key"]], F.lit("")) == "") & (
             F.coalesce(e["value"], F.lit("")) != ""
         )
-        known = ~F.array_contains(original_keys, e["key"]) | F.map_contains_key(item, e["key"])
-        corrected = F.array_contains(replaced, F.lower(e["key"])) & e["value"].isNotNull()
-        return F.coalesce((gap & known) | corrected, F.lit(False))
-
+        known = ~F.array_contains(originals, e["key"]) | F.map_contains_key(row, e["key"])
+        named = F.array_contains(corrected, F.lower(e["key"])) & e["value"].isNotNull()
+        return F.coalesce((gap & known) | named, F.lit(False))
+
+    chosen = let(
+        item,
+        original_keys,
+        replaced,
+        key_values(keys, values),
+        lambda row, originals, corrected, pairs: F.filter(
+            pairs, lambda e: wanted(e, row, originals, corrected)
+        ),
+    )
     taken = F.transform(
-        F.filter(key_values(keys, values), wanted),
+        chosen,
         lambda e: F.struct(
             e["key"].alias("key"),
             strip(clean_value(e["key"], e["value"], strip_comma=True)).alias("value"),
@@ -70,15 +86,18 @@ def title_features(
 ) -> Column:
     """Key and value of each attribute that goes into the title."""
 
-    def choose(e: Column) -> Column:
+    def choose(e: Column, row: Column) -> Column:
         if prefer_generated:
             return e["value"]
-        own = item[e["key"]]
+        own = row[e["key"]]
         return F.when(F.length(own) > 0, own).otherwise(e["value"])
 
-    chosen = F.transform(
+    chosen = let(
+        item,
         key_values(keys, values),
-        lambda e: F.struct(e["key"].alias("key"), choose(e).alias("value")),
+        lambda row, pairs: F.transform(
+            pairs, lambda e: F.struct(e["key"].alias("key"), choose(e, row).alias("value"))
+        ),
     )
     cleaned = F.transform(
         F.filter(chosen, lambda e: _present(e["value"])),
@@ -114,31 +133,33 @@ def known_words(item: Column, features: Column, allowed: list[str]) -> Column:
     extra = F.transform(
         F.filter(features, lambda e: e["key"].isin(*C.FEATURE_KEYS)), lambda e: e["value"]
     )
-    texts = F.concat(entries, extra)
-    found = F.transform(words(F.array_join(texts, " ")), F.lower)
+    found = F.transform(words(F.array_join(F.concat(entries, extra), " ")), F.lower)
     listed = [w.strip().lower() for w in allowed if w]
-    return F.array_distinct(
-        F.concat(found, F.array(*[F.lit(w) for w in listed]).cast("array<string>"))
-    )
+    return F.concat(found, F.array(*[F.lit(w) for w in listed]).cast("array<string>"))
 
 
 def new_words(title: Column, known: Column) -> Column:
     """Words of the generated title that the item does not know."""
-    return F.array_distinct(
-        F.filter(words(drop_possessive(title)), lambda w: ~F.array_contains(known, F.lower(w)))
-    )
+
+    def build(ws: Column, ks: Column) -> Column:
+        # One hash lookup over the item's words, however many there are.
+        unknown = F.array_except(F.transform(ws, F.lower), ks)
+        return let(unknown, lambda us: F.filter(ws, lambda w: F.array_contains(us, F.lower(w))))
+
+    return F.array_distinct(let(words(drop_possessive(title)), known, build))
 
 
 def removed_words(original: Column, title: Column) -> Column:
     """Words of the original title that the generated one lost."""
+
+    def build(ws: Column, kept: Column, plain: Column) -> Column:
+        return F.filter(
+            ws, lambda w: ~F.array_contains(kept, F.lower(w)) & ~F.contains(plain, w)
+        )
+
     kept = F.transform(words(drop_possessive(title)), F.lower)
     plain = F.replace(title, F.lit("'"), F.lit(""))
-    return F.array_distinct(
-        F.filter(
-            words(drop_possessive(original)),
-            lambda w: ~F.array_contains(kept, F.lower(w)) & ~F.contains(plain, w),
-        )
-    )
+    return F.array_distinct(let(words(drop_possessive(original)), kept, plain, build))
 
 
 def attribute_diff(original_keys: Column, keys: Column) -> tuple[Column, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfloom import constants as C
 from shelfloom import schemas as S
+from shelfloom.functions.text import let
 
 # Model-name prefixes whose batches use the messages shape, and its token limit.
 MESSAGES_MODELS = ("claude-",)
@@ -157,7 +158,7 @@ def decode_candidates(line: Column, default: str = "") -> Column:
             (record.isNotNull() & record["_corrupt"].isNull()).alias("readable"),
         )
 
-    return F.transform(F.array(decode_record(line)), read)[0]
+    return let(decode_record(line), read)
 
 
 def first_text(payload: Column) -> Column:
@@ -205,7 +206,7 @@ def decode_stream(reply: Column) -> Column:
         )
         return _outcome(text, error)
 
-    return F.transform(F.array(F.from_json(reply, S.STREAM_CHUNKS)), read)[0]
+    return let(F.from_json(reply, S.STREAM_CHUNKS), read)
 
 
 def decode_predict(reply: Column) -> Column:
@@ -221,7 +222,7 @@ def decode_predict(reply: Column) -> Column:
         )
         return _outcome(first["content"], error)
 
-    return F.transform(F.array(F.from_json(reply, S.PREDICT_REPLY)), read)[0]
+    return let(F.from_json(reply, S.PREDICT_REPLY), read)
 
 
 def raw_capture(text: Column, status: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
-from shelfloom.functions.text import blank_to_null, squash
+from shelfloom.functions.text import blank_to_null, let, squash
 
 
 def page_text_regex(html: Column) -> Column:
@@ -30,7 +30,7 @@ def page_text_regex(html: Column) -> Column:
         texts = F.transform(found, lambda line: F.regexp_extract(line, C.PAGE_TEXT, 1))
         return F.array_join(F.filter(texts, lambda t: t != ""), " ")
 
-    return F.transform(F.array(rest), read)[0]
+    return let(rest, read)
 
 
 def page_text(body: Column, content_type: Column) -> Column:

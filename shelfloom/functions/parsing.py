@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
-from shelfloom.functions.text import blank_to_null, match, strip
+from shelfloom.functions.text import blank_to_null, let, match, strip
 
 
 def reply_lines(reply: Column, ids: Column) -> Column:
@@ -72,24 +72,26 @@ def labelled_sections(reply: Column, labels: tuple[str, ...]) -> Column:
         reply.alias("left"), F.array().cast("array<string>").alias("found"), F.lit(True).alias("ok")
     )
     for label in reversed(labels):
-        state = F.transform(F.array(state), _section_step(label))[0]
-    return F.transform(F.array(state), lambda s: F.when(s["ok"], F.reverse(s["found"])))[0]
+        state = let(state, _section_step(label))
+    return let(state, lambda s: F.when(s["ok"], F.reverse(s["found"])))
 
 
 def _section_step(label: str):
     """Take the last section with this label off what is left."""
-    pattern = rf"(?is)\A(.*)\Q{label}\E\**(.*)\z"
+    upto_label = rf"(?is)\A.*\Q{label}\E\**"
 
     def step(state: Column) -> Column:
-        hit = F.coalesce(state["ok"] & state["left"].rlike(pattern), F.lit(False))
-        above = F.regexp_extract(state["left"], pattern, 1)
-        section = strip(F.regexp_extract(state["left"], pattern, 2))
-        return F.struct(
-            F.when(hit, F.regexp_extract(above, r"(?s)\A(.*\n|)", 1)).alias("left"),
-            F.when(hit, F.array_append(state["found"], section))
-            .otherwise(state["found"])
-            .alias("found"),
-            hit.alias("ok"),
+        return let(
+            state["left"],
+            state["found"],
+            F.when(state["ok"], F.regexp_extract(state["left"], upto_label, 0)).otherwise(""),
+            lambda left, found, head: F.struct(
+                F.regexp_extract(head, r"(?s)\A.*\n", 0).alias("left"),
+                F.array_append(
+                    found, strip(F.substring(left, F.length(head) + 1, F.length(left)))
+                ).alias("found"),
+                F.coalesce(head != "", F.lit(False)).alias("ok"),
+            ),
         )
 
     return step
@@ -118,7 +120,7 @@ def parse_title_reply(reply: Column) -> Column:
             ).alias("error"),
         )
 
-    return F.transform(F.array(F.coalesce(full, short)), read)[0]
+    return let(F.coalesce(full, short), read)
 
 
 def parse_description_reply(reply: Column) -> Column:
@@ -138,7 +140,7 @@ def parse_description_reply(reply: Column) -> Column:
             ).alias("error"),
         )
 
-    return F.transform(F.array(labelled_sections(reply, C.DESCRIPTION_REPLY_KEYS)), read)[0]
+    return let(labelled_sections(reply, C.DESCRIPTION_REPLY_KEYS), read)
 
 
 def batch_value(text: Column, column: str, strict: bool = False) -> Column:

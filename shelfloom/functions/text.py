@@ -23,8 +23,23 @@ def blank_to_null(col: Column) -> Column:
 
 
 def match(col: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null where nothing matches."""
-    return F.when(col.rlike(pattern), F.regexp_extract(col, pattern, group))
+    """The group of the first match, null where nothing matches.
+
+    The pattern is searched a second time only where the group came out empty.
+    """
+    found = F.regexp_extract(col, pattern, group)
+    return F.coalesce(F.nullif(found, F.lit("")), F.when(col.rlike(pattern), F.lit("")))
+
+
+def let(*values_and_body) -> Column:
+    """``let(a, b, body)``: ``body(a, b)`` with each value computed once per row.
+
+    An expression that a lambda refers to is otherwise computed again for every element.
+    """
+    *values, body = values_and_body
+    names = [f"v{i}" for i in range(len(values))]
+    packed = F.struct(*[v.alias(n) for v, n in zip(values, names)])
+    return F.transform(F.array(packed), lambda s: body(*[s[n] for n in names]))[0]
 
 
 def words(col: Column) -> Column:

@@ -9,6 +9,7 @@ from shelfloom import schemas as S
 from shelfloom.functions.prompts import example_texts, row_json
 from shelfloom.functions.text import is_json, strip
 from shelfloom.operators.prepare import split_known_ids
+from shelfloom.session import materialise
 
 # Examples are copied into every prompt, so they have to fit into one; this is far above any model.
 MAX_EXAMPLE_BYTES = 8 * 1024 * 1024
@@ -63,12 +64,14 @@ def examples_preview(examples: DataFrame, n: int = 5) -> tuple[int, DataFrame]:
 def example_blocks(examples: DataFrame, max_bytes: int = MAX_EXAMPLE_BYTES) -> Column:
     """The texts prompts copy from the examples, as a value to be used in any row.
 
-    Their total size is checked first, by a sum over the table, before they meet in one row.
+    The examples are stored once and their total size is checked, by a sum over the table, before
+    they meet in one row; prompts then read the stored rows however the examples were chosen.
     """
-    lengths = [F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in examples.columns]
-    total = examples.agg(F.coalesce(F.sum(sum(lengths, F.lit(0))), F.lit(0))).first()[0]
+    stored = materialise(examples.select("id", "properties", "title", "description"), "examples")
+    lengths = [F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in stored.columns]
+    total = stored.agg(F.coalesce(F.sum(sum(lengths, F.lit(0))), F.lit(0))).first()[0]
     if total > max_bytes:
         raise ValueError(f"examples take {total} bytes, more than the {max_bytes} a prompt may hold")
     rows = F.array_sort(F.collect_list(F.struct("id", "properties", "title", "description")))
-    gathered = examples.agg(rows.alias("examples"))
+    gathered = stored.agg(rows.alias("examples"))
     return gathered.select(example_texts(F.col("examples")).alias("texts")).scalar()

@@ -62,9 +62,8 @@ def with_image_text(
     match several images.
     """
     links = feed.select(F.col(link_col).alias("_link")).where("_link is not null").distinct()
-    names = images.select(uri_name(F.col("uri")).alias("name"), "description").where(
-        "name is not null"
-    )
+    named = images.select(uri_name(F.col("uri")).alias("name"), "description")
+    names = materialise(named.where("name is not null"), "image-names")
     pairs = names_in_links(links, names.select("name").distinct())
     texts = pairs.join(names, "name").select(
         F.col("_link").alias(link_col), F.col("description").alias("image_description")

@@ -13,12 +13,12 @@ from shelfloom import schemas as S
 from shelfloom.functions import prompts as P
 from shelfloom.functions.envelopes import batch_request, decode_candidates, request_shape
 from shelfloom.functions.parsing import batch_value
-from shelfloom.functions.text import image_uri
+from shelfloom.functions.text import image_uri, part_of
 from shelfloom.generator import Generator
 from shelfloom.operators import merge as M
 from shelfloom.operators.examples import example_blocks
 from shelfloom.operators.numbering import chunk, gather_chunks, next_batch
-from shelfloom.operators.prepare import in_part, restrict_to
+from shelfloom.operators.prepare import in_part
 from shelfloom.operators.replies import answers, debug_rows
 from shelfloom.session import materialise
 from shelfloom.sources.records import read_replies, reply_files
@@ -48,21 +48,17 @@ class Passes:
     per_target_tries: bool = False
 
 
-def pending(output: DataFrame, settings: Passes) -> Column:
-    """Rows that still need the text and have tries left."""
-    mine = F.lit(True)
-    if settings.parts is not None:
-        from shelfloom.functions.text import part_of
-
-        mine = part_of(F.col("id"), settings.parts) == settings.part
+def pending(settings: Passes) -> Column:
+    """Whether a row still needs the text and has tries left."""
     tries = F.coalesce(F.col("tries"), F.lit(0))
-    return F.coalesce(
-        F.col(settings.target.column).isNull() & (tries < settings.max_tries) & mine, F.lit(False)
-    )
+    waiting = F.col(settings.target.column).isNull() & (tries < settings.max_tries)
+    if settings.parts is not None:
+        waiting = waiting & (part_of(F.col("id"), settings.parts) == settings.part)
+    return F.coalesce(waiting, F.lit(False))
 
 
-def join_pending(asked: DataFrame, prepared: DataFrame) -> DataFrame:
-    """The asked ids with their properties (id, properties, image_url).
+def join_pending(output: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Output rows with the properties of their items, null where the input lacks them.
 
     One row per id: copies of an item are reduced within each task before the shuffle that the join
     needs anyway, so a heavily repeated id arrives as one row.
@@ -71,7 +67,7 @@ def join_pending(asked: DataFrame, prepared: DataFrame) -> DataFrame:
     image = F.col("image_url") if "image_url" in columns else F.lit(None).cast("string")
     rows = prepared.select("id", P.row_json(columns).alias("properties"), image.alias("image_url"))
     single = rows.groupBy("id").agg(F.min(F.struct("properties", "image_url")).alias("_row"))
-    return asked.select("id").join(single, "id").select("id", "_row.*")
+    return output.join(single.select("id", "_row.*"), "id", "left")
 
 
 def build_prompts(rows: DataFrame, examples: Column, settings: Passes) -> DataFrame:
@@ -107,20 +103,23 @@ def build_prompts(rows: DataFrame, examples: Column, settings: Passes) -> DataFr
     )
 
 
+# What active rows carry along besides the columns of the output table.
+CARRIED = ("properties", "image_url")
+
+
 def run_pass(
     active: DataFrame,
     asked: DataFrame,
-    prepared: DataFrame,
     examples: Column,
     generator: Generator,
     settings: Passes,
 ) -> DataFrame:
-    """Ask for the given ids once and merge the answers into the active rows.
+    """Ask for some rows once and merge the answers into the active rows.
 
     The replies are written out before they are read again for parsing and for the raw capture, so
     the model is called once per prompt. Every asked id counts a try, answered or not.
     """
-    prompts = build_prompts(join_pending(asked, prepared), examples, settings)
+    prompts = build_prompts(asked.select("id", *CARRIED), examples, settings)
     generated = materialise(
         generator.generate(prompts).select("chunk_id", "ids", "reply", "status"), "replies"
     )
@@ -131,6 +130,12 @@ def run_pass(
     return M.merge_matched(active, results, column)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Each id once; several rows of an id are reduced within each task first."""
+    first = F.min(F.struct(*CARRIED)).alias("_row")
+    return rows.groupBy("id").agg(first).select("id", "_row.*")
+
+
 def generate(
     output: DataFrame,
     prepared: DataFrame,
@@ -141,43 +146,63 @@ def generate(
 ) -> DataFrame:
     """The output table after all passes, or after one pass over explicit ids.
 
-    Rows that are done leave the loop: each pass rewrites only the rows that are still active, and
-    the result is the union of what the passes left behind. It ends because every asked row either
-    gets its text or comes one try closer to the limit.
+    Input and output meet once, before the first pass. Rows that are done leave the loop: a pass
+    reads and rewrites only the rows that are still active, which carry their properties along, and
+    the result is the union of what the passes left behind. The loop ends because every asked row
+    either gets its text or comes one try closer to the limit.
     """
-    block = example_blocks(examples)
-    if ids is not None:
-        asked = restrict_to(output.select("id").distinct(), ids)
-        return run_pass(output, asked, prepared, block, generator, settings)
+    columns = output.columns
     if settings.per_target_tries:
         # Tries of other targets do not count: start from zero and add them back at the end.
-        before = output.select("id", F.col("tries").alias("_before"))
         fresh = output.withColumn("tries", F.lit(0).cast("long"))
-        done = generate(
-            fresh, prepared, examples, generator, replace(settings, per_target_tries=False)
-        )
+        single = replace(settings, per_target_tries=False)
+        done = generate(fresh, prepared, examples, generator, single, ids)
+        before = output.groupBy("id").agg(F.max("tries").alias("_before"))
         total = F.col("tries") + F.coalesce("_before", F.lit(0).cast("long"))
-        return done.join(before, "id").withColumn("tries", total).select(*output.columns)
-    known = prepared.select("id").distinct().withColumn("_known", F.lit(True))
-    marked = output.join(known, "id", "left").withColumn(
-        "_active", pending(output, settings) & F.col("_known").isNotNull()
-    )
-    state = materialise(marked.drop("_known"), "output")
-    settled = [state.where(~F.col("_active")).drop("_active")]
-    active = state.where("_active").drop("_active")
+        return done.join(before, "id").withColumn("tries", total).select(*columns)
+
+    block = example_blocks(examples)
+    joined = join_pending(output, prepared)
+    if ids is None:
+        wanted = pending(settings)
+    else:
+        listed = ids.select("id").distinct().withColumn("_listed", F.lit(True))
+        joined = joined.join(listed, "id", "left")
+        wanted = F.col("_listed").isNotNull()
+    # Ids the input does not know are never asked, so they are done from the start.
+    active_now = wanted & F.col("properties").isNotNull()
+    state = _split(joined.withColumn("_active", active_now), columns)
+    settled, active = [_settled(state, columns)], _active(state)
+    repeated = not active.groupBy("id").count().where("count > 1").isEmpty()
     number = 0
     while not active.isEmpty():
-        asked = next_batch(active.select("id").distinct(), settings.batch_rows, number)
+        asked = _once(active) if repeated else active
         if settings.batch_rows is not None:
-            asked = materialise(asked, "asked")
-        merged = run_pass(active, asked, prepared, block, generator, settings)
-        state = materialise(merged.withColumn("_active", pending(merged, settings)), "output")
-        settled.append(state.where(~F.col("_active")).drop("_active"))
-        active = state.where("_active").drop("_active")
+            asked = materialise(next_batch(asked, settings.batch_rows, number), "asked")
+        merged = run_pass(active, asked, block, generator, settings)
+        if ids is not None:
+            return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
+        state = _split(merged.withColumn("_active", pending(settings)), columns)
+        settled.append(_settled(state, columns))
+        active = _active(state)
         number += 1
     return reduce(DataFrame.unionByName, settled)
 
 
+def _split(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Write rows out, the active ones apart from the others and alone with their properties."""
+    carried = [F.when(F.col("_active"), F.col(c)).alias(c) for c in CARRIED]
+    return materialise(rows.select(*columns, *carried, "_active"), "output", by="_active")
+
+
+def _active(state: DataFrame) -> DataFrame:
+    return state.where("_active").drop("_active")
+
+
+def _settled(state: DataFrame, columns: list[str]) -> DataFrame:
+    return state.where("not _active").select(*columns)
+
+
 def generate_parts(
     output: DataFrame,
     prepared: DataFrame,

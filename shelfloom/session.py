@@ -42,18 +42,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written rows.
 
     Used where a step must run exactly once (a model call) or where its result feeds several
     branches. The files outlive lost executors, keep column pruning, and carry sizes that the
-    optimizer can use to choose a join.
+    optimizer can use to choose a join. ``by`` names a column to lay the files out by, so that
+    readers of one value skip the others.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when its files give fewer tasks than there are cores.
+
+    For row-wise heavy work on small tables; large tables have enough splits and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a glob on whatever file system the pattern names, sorted."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)

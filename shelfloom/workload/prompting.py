@@ -302,7 +302,7 @@ def _reply_lines(t: Tables) -> DataFrame:
     The label of a document decides how its record looks: the id at the top, under ``instance`` or
     as ``custom_id``; the payload as an object, as an encoded string, empty, or cut off.
     """
-    rows = t.read("documents").join(t.read("labels"), "doc_id", "left")
+    rows = t.rows("documents").join(t.read("labels"), "doc_id", "left")
     key = F.col("doc_id").cast("string")
     part = F.array(F.struct(F.col("text")))
     content = F.struct(part.alias("parts"))
@@ -389,7 +389,7 @@ def decode_streams(t: Tables) -> DataFrame:
     """
 )
 def decode_predictions(t: Tables) -> DataFrame:
-    rows = t.read("documents").join(t.read("labels"), "doc_id", "left")
+    rows = t.rows("documents").join(t.read("labels"), "doc_id", "left")
     blocked = F.struct((F.coalesce("toxic", F.lit(0)) == 1).alias("blocked"))
     content = F.when(F.col("lang") == "es", "").otherwise(F.col("text"))
     prediction = F.struct(content.alias("content"), blocked.alias("safetyAttributes"))
@@ -478,7 +478,7 @@ def parse_description_blocks(t: Tables) -> DataFrame:
 )
 def parse_free_lines(t: Tables) -> DataFrame:
     """Lines of real text, with colons where commas stood."""
-    lines = t.read("conversations").select(
+    lines = t.rows("conversations").select(
         "conv_id", "turn", F.explode(F.split(F.replace("text", F.lit(","), F.lit(":")), "\n")).alias("line")
     )
     return lines.select("conv_id", "turn", "line", R.parse_line(F.col("line")).alias("p")).select(
@@ -528,7 +528,7 @@ def parse_markdown(t: Tables) -> DataFrame:
         .when(lang == "es", F.concat(F.lit("generated description:\n"), body))
         .otherwise(F.concat(body, F.lit("\ngenerated description: "), body, F.lit("\nScore: 4")))
     )
-    return t.read("documents").select(
+    return t.rows("documents").select(
         "doc_id",
         R.parse_title_markdown(title).alias("title"),
         R.parse_description_markdown(description).alias("description"),

@@ -37,7 +37,7 @@ from shelfloom.workload.stub import (
     stub_generator,
     title_reply,
 )
-from shelfloom.workload.views import Tables
+from shelfloom.workload.views import PROPERTIES, Tables
 
 OUTPUT_COLUMNS = [f.name for f in S.OUTPUT.fields if f.name != "updated_at"]
 
@@ -154,11 +154,17 @@ _TITLES_SQL = f"""
 """
 
 
-def _run(t: Tables, target: S.Target, layout: str = "lines", output=None, ids=None, **settings):
+def _stored_feed(t: Tables) -> DataFrame:
+    """The filtered feed as a table of its own, from which input and output are made."""
+    return materialise(t.filtered().select("id", *PROPERTIES), "filtered")
+
+
+def _run(t: Tables, target: S.Target, layout: str = "lines", ids=None, **settings) -> DataFrame:
     run = generation.Passes(target=target, layout=layout, **{"buckets": 8, **settings})
+    feed = _stored_feed(t)
     return generation.generate(
-        t.output() if output is None else output,
-        t.prepared(),
+        M.init_output(feed),
+        feed,
         t.examples(),
         stub_generator(target.column, layout),
         run,
@@ -225,8 +231,9 @@ def generate_ids(t: Tables) -> DataFrame:
 def generate_parts(t: Tables) -> DataFrame:
     """Four parts, each on its own; the buckets lie within the parts, so the result is the same."""
     run = generation.Passes(target=S.TITLES, parts=4, buckets=8)
+    feed = _stored_feed(t)
     done = generation.generate_parts(
-        t.output(), t.prepared(), t.examples(), stub_generator("title", "lines"), run
+        M.init_output(feed), feed, t.examples(), stub_generator("title", "lines"), run
     )
     return done.select("id", "title", "tries")
 
@@ -250,14 +257,15 @@ _END_TO_END = f"""
 )
 def end_to_end(t: Tables) -> DataFrame:
     """Band, page text, examples, titles, descriptions and the supplemental feed."""
-    feed = t.filtered().select("id", "title", "description", "brand", "category", "size", "color")
-    prepared = complete_input(feed, t.web())
+    feed = _stored_feed(t)
+    prepared = materialise(complete_input(feed, t.web()), "prepared")
+    examples = materialise(t.examples(), "examples")
     output = M.init_output(feed)
     for target in (S.TITLES, S.DESCRIPTIONS):
         output = generation.generate(
             output,
             prepared,
-            t.examples(),
+            examples,
             stub_generator(target.column, "lines"),
             generation.Passes(target=target, buckets=8),
         )
@@ -754,7 +762,7 @@ def _clean(expression: str) -> str:
     """Tags removed, entities read and white space collapsed."""
     plain = f"regexp_replace({expression}, '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        plain = f"replace({plain}, '{entity}', '{char}')"
+        plain = f"regexp_replace({plain}, '{entity}?', '{char}', 'g')"
     return rf"trim(regexp_replace({plain}, '\s+', ' ', 'g'))"
 
 

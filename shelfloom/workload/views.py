@@ -10,6 +10,7 @@ from shelfloom.functions.prompts import row_json
 from shelfloom.operators.examples import examples_by_metric
 from shelfloom.operators.merge import init_output
 from shelfloom.operators.prepare import metric_band
+from shelfloom.session import spread_small
 
 PROPERTIES = ["title", "description", "brand", "category", "size", "color"]
 FILTERED = ["id", *PROPERTIES, "link", "image_link"]
@@ -24,9 +25,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, name: str) -> DataFrame:
+        """A table whose rows get heavy work one by one."""
+        return spread_small(self.read(name))
+
     def raw(self) -> DataFrame:
         """One row per part; documents and pages cover some of them, so nulls occur."""
-        part = self.read("part").select(
+        part = self.rows("part").select(
             F.col("p_partkey").alias("_key"),
             F.col("p_partkey").cast("string").alias("id"),
             F.col("p_name").alias("title"),
@@ -61,13 +66,13 @@ class Tables:
         return metric_band(self.raw(), "clicks").select(*FILTERED)
 
     def web(self) -> DataFrame:
-        return self.read("pages").select(
+        return self.rows("pages").select(
             F.col("page_id").cast("string").alias("id"),
             page_text_regex(F.col("html")).alias("content"),
         )
 
     def pages(self) -> DataFrame:
-        return self.read("pages").select(F.col("page_id").cast("string").alias("id"), "url", "html")
+        return self.rows("pages").select(F.col("page_id").cast("string").alias("id"), "url", "html")
 
     def images(self) -> DataFrame:
         """One stored image per file name of the feed."""
