@@ -66,35 +66,31 @@ def labelled_sections(reply: Column, labels: tuple[str, ...]) -> Column:
 
     The reading goes from the last label backwards: each step takes the last place of its label in
     what is left, keeps what follows it, and goes on with the lines above that place. So the work
-    is linear in the length of the reply however often a label occurs. Null if a label is missing.
+    is linear in the length of the reply however often a label occurs. Null if a label is missing:
+    nothing is left then for the steps that follow.
     """
-    state = F.struct(
-        reply.alias("left"), F.array().cast("array<string>").alias("found"), F.lit(True).alias("ok")
+    heads = F.array(*[F.lit(rf"(?is)\A.*\Q{label}\E\**") for label in reversed(labels)])
+    start = F.struct(
+        F.coalesce(reply, F.lit("")).alias("left"),
+        F.array().cast("array<string>").alias("found"),
+        F.lit(False).alias("ok"),
     )
-    for label in reversed(labels):
-        state = let(state, _section_step(label))
-    return let(state, lambda s: F.when(s["ok"], F.reverse(s["found"])))
 
-
-def _section_step(label: str):
-    """Take the last section with this label off what is left."""
-    upto_label = rf"(?is)\A.*\Q{label}\E\**"
-
-    def step(state: Column) -> Column:
-        return let(
-            state["left"],
-            state["found"],
-            F.when(state["ok"], F.regexp_extract(state["left"], upto_label, 0)).otherwise(""),
-            lambda left, found, head: F.struct(
+    def step(state: Column, pattern: Column) -> Column:
+        def cut(head: Column) -> Column:
+            left = state["left"]
+            section = strip(F.substring(left, F.length(head) + 1, F.length(left)))
+            return F.struct(
                 F.regexp_extract(head, r"(?s)\A.*\n", 0).alias("left"),
-                F.array_append(
-                    found, strip(F.substring(left, F.length(head) + 1, F.length(left)))
-                ).alias("found"),
-                F.coalesce(head != "", F.lit(False)).alias("ok"),
-            ),
-        )
+                F.array_append(state["found"], section).alias("found"),
+                (head != "").alias("ok"),
+            )
 
-    return step
+        return let(F.regexp_substr(state["left"], pattern), lambda h: cut(F.coalesce(h, F.lit(""))))
+
+    return F.aggregate(
+        heads, start, step, lambda state: F.when(state["ok"], F.reverse(state["found"]))
+    )
 
 
 def parse_title_reply(reply: Column) -> Column:

@@ -82,7 +82,8 @@ def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
     third of all names share costs no more than one row per link.
     """
     segments = F.filter(F.split("name", "%"), lambda s: s != "")
-    # A backslash would be an escape there; object names in links are taken literally.
+    # A backslash would be an escape there; object names in links are taken literally. A name
+    # made of ``%`` alone says nothing about a link and is left out.
     patterns = names.select("name", segments.alias("segments")).where(F.size("segments") > 0)
     depth = patterns.agg(F.max(F.size("segments"))).first()[0] or 0
     states = links.select("_link", F.lit("").alias("_prefix"), F.lit(0).alias("_end"))
