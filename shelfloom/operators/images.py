@@ -10,6 +10,10 @@ from shelfloom.operators.prepare import spread_left_join, without
 from shelfloom.session import materialise
 
 
+# Distinct segment shapes that are handed to every link as one value.
+MAX_SHAPES = 10_000
+
+
 def image_urls(feed: DataFrame, link_col: str = "image_url") -> DataFrame:
     """The distinct image links of a feed."""
     return feed.select(F.col(link_col).alias("url")).where("url is not null").distinct()
@@ -53,7 +57,10 @@ def uri_name(col: Column) -> Column:
 
 
 def with_image_text(
-    feed: DataFrame, images: DataFrame, link_col: str = "image_link"
+    feed: DataFrame,
+    images: DataFrame,
+    link_col: str = "image_link",
+    max_shapes: int = MAX_SHAPES,
 ) -> DataFrame:
     """The feed with the description of every image whose file name occurs in the item's link.
 
@@ -64,14 +71,16 @@ def with_image_text(
     links = feed.select(F.col(link_col).alias("_link")).where("_link is not null").distinct()
     named = images.select(uri_name(F.col("uri")).alias("name"), "description")
     names = materialise(named.where("name is not null"), "image-names")
-    pairs = names_in_links(links, names.select("name").distinct())
+    pairs = names_in_links(links, names.select("name").distinct(), max_shapes)
     texts = pairs.join(names, "name").select(
         F.col("_link").alias(link_col), F.col("description").alias("image_description")
     )
     return spread_left_join(feed, texts, link_col)
 
 
-def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
+def names_in_links(
+    links: DataFrame, names: DataFrame, max_shapes: int = MAX_SHAPES
+) -> DataFrame:
     """All pairs of a link and a name it contains, found by equality joins.
 
     A name is cut at its ``%`` into segments that must follow one another. All segments of one level
@@ -80,10 +89,19 @@ def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
     keeps, per link and matched beginning, the earliest end, which is all that the next one needs;
     beginnings shared by many names are one row. Nothing is compared pairwise, so a beginning that a
     third of all names share costs no more than one row per link.
+
+    The number of shapes is counted first. Where the places of ``_`` vary too much, names are cut at
+    ``_`` as well, which leaves shapes bounded by the length of a name; the pairs found then are
+    checked against the full pattern.
     """
-    segments = F.filter(F.split("name", "%"), lambda s: s != "")
     # A backslash would be an escape there; object names in links are taken literally. A name
-    # made of ``%`` alone says nothing about a link and is left out.
+    # made of wildcards alone says nothing about a link and is left out.
+    segments = F.filter(F.split("name", "%"), lambda s: s != "")
+    masked = names.select(F.explode(segments).alias("segment"))
+    shape_count = masked.select(_shape(F.col("segment")).alias("s")).distinct().count()
+    loose = shape_count > max_shapes
+    if loose:
+        segments = F.filter(F.split("name", "[%_]"), lambda s: s != "")
     patterns = names.select("name", segments.alias("segments")).where(F.size("segments") > 0)
     depth = patterns.agg(F.max(F.size("segments"))).first()[0] or 0
     states = links.select("_link", F.lit("").alias("_prefix"), F.lit(0).alias("_end"))
@@ -130,6 +148,8 @@ def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
     result = matched[0]
     for more in matched[1:]:
         result = result.unionByName(more)
+    if loose:
+        result = result.where(r"_link LIKE concat('%', replace(name, '\\', '\\\\'), '%')")
     return result
 
 

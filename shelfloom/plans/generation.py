@@ -162,6 +162,8 @@ def generate(
         return done.join(before, "id").withColumn("tries", total).select(*columns)
 
     block = example_blocks(examples)
+    if ids is None:
+        prepared = in_part(prepared, settings.parts, settings.part)
     joined = join_pending(output, prepared)
     if ids is None:
         wanted = pending(settings)
@@ -278,12 +280,13 @@ def write_requests(requests: dict[str, DataFrame], folder: str) -> None:
 
 def decoded(replies: DataFrame, target: S.Target, strict: bool = False) -> DataFrame:
     """id, text and raw of reply lines; lines that cannot be read and rows without id go."""
-    fields = replies.select(decode_candidates(F.col("value")).alias("r")).where("r.readable")
-    return fields.select(
-        F.col("r.id").alias("id"),
-        batch_value(F.col("r.text"), target.column, strict).alias("text"),
-        F.col("r.raw").alias("raw"),
-    ).where("id is not null")
+    readable = F.filter(
+        F.array(decode_candidates(F.col("value"))), lambda r: r["readable"] & r["id"].isNotNull()
+    )
+    # As a generator, so that a line is decoded once and not again by a pushed-down filter.
+    return replies.select(F.inline(readable)).select(
+        "id", batch_value(F.col("text"), target.column, strict).alias("text"), "raw"
+    )
 
 
 def load_and_merge(

@@ -349,35 +349,27 @@ def unreadable_replies(t: Tables) -> DataFrame:
 
 @query(
     """
-    SELECT conv_id,
-           CASE WHEN bool_or(role = 'system') OR string_agg(text, '') = '' THEN NULL
-                ELSE string_agg(text, '' ORDER BY turn) END AS text,
-           CASE WHEN bool_or(role = 'system') THEN 'blocked by safety filters' END AS error
-    FROM conversations GROUP BY conv_id
+    SELECT conv_id, turn,
+           CASE WHEN role <> 'system' THEN nullif(replace(text, chr(10), ''), '') END AS text,
+           CASE WHEN role = 'system' THEN 'blocked by safety filters' END AS error
+    FROM conversations
     """
 )
 def decode_streams(t: Tables) -> DataFrame:
-    """Conversations as streamed replies; those with a system turn count as blocked."""
+    """Turns as replies streamed line by line; those of the system count as blocked."""
     reason = F.when(F.col("role") == "system", "SAFETY").otherwise("STOP")
-    part = F.array(F.struct(F.col("text")))
-    candidate = F.struct(
-        reason.alias("finishReason"), F.struct(part.alias("parts")).alias("content")
-    )
-    chunk_row = F.struct("turn", F.array(candidate).alias("candidates"))
-    replies = (
-        t.read("conversations")
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(chunk_row)).alias("chunks"))
-        .select(
-            "conv_id",
-            F.to_json(
-                F.transform("chunks", lambda c: F.struct(c["candidates"].alias("candidates")))
-            ).alias("reply"),
+
+    def piece(line):
+        part = F.array(F.struct(line.alias("text")))
+        candidate = F.struct(
+            reason.alias("finishReason"), F.struct(part.alias("parts")).alias("content")
         )
-    )
-    return replies.select("conv_id", E.decode_stream(F.col("reply")).alias("r")).select(
-        "conv_id", "r.text", "r.error"
-    )
+        return F.struct(F.array(candidate).alias("candidates"))
+
+    reply = F.to_json(F.transform(F.split("text", "\n"), piece))
+    return t.read("conversations").select(
+        "conv_id", "turn", E.decode_stream(reply).alias("r")
+    ).select("conv_id", "turn", "r.text", "r.error")
 
 
 @query(
