@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.functions.text import embed_for_feed, highlight
-from shelfloom.operators.prepare import spread_left_join
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,7 @@ def supplemental_feed(source: DataFrame, flags: Flags = Flags(), mode: str = "an
 def full_feed(raw: DataFrame, output: DataFrame, flags: Flags = Flags()) -> DataFrame:
     """The whole feed with generated texts where there are any, original ones elsewhere."""
     texts = output.select("id", *[F.col(c).alias(f"_{c}") for c in flags.chosen()])
-    joined = spread_left_join(raw, texts, "id")
+    joined = raw.join(texts, "id", "left")
     replaced = {"title": flags.title, "description": flags.description}
     replaced["product_highlight"] = flags.highlights
     columns = [F.col(f"`{c}`") for c in raw.columns if not replaced.get(c, False)]

@@ -107,16 +107,13 @@ def metric_band(
     The quantiles are one mergeable sketch per task. ``accuracy`` bounds the rank error at
     rows / accuracy, so they are exact for fewer rows than that.
     """
-    sketch = feed.agg(
-        F.percentile_approx(F.col(metric), F.array(F.lit(0.0), F.lit(0.99)), accuracy).alias("q")
-    )
-    bounds = sketch.select(
-        F.struct(
-            (F.col("q")[0] + low * (F.col("q")[1] - F.col("q")[0])).alias("low"),
-            (F.col("q")[0] + high * (F.col("q")[1] - F.col("q")[0])).alias("high"),
-        ).alias("b")
-    ).scalar()
-    return feed.where(F.col(metric).between(bounds["low"], bounds["high"]))
+    quantiles = F.percentile_approx(F.col(metric), F.array(F.lit(0.0), F.lit(0.99)), accuracy)
+    found = feed.agg(quantiles.alias("q")).first()["q"]
+    if not found:
+        return feed.where(F.lit(False))
+    least, span = found[0], found[1] - found[0]
+    # Two numbers, so that the filter reaches the scan as constants.
+    return feed.where(F.col(metric).between(least + low * span, least + high * span))
 
 
 def in_part(df: DataFrame, parts: int | None, part: int | None, id_col: str = "id") -> DataFrame:
@@ -131,7 +128,7 @@ def with_web_text(feed: DataFrame, web: DataFrame | None, id_col: str = "id") ->
     if web is None:
         return feed.withColumn("webpage_content", F.lit(None).cast("string"))
     texts = web.select(F.col("id").alias(id_col), F.col("content").alias("webpage_content"))
-    return spread_left_join(feed, texts, id_col)
+    return feed.join(texts, id_col, "left")
 
 
 def complete_input(
@@ -162,9 +159,12 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: str, spread: int = 2
     keys of the left side are split at run time by the adaptive skew join.
     """
     salt = "_spread"
-    lone = F.pmod(F.monotonically_increasing_id(), F.lit(spread)).cast("int")
+    lone = F.pmod(F.monotonically_increasing_id(), F.lit(spread)) + 1
     salted = left.withColumn(salt, F.when(F.col(on).isNull(), lone).otherwise(F.lit(0)))
-    keyed = right.where(F.col(on).isNotNull()).withColumn(salt, F.lit(0))
+    # Always 0, but computed: a constant would be folded into a condition and leave the join keys.
+    keyed = right.where(F.col(on).isNotNull()).withColumn(
+        salt, F.pmod(F.xxhash64(on), F.lit(1).cast("long"))
+    )
     return salted.join(keyed, [on, salt], "left").drop(salt)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from shelfloom import constants as C
 from shelfloom.functions.envelopes import first_text, id_from_request, parts_request
 from shelfloom.functions.prompts import attribute_instructions
-from shelfloom.operators.prepare import spread_left_join
 
 
 def attribute_requests(
@@ -47,7 +46,7 @@ def merge_attribute(
         F.col(id_col).cast("string").alias("_id"), F.col(attribute).alias("_new")
     )
     keyed = feed.withColumn("_id", F.col(f"`{id_col}`").cast("string"))
-    joined = spread_left_join(keyed, news, "_id")
+    joined = keyed.join(news, "_id", "left")
     old = F.col(f"`{attribute}`") if attribute in feed.columns else F.lit(None).cast("string")
     own = F.when(F.trim(old) != "", old)
     kept = [F.col(f"`{c}`") for c in feed.columns if c != attribute]
