@@ -161,6 +161,13 @@ def decode_candidates(line: Column, default: str = "") -> Column:
     return let(decode_record(line), read)
 
 
+def candidates_payload(text: Column) -> Column:
+    """A reply payload with one text, or without candidates where the text is null."""
+    part = F.array(F.struct(text.alias("text")))
+    candidate = F.struct(F.struct(part.alias("parts")).alias("content"))
+    return F.struct(F.when(text.isNotNull(), F.array(candidate)).alias("candidates"))
+
+
 def first_text(payload: Column) -> Column:
     """Text of the first part of the first candidate, null where there is none."""
     candidates = F.from_json(payload, S.CANDIDATES)["candidates"]

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
-from shelfloom.functions.envelopes import first_text, id_from_request, parts_request
+from shelfloom.functions.envelopes import (
+    candidates_payload,
+    first_text,
+    id_from_request,
+    parts_request,
+)
 from shelfloom.functions.prompts import attribute_instructions
+from shelfloom.generator import Generator
+from shelfloom.session import materialise
 
 
 def attribute_requests(
@@ -51,3 +58,34 @@ def merge_attribute(
     own = F.when(F.trim(old) != "", old)
     kept = [F.col(f"`{c}`") for c in feed.columns if c != attribute]
     return joined.select(*kept, F.coalesce(own, "_new").alias(attribute))
+
+
+def read_attribute_replies(lines: DataFrame) -> DataFrame:
+    """request and response, as JSON text, of reply lines (value)."""
+    record = F.from_json("value", "request STRING, response STRING")
+    return lines.select(record.alias("r")).select("r.request", "r.response")
+
+
+def enrich(
+    feed: DataFrame,
+    generator: Generator,
+    id_col: str,
+    title_col: str,
+    description_col: str,
+    attribute: str,
+    language: str,
+    meaning: str = "",
+) -> DataFrame:
+    """The feed with one attribute filled: requests, replies and merge."""
+    requests = attribute_requests(
+        feed, id_col, title_col, description_col, attribute, language, meaning
+    )
+    replied = generator.generate(requests.withColumnRenamed("value", "prompt"))
+    response = F.to_json(candidates_payload(F.col("reply")))
+    replies = materialise(
+        replied.select(
+            F.get_json_object("prompt", "$.request").alias("request"), response.alias("response")
+        ),
+        "attribute-replies",
+    )
+    return merge_attribute(feed, attribute_values(replies, id_col, attribute), id_col, attribute)

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from shelfloom import constants as C
 from shelfloom import schemas as S
 from shelfloom.functions import prompts as P
-from shelfloom.functions.envelopes import batch_request, decode_candidates, request_shape
+from shelfloom.functions.envelopes import (
+    batch_request,
+    candidates_payload,
+    decode_candidates,
+    request_shape,
+)
 from shelfloom.functions.parsing import batch_value
 from shelfloom.functions.text import image_uri, part_of
 from shelfloom.generator import Generator
@@ -30,7 +35,8 @@ class Passes:
 
     ``layout`` is how replies are laid out: ``lines``, ``blocks``, or ``single`` for one item per
     prompt. ``batch_rows`` limits the rows of a pass; by default a pass takes all pending ones.
-    ``buckets`` chooses the cheap chunking for a whole feed.
+    Chunks are numbered within ``buckets``; by default there is one per ``rows_per_bucket`` rows, so
+    that a task's share does not grow with the feed and a small feed is chunked in order of id.
     """
 
     target: S.Target = S.TITLES
@@ -40,7 +46,8 @@ class Passes:
     part: int | None = None
     layout: str = "lines"
     batch_rows: int | None = None
-    buckets: int | None = 64
+    buckets: int | None = None
+    rows_per_bucket: int = 50_000
     max_tries: int = C.MAX_TRIES
     bucket_name: str = ""
     use_images: bool = False
@@ -177,11 +184,14 @@ def generate(
     settled, active = [_settled(state, columns)], _active(state)
     repeated = not active.groupBy("id").count().where("count > 1").isEmpty()
     number = 0
-    while not active.isEmpty():
+    while waiting := active.count():
+        sized = settings
+        if settings.buckets is None:
+            sized = replace(settings, buckets=-(-waiting // settings.rows_per_bucket))
         asked = _once(active) if repeated else active
         if settings.batch_rows is not None:
             asked = materialise(next_batch(asked, settings.batch_rows, number), "asked")
-        merged = run_pass(active, asked, block, generator, settings)
+        merged = run_pass(active, asked, block, generator, sized)
         if ids is not None:
             return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
         state = _split(merged.withColumn("_active", pending(settings)), columns)
@@ -319,10 +329,7 @@ def answer_batch(spark: SparkSession, folder: str, target: str, generator: Gener
         ).alias("prompt"),
     )
     replied = generator.generate(prompts)
-    part = F.array(F.struct(F.col("reply").alias("text")))
-    candidates = F.array(F.struct(F.struct(part.alias("parts")).alias("content")))
-    found = F.when(F.col("reply").isNotNull(), candidates)
-    record = F.struct("id", F.struct(found.alias("candidates")).alias("response"))
+    record = F.struct("id", candidates_payload(F.col("reply")).alias("response"))
     replied.select(F.to_json(record).alias("value")).write.mode("overwrite").text(
         f"{folder}/replies/{target}", lineSep="\n"
     )

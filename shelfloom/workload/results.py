@@ -860,18 +860,16 @@ def enrich_attribute(t: Tables) -> DataFrame:
     """One attribute for the whole feed; values that are there stay, missing replies show."""
     known = F.when(F.col("category") == "PROMO", "summer").otherwise("")
     feed = t.raw().withColumn("season", known)
-    requests = enrich.attribute_requests(feed, "id", "title", "description", "season", "English")
-    request = F.get_json_object("value", "$.request").alias("request")
-    keyed = requests.select(request).select(
-        "request", enrich.id_from_request(F.col("request")).alias("id")
-    )
-    answered = keyed.join(feed.select("id", "link"), "id")
-    part = F.array(F.struct(F.concat(F.lit("season of "), "id").alias("text")))
-    candidate = F.struct(F.struct(part.alias("parts")).alias("content"))
-    found = F.when(F.col("link").isNull(), F.array(candidate))
-    replies = answered.select(
-        "request", F.to_json(F.struct(found.alias("candidates"))).alias("response")
+    lines = enrich.attribute_requests(feed, "id", "title", "description", "season", "English")
+    request = F.get_json_object("value", "$.request")
+    asked = lines.select(request.alias("request"), enrich.id_from_request(request).alias("id"))
+    answered = asked.join(feed.select("id", "link"), "id")
+    reply = F.when(F.col("link").isNull(), F.concat(F.lit("season of "), "id"))
+    payload = F.to_json(enrich.candidates_payload(reply))
+    line = F.concat(
+        F.lit('{"request":'), "request", F.lit(',"response":'), payload, F.lit(',"status":""}')
     )
+    replies = enrich.read_attribute_replies(answered.select(line.alias("value")))
     values = enrich.attribute_values(replies, "id", "season")
     return enrich.merge_attribute(feed.select("id", "title", "season"), values, "id", "season")
 
@@ -883,3 +881,34 @@ def enrich_attribute(t: Tables) -> DataFrame:
 )
 def highlights(t: Tables) -> DataFrame:
     return t.read("benchmark").select("item_id", highlight(F.col("text")).alias("highlight"))
+
+
+@query(
+    """
+    SELECT id, title, description, CASE WHEN left(md5(id), 1) < '8' THEN 'warm' ELSE 'N/A' END AS tone
+    FROM feed_raw
+    """
+)
+def enrich_job(t: Tables) -> DataFrame:
+    """The attribute job as a whole, with a model that leaves some requests unanswered."""
+    number = enrich.id_from_request(F.get_json_object("prompt", "$.request"))
+    model = ColumnGenerator(lambda: F.when(F.left(F.md5(number), F.lit(1)) < "8", "warm"))
+    feed = t.raw().select("id", "title", "description")
+    return enrich.enrich(feed, model, "id", "title", "description", "tone", "English")
+
+
+@query(
+    f"""
+    SELECT id, {_embedded("title", "title IS NOT NULL")} AS structured_title
+    FROM finished WHERE title IS NOT NULL
+    """
+)
+def sql_functions(t: Tables) -> DataFrame:
+    """The feed function called from SQL."""
+    from shelfloom.functions.sql import register_functions
+
+    register_functions(t.spark)
+    return t.spark.sql(
+        "SELECT id, embed_for_feed(title, true) AS structured_title FROM {rows} WHERE title IS NOT NULL",
+        rows=_finished(t),
+    )

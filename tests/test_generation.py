@@ -216,3 +216,50 @@ def test_examples_file(spark, tmp_path):
     assert [(r["properties"], r["title"], r["description"]) for r in found] == [('{"a": 1}', "T", "D")]
     path.write_text('"{""a"": 1}",T,D\n')
     assert clean_examples(records.read_examples(spark, str(path), header=False)).count() == 1
+
+
+def test_sql_prompts_equal_the_column_prompts(spark):
+    from shelfloom.functions.prompts import chunk_prompt
+    from shelfloom.functions.sql import register_functions
+
+    register_functions(spark)
+    rows = spark.range(1).select(F.array(F.lit('{"a":"it\'s"}'), F.lit(None)).alias("p"))
+    block = example_blocks(examples(spark))
+    for target, name in ((S.TITLES, "titles_prompt"), (S.DESCRIPTIONS, "descriptions_prompt")):
+        given = "array(named_struct('id','e','properties','{\"a\":1}','title','Good','description','Better'))"
+        sql = rows.selectExpr(f"{name}('Polish', {given}, p) AS r").first()["r"]
+        assert sql == rows.select(chunk_prompt(target, "Polish", block, F.col("p"))).first()[0]
+
+
+def test_batch_run_from_input_to_output(spark, tmp_path):
+    rows = feed(spark, 9).withColumns(
+        {"image_url": F.lit("http://x/i.png"), "webpage_content": F.lit(None).cast("string")}
+    )
+    settings = G.Batch(targets=("titles", "highlights"), use_images=True, bucket_name="b")
+    model = ColumnGenerator(lambda: F.concat(F.lit("Generated highlights: "), F.length("prompt")))
+    done = G.run_batch(rows, examples(spark), model, str(tmp_path), settings).collect()
+    assert len(done) == 9
+    assert all(r["tries"] == 2 and r["title"].isdigit() and r["highlights"] and not r["description"] for r in done)
+    lines = spark.read.text(f"{tmp_path}/requests/titles").collect()
+    assert all("image_url: gs://b/images/i.png" in r["value"] for r in lines)
+
+
+def test_stored_images(spark, tmp_path):
+    from shelfloom.functions.envelopes import multimodal_request
+    from shelfloom.operators.images import object_stats
+    from shelfloom.plans.reports import describe_images, register_images
+
+    (tmp_path / "a.jpg").write_bytes(b"x" * 100)
+    (tmp_path / "b.jpg").write_bytes(b"y" * 200)
+    objects = records.read_objects(spark, str(tmp_path), "*.jpg")
+    assert tuple(object_stats(objects).first()) == (2, 300)
+    model = ColumnGenerator(lambda: F.concat(F.lit(" seen "), "name", F.lit(" ")))
+    assert {r["description"] for r in describe_images(objects, model).collect()} == {"seen a.jpg", "seen b.jpg"}
+    links = spark.createDataFrame([("h/a.jpg",), ("h/c.jpg",), ("h/c.jpg",), (None,)], "image_url string")
+    todo, report = register_images(links, objects)
+    assert [tuple(r) for r in todo.collect()] == [("h/c.jpg", "c.jpg")]
+    assert tuple(report.first()) == (2, 1, 1)
+    request = objects.select(
+        multimodal_request(F.lit("p"), F.lit("h/a"), F.col("content"), F.lit("image/jpeg")).alias("r")
+    ).first()["r"]
+    assert json.loads(request)["contents"]["parts"][1]["inlineData"]["mimeType"] == "image/jpeg"
