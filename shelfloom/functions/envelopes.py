@@ -147,7 +147,8 @@ def decode_candidates(line: Column, default: str = "") -> Column:
         return F.when(col != "", col)
 
     def read(record: Column) -> Column:
-        payload = F.coalesce(some(record["response"]), some(record["prediction"]))
+        full = [F.when(~record[f].isin("", "{}"), record[f]) for f in ("response", "prediction")]
+        payload = F.coalesce(*full)
         return F.struct(
             F.coalesce(
                 some(record["id"]), some(record["instance"]["id"]), some(record["custom_id"])

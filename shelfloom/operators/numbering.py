@@ -13,6 +13,12 @@ from shelfloom.session import materialise
 _ROW_BITS = 33
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, the same whenever a task runs again (maps have no hash)."""
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashable])
+
+
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index") -> DataFrame:
     """Number all rows from 0 in a global order without gathering them in one task.
 
@@ -23,8 +29,7 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index")
     """
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    tied = df.sortWithinPartitions(*order_by, content).withColumn(
+    tied = df.sortWithinPartitions(*order_by, content_hash(df)).withColumn(
         "_tie", F.monotonically_increasing_id()
     )
     ranged = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfloom import constants as C
 from shelfloom.functions.text import part_of
+from shelfloom.operators.numbering import content_hash
 
 SKIP = "skip"
 
@@ -159,7 +160,7 @@ def spread_left_join(left: DataFrame, right: DataFrame, on: str, spread: int = 2
     keys of the left side are split at run time by the adaptive skew join.
     """
     salt = "_spread"
-    lone = F.pmod(F.monotonically_increasing_id(), F.lit(spread)) + 1
+    lone = F.pmod(content_hash(left), F.lit(spread).cast("long")) + 1
     salted = left.withColumn(salt, F.when(F.col(on).isNull(), lone).otherwise(F.lit(0)))
     # Always 0, but computed: a constant would be folded into a condition and leave the join keys.
     keyed = right.where(F.col(on).isNotNull()).withColumn(

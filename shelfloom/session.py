@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "shel
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, where there is one machine, falls back to a temporary folder.
+    Only a local session, where there is one machine, falls back to a temporary folder, which goes
+    when the program ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
@@ -39,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="shelfloom-")
+        folder = tempfile.mkdtemp(prefix="shelfloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_FOLDERS[context.applicationId] = folder
     return _LOCAL_FOLDERS[context.applicationId]
 
 
