@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
-from shelfloom.functions.text import blank_to_null, let, squash
+from shelfloom.functions.text import let, squash
 
 
 def page_text_regex(html: Column) -> Column:
@@ -181,7 +181,3 @@ def selected_text(html: Column, selector: str) -> Column:
         return pages.map(lambda html: select_text(html, alternatives))
 
     return squash(F.replace(pick(html), F.lit("\r"), F.lit("")))
-
-
-def has_text(col: Column) -> Column:
-    return blank_to_null(col).isNotNull()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom import schemas as S
 from shelfloom.functions.pages import selected_text
 from shelfloom.functions.prompts import load_template
 from shelfloom.functions.text import clean_selector
@@ -79,10 +78,3 @@ def export_feed(
     if path is not None:
         write_csv(feed, path, sep)
     return feed
-
-
-def missing_texts(output: DataFrame) -> DataFrame:
-    """How many rows still lack each text."""
-    return output.agg(
-        *[F.count_if(F.col(t.column).isNull()).alias(t.name) for t in S.TARGETS.values()]
-    )

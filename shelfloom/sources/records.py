@@ -61,7 +61,7 @@ def read_examples(spark: SparkSession, path: str, header: bool = True) -> DataFr
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Create or replace a stored table and read it back."""
+    """Create or replace a stored table and read it back; ``df`` must not read from ``path``."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

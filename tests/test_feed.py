@@ -274,3 +274,24 @@ def test_known_attribute_values_stay(spark):
     values = spark.createDataFrame([("1", "blue"), ("2", "green")], "id string, color string")
     found = {r["id"]: r["color"] for r in merge_attribute(feed, values, "id", "color").collect()}
     assert found == {1: "red", 2: "green", 3: None}
+
+
+def test_new_images_and_names(spark):
+    from shelfloom.functions.text import file_name
+    from shelfloom.operators.images import new_images
+
+    urls = spark.createDataFrame([("h/a.jpg",), ("h/b.jpg",)], "url string")
+    objects = spark.createDataFrame([("a.jpg",)], "name string")
+    assert [r["url"] for r in new_images(urls, objects).collect()] == ["h/b.jpg"]
+    rows = urls.select(file_name(F.col("url")).alias("n"), file_name(F.lit("plain")).alias("none"))
+    assert tuple(rows.orderBy("n").first()) == ("a.jpg", None)
+
+
+def test_gaps_split_into_filled_and_invented(spark):
+    from shelfloom.functions.attributes import split_gaps
+
+    gaps = F.create_map(F.lit("color"), F.lit("red"), F.lit("shape"), F.lit("round"))
+    item = F.create_map(F.lit("color"), F.lit(""))
+    filled, invented = split_gaps(gaps, item)
+    row = spark.range(1).select(filled.alias("f"), invented.alias("i")).first()
+    assert (row["f"], row["i"]) == ({"color": "red"}, {"shape": "round"})

@@ -263,3 +263,31 @@ def test_stored_images(spark, tmp_path):
         multimodal_request(F.lit("p"), F.lit("h/a"), F.col("content"), F.lit("image/jpeg")).alias("r")
     ).first()["r"]
     assert json.loads(request)["contents"]["parts"][1]["inlineData"]["mimeType"] == "image/jpeg"
+
+
+def test_stored_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(3).select(F.col("id").cast("string").alias("id"))
+    assert records.replace_table(rows, path).count() == 3
+    assert records.replace_table(rows.limit(1), path).count() == 1
+    records.clear_table(spark, path, "id string")
+    assert spark.read.parquet(path).count() == 0
+    (tmp_path / "w.txt").write_text("Write in {{LANGUAGE}}.\nNow.")
+    assert records.read_wording(spark, str(tmp_path / "w.txt")) == "Write in {{LANGUAGE}}.\nNow."
+
+
+def test_client_embedder(spark):
+    from shelfloom.generator import CallEmbedder
+
+    def connect():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([("1", "abc")], "id string, content string")
+    assert CallEmbedder(connect).embed(rows).first()["vec"] == [3.0, 1.0]
+
+
+def test_examples_preview(spark):
+    from shelfloom.operators.examples import examples_preview
+
+    total, first = examples_preview(examples(spark))
+    assert total == 1 and first.first()["title"] == "Good"
