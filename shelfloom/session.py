@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+def local_session(
+    cores: int | str = "*",
+    partitions: int = 8,
+    name: str = "shelfloom",
+    shared: str | None = None,
+) -> SparkSession:
+    """A one-machine session for tests and the benchmark; clusters bring their own.
 
-
-def local_session(cores: int | str = "*", partitions: int = 8, name: str = "shelfloom") -> SparkSession:
-    """A one-machine session for tests and the benchmark; clusters bring their own."""
+    ``shared`` names the folder for intermediate data of this session.
+    """
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -32,20 +37,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, name: str = "shel
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, where there is one machine, falls back to a temporary folder, which goes
-    when the program ends.
+    A local session without that setting keeps its intermediate data beside its warehouse; a
+    cluster without it is refused, because no folder can be assumed to be shared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        folder = tempfile.mkdtemp(prefix="shelfloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _LOCAL_FOLDERS[context.applicationId] = folder
-    return _LOCAL_FOLDERS[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
