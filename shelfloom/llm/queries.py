@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import chat, exact, mixing, sharding
+from shelfloom.llm import chat, exact, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -150,3 +150,17 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The words that a mix of all documents takes from each, weights 5, 2 and 1 in turn."""
     return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.score_toxicity(docs, labels)
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document and whether it is kept."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.score_quality(docs, labels)
