@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import chat, exact, mixing, quality, sharding, toxicity
+from shelfloom.llm import chat, exact, jaccard, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -164,3 +164,9 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """The quality of every document and whether it is kept."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return quality.score_quality(docs, labels)
+
+
+@query()
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The near copies of every document: the smallest id that links of 0.85 lead to."""
+    return jaccard.near_components(table(spark, folder, "documents"))
