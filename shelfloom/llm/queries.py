@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import chat, exact, jaccard, mixing, quality, sharding, toxicity
+from shelfloom.llm import chat, exact, jaccard, mixing, quality, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -170,3 +170,23 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The near copies of every document: the smallest id that links of 0.85 lead to."""
     return jaccard.near_components(table(spark, folder, "documents"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.id AS query_id, c.id AS vec_id,
+               CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.id % 100 = 0 AND q.id <> c.id AND len(q.v) = len(c.v)),
+    r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+                 vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 10"""
+)
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten candidates that score highest for every query vector."""
+    return topk.top_k(table(spark, folder, "embeddings"))
