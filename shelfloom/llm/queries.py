@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import chat, exact, jaccard, mixing, quality, sharding, topk, toxicity
+from shelfloom.llm import chat, exact, jaccard, mixing, pieces, quality, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -190,3 +190,9 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten candidates that score highest for every query vector."""
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampled pieces of every document, and whether decoding them gives its text back."""
+    return pieces.check_round_trip(table(spark, folder, "documents"))
