@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import chat, exact, jaccard, mixing, pieces, quality, sharding, topk, toxicity
+from shelfloom.llm import (
+    chat,
+    exact,
+    jaccard,
+    mixing,
+    pieces,
+    quality,
+    sharding,
+    substrings,
+    topk,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -196,3 +207,10 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled pieces of every document, and whether decoding them gives its text back."""
     return pieces.check_round_trip(table(spark, folder, "documents"))
+
+
+@query()
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the 50-word windows of earlier ones."""
+    found = substrings.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
