@@ -35,8 +35,9 @@ class Passes:
 
     ``layout`` is how replies are laid out: ``lines``, ``blocks``, or ``single`` for one item per
     prompt. ``batch_rows`` limits the rows of a pass; by default a pass takes all pending ones.
-    Chunks are numbered within ``buckets``; by default there is one per ``rows_per_bucket`` rows, so
-    that a task's share does not grow with the feed and a small feed is chunked in order of id.
+    Chunks are numbered within ``buckets``, which bounds a task's share and is fixed for a run, so
+    that which items share a prompt does not depend on the size of the feed; large feeds take
+    thousands. By default chunks run through all rows in order of id.
     """
 
     target: S.Target = S.TITLES
@@ -47,7 +48,6 @@ class Passes:
     layout: str = "lines"
     batch_rows: int | None = None
     buckets: int | None = None
-    rows_per_bucket: int = 50_000
     max_tries: int = C.MAX_TRIES
     bucket_name: str = ""
     use_images: bool = False
@@ -64,17 +64,24 @@ def pending(settings: Passes) -> Column:
     return F.coalesce(waiting, F.lit(False))
 
 
+def repeats(rows: DataFrame) -> bool:
+    """Whether an id occurs more than once; only ids are read and moved."""
+    return not rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def join_pending(output: DataFrame, prepared: DataFrame) -> DataFrame:
     """Output rows with the properties of their items, null where the input lacks them.
 
-    One row per id: copies of an item are reduced within each task before the shuffle that the join
-    needs anyway, so a heavily repeated id arrives as one row.
+    Where the input repeats ids, one row per id is taken; copies are reduced within each task before
+    the shuffle that the join needs anyway. An input of unique ids is joined as it is.
     """
     columns = prepared.columns
     image = F.col("image_url") if "image_url" in columns else F.lit(None).cast("string")
     rows = prepared.select("id", P.row_json(columns).alias("properties"), image.alias("image_url"))
-    single = rows.groupBy("id").agg(F.min(F.struct("properties", "image_url")).alias("_row"))
-    return output.join(single.select("id", "_row.*"), "id", "left")
+    if repeats(prepared):
+        single = rows.groupBy("id").agg(F.min(F.struct("properties", "image_url")).alias("_row"))
+        rows = single.select("id", "_row.*")
+    return output.join(rows, "id", "left")
 
 
 def build_prompts(rows: DataFrame, examples: Column, settings: Passes) -> DataFrame:
@@ -161,12 +168,12 @@ def generate(
     columns = output.columns
     if settings.per_target_tries:
         # Tries of other targets do not count: start from zero and add them back at the end.
-        fresh = output.withColumn("tries", F.lit(0).cast("long"))
+        # They travel with their row, so rows of null or repeated ids keep their own.
+        earlier = F.coalesce("tries", F.lit(0)).cast("long")
+        fresh = output.withColumn("_before", earlier).withColumn("tries", F.lit(0).cast("long"))
         single = replace(settings, per_target_tries=False)
         done = generate(fresh, prepared, examples, generator, single, ids)
-        before = output.groupBy("id").agg(F.max("tries").alias("_before"))
-        total = F.col("tries") + F.coalesce("_before", F.lit(0).cast("long"))
-        return done.join(before, "id").withColumn("tries", total).select(*columns)
+        return done.withColumn("tries", F.col("tries") + F.col("_before")).select(*columns)
 
     block = example_blocks(examples)
     if ids is None:
@@ -182,16 +189,13 @@ def generate(
     active_now = wanted & F.col("properties").isNotNull()
     state = _split(joined.withColumn("_active", active_now), columns)
     settled, active = [_settled(state, columns)], _active(state)
-    repeated = not active.groupBy("id").count().where("count > 1").isEmpty()
+    repeated = repeats(active)
     number = 0
-    while waiting := active.count():
-        sized = settings
-        if settings.buckets is None:
-            sized = replace(settings, buckets=-(-waiting // settings.rows_per_bucket))
+    while not active.isEmpty():
         asked = _once(active) if repeated else active
         if settings.batch_rows is not None:
             asked = materialise(next_batch(asked, settings.batch_rows, number), "asked")
-        merged = run_pass(active, asked, block, generator, sized)
+        merged = run_pass(active, asked, block, generator, settings)
         if ids is not None:
             return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
         state = _split(merged.withColumn("_active", pending(settings)), columns)

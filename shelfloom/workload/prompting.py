@@ -430,7 +430,7 @@ def _answers_sql(layout: str, title: bool) -> str:
 def _parsed(t: Tables, column: str, layout: str) -> DataFrame:
     chunks = gather_chunks(chunk(t.properties(), 10)).select("chunk_id", "ids")
     reply = line_reply(column) if layout == "lines" else block_reply(column)
-    generated = chunks.withColumn("reply", reply)
+    generated = chunks.withColumn("mark", F.lit("")).withColumn("reply", reply)
     entries = explode_replies(
         generated, parsed_entries(F.col("reply"), F.col("ids"), column, layout)
     )
@@ -538,7 +538,7 @@ def parse_markdown(t: Tables) -> DataFrame:
 )
 def parse_single_items(t: Tables) -> DataFrame:
     rows = t.filtered().select("id", F.array("id").alias("ids"))
-    replied = rows.where(~fails(F.col("ids"))).select(
+    replied = rows.where(~fails(F.col("ids"))).withColumn("mark", F.lit("")).select(
         "id",
         R.parse_title_markdown(single_reply("title")).alias("title"),
         R.parse_description_markdown(single_reply("description")).alias("description"),

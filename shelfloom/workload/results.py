@@ -26,14 +26,20 @@ from shelfloom.workload.prompting import (
     ANSWERED,
     BUCKET_CHUNKS,
     CHUNKS,
+    EXAMPLE_INPUTS,
     FAILS,
     _batch_sql,
+    example_outputs,
+    filled,
+    sectioned,
 )
 from shelfloom.workload.registry import VIEWS, query, text
 from shelfloom.workload.stub import (
     StoredVectors,
     description_reply,
     line_reply,
+    marked_description_reply,
+    marked_title_reply,
     stub_generator,
     title_reply,
 )
@@ -52,7 +58,7 @@ def _generated(t: Tables, column: str) -> DataFrame:
     chunks = gather_chunks(chunk(t.properties(), 10)).select("chunk_id", "ids")
     reply = line_reply(column)
     status = F.when(F.col("reply").isNull(), "quota").otherwise("")
-    return chunks.withColumn("reply", reply).withColumn("status", status)
+    return chunks.withColumn("mark", F.lit("")).withColumn("reply", reply).withColumn("status", status)
 
 
 @query(
@@ -117,18 +123,42 @@ def merge_upsert(t: Tables) -> DataFrame:
     )
 
 
-def _passes_sql(prefix: str, start: str, size: int, buckets: int) -> str:
+# Hash buckets of the registered passes: an explicit setting, the same at every size.
+BUCKETS = 64
+
+
+def _line_prompt_sql(target: S.Target) -> str:
+    return filled(
+        f"{target.column}_lines",
+        "English",
+        {
+            "EXAMPLE_INPUTS": EXAMPLE_INPUTS,
+            "EXAMPLE_OUTPUTS": example_outputs(target.example_field),
+            "INPUTS": "array_to_string(properties, chr(10))",
+        },
+    )
+
+
+def _mark(prompt: str) -> str:
+    return f"' #' || substr(md5({prompt}), 1, 8)"
+
+
+def _passes_sql(prefix: str, start: str, size: int, prompt: str, items: str = "item_properties") -> str:
     """Three passes over the ids of ``start`` (id, used: tries so far) as views.
 
-    ``{prefix}_result`` tells for each id whether it was answered and its tries afterwards.
+    ``{prefix}_result`` tells for each id whether it was answered, its tries afterwards and the
+    mark of the prompt that was answered.
     """
     views = [f"{prefix}_1 AS ({start})"]
     for k in (1, 2, 3):
-        source = f"(SELECT id, '' AS properties FROM {prefix}_{k} WHERE used < 3)"
-        chunks = BUCKET_CHUNKS.format(size=size, buckets=buckets, source=source)
+        source = (
+            f"(SELECT p.id, i.properties FROM {prefix}_{k} p JOIN {items} i ON i.id = p.id"
+            " WHERE used < 3)"
+        )
+        chunks = BUCKET_CHUNKS.format(size=size, buckets=BUCKETS, source=source)
         views.append(f"{prefix}_chunks_{k} AS MATERIALIZED ({chunks})")
         views.append(
-            f"{prefix}_got_{k} AS MATERIALIZED (SELECT unnest({ANSWERED}) AS id"
+            f"{prefix}_got_{k} AS MATERIALIZED (SELECT unnest({ANSWERED}) AS id, {_mark(prompt)} AS mark"
             f" FROM {prefix}_chunks_{k} WHERE NOT ({FAILS}))"
         )
         views.append(
@@ -136,21 +166,22 @@ def _passes_sql(prefix: str, start: str, size: int, buckets: int) -> str:
             f" WHERE used < 3 AND id NOT IN (SELECT id FROM {prefix}_got_{k}))"
         )
     got = " UNION ALL ".join(
-        f"SELECT g.id, true AS done, p.used + 1 AS tries FROM {prefix}_got_{k} g"
+        f"SELECT g.id, true AS done, p.used + 1 AS tries, g.mark FROM {prefix}_got_{k} g"
         f" JOIN {prefix}_{k} p ON p.id = g.id"
         for k in (1, 2, 3)
     )
     left = " UNION ALL ".join(
-        f"SELECT id, false, used FROM {prefix}_{k} WHERE used >= 3" for k in (1, 2, 3, 4)
+        f"SELECT id, false, used, NULL FROM {prefix}_{k} WHERE used >= 3" for k in (1, 2, 3, 4)
     )
     views.append(f"{prefix}_result AS MATERIALIZED ({got} UNION ALL {left})")
     return ",\n".join(views)
 
 
 _START = "SELECT id, CAST(0 AS BIGINT) AS used FROM output"
+_TITLE_PROMPT = _line_prompt_sql(S.TITLES)
 _TITLES_SQL = f"""
-    WITH {_passes_sql("t", _START, 10, 8)}
-    SELECT id, CASE WHEN done THEN 'Item ' || id || ', new title' END AS title, tries FROM t_result
+    WITH {_passes_sql("t", _START, 10, _TITLE_PROMPT)}
+    SELECT id, CASE WHEN done THEN 'Item ' || id || ', new title' || mark END AS title, tries FROM t_result
 """
 
 
@@ -160,7 +191,7 @@ def _stored_feed(t: Tables) -> DataFrame:
 
 
 def _run(t: Tables, target: S.Target, layout: str = "lines", ids=None, **settings) -> DataFrame:
-    run = generation.Passes(target=target, layout=layout, **{"buckets": 8, **settings})
+    run = generation.Passes(target=target, layout=layout, **{"buckets": BUCKETS, **settings})
     feed = _stored_feed(t)
     return generation.generate(
         M.init_output(feed),
@@ -180,8 +211,9 @@ def generate_titles(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH {_passes_sql("t", _START, 4, 8)}
-    SELECT id, CASE WHEN done THEN 'All about item ' || id || chr(10) || 'in two lines' END
+    WITH {_passes_sql("t", _START, 4, sectioned(
+        "descriptions", "English", "description", "array_to_string(properties, chr(10))"))}
+    SELECT id, CASE WHEN done THEN 'All about item ' || id || mark || chr(10) || 'in two lines' END
              AS description, tries FROM t_result
     """
 )
@@ -192,13 +224,16 @@ def generate_description_blocks(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH single AS (SELECT id, [id] AS ids FROM output)
-    SELECT id, CASE WHEN NOT ({FAILS}) THEN 'Item ' || id || ', new title' END AS title,
+    WITH single AS (
+      SELECT o.id, [o.id] AS ids, 'Item ' || o.id || ', new title' || {_mark(sectioned(
+        "titles", "English", "title", "i.properties || chr(10)"))} AS new_title
+      FROM output o JOIN item_properties i ON i.id = o.id)
+    SELECT id, CASE WHEN NOT ({FAILS}) THEN new_title END AS title,
            CAST(CASE WHEN {FAILS} THEN 3 ELSE 1 END AS BIGINT) AS tries,
            CASE WHEN {FAILS} THEN 'ERROR: failed'
                 WHEN substr(md5(id), 1, 1) IN ('2', '4', '6', '8')
-                THEN '**generated title:**Item ' || id || ', new title'
-                ELSE 'generated title: Item ' || id || ', new title' END AS raw_response_title
+                THEN '**generated title:**' || new_title
+                ELSE 'generated title: ' || new_title END AS raw_response_title
     FROM single
     """
 )
@@ -211,14 +246,14 @@ def generate_single_items(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH chunks AS ({BUCKET_CHUNKS.format(
-        size=10, buckets=8,
-        source="(SELECT id, '' AS properties FROM output "
-               "WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels))")}),
-    got AS (SELECT unnest({ANSWERED}) AS id FROM chunks WHERE NOT ({FAILS}))
-    SELECT id, CASE WHEN id IN (SELECT id FROM got) THEN 'Item ' || id || ', new title' END AS title,
-           CAST(id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) AS BIGINT) AS tries
-    FROM output
+    WITH asked AS (SELECT id, properties FROM item_properties
+                   WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)),
+    chunks AS ({BUCKET_CHUNKS.format(size=10, buckets=BUCKETS, source="asked")}),
+    got AS (SELECT unnest({ANSWERED}) AS id, {_mark(_TITLE_PROMPT)} AS mark
+            FROM chunks WHERE NOT ({FAILS}))
+    SELECT o.id, 'Item ' || g.id || ', new title' || mark AS title,
+           CAST(o.id IN (SELECT id FROM asked) AS BIGINT) AS tries
+    FROM output o LEFT JOIN got g ON g.id = o.id
     """
 )
 def generate_ids(t: Tables) -> DataFrame:
@@ -230,7 +265,7 @@ def generate_ids(t: Tables) -> DataFrame:
 @query(_TITLES_SQL)
 def generate_parts(t: Tables) -> DataFrame:
     """Four parts, each on its own; the buckets lie within the parts, so the result is the same."""
-    run = generation.Passes(target=S.TITLES, parts=4, buckets=8)
+    run = generation.Passes(target=S.TITLES, parts=4, buckets=BUCKETS)
     feed = _stored_feed(t)
     done = generation.generate_parts(
         M.init_output(feed), feed, t.examples(), stub_generator("title", "lines"), run
@@ -238,19 +273,26 @@ def generate_parts(t: Tables) -> DataFrame:
     return done.select("id", "title", "tries")
 
 
+VIEWS["completed_properties"] = """
+    SELECT p.id, to_json({'id': p.id, 'title': title, 'description': description, 'brand': brand,
+                          'category': category, 'size': size, 'color': color, 'image_url': NULL,
+                          'webpage_content': w.content})::VARCHAR AS properties
+    FROM prepared p LEFT JOIN web w ON w.id = p.id"""
+
 _END_TO_END = f"""
-    {_passes_sql("t", _START, 10, 8)},
-    {_passes_sql("d", "SELECT id, tries AS used FROM t_result WHERE tries < 3", 10, 8)}
+    {_passes_sql("t", _START, 10, _TITLE_PROMPT, "completed_properties")},
+    {_passes_sql("d", "SELECT id, tries AS used FROM t_result WHERE tries < 3", 10,
+                 _line_prompt_sql(S.DESCRIPTIONS), "completed_properties")}
 """
 
 
 @query(
     f"""
     WITH {_END_TO_END}
-    SELECT r.id, CASE WHEN r.done THEN
-             'trained_algorithmic_media:"Item ' || r.id || ', new title"' END AS structured_title,
-           CASE WHEN d.done THEN
-             'trained_algorithmic_media:"All about item ' || r.id || '"' END AS structured_description
+    SELECT r.id, CASE WHEN r.done THEN 'trained_algorithmic_media:"Item ' || r.id || ', new title'
+             || r.mark || '"' END AS structured_title,
+           CASE WHEN d.done THEN 'trained_algorithmic_media:"All about item ' || r.id || d.mark || '"'
+             END AS structured_description
     FROM t_result r LEFT JOIN d_result d ON d.id = r.id
     WHERE r.done OR coalesce(d.done, false)
     """
@@ -267,14 +309,14 @@ def end_to_end(t: Tables) -> DataFrame:
             prepared,
             examples,
             stub_generator(target.column, "lines"),
-            generation.Passes(target=target, buckets=8),
+            generation.Passes(target=target, buckets=BUCKETS),
         )
     return X.supplemental_feed(output, X.Flags(highlights=False))
 
 
 @query(
     f"""
-    WITH {_passes_sql("t", _START, 10, 8)}
+    WITH {_passes_sql("t", _START, 10, _TITLE_PROMPT)}
     SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE done) AS titles,
            CAST(0 AS BIGINT) AS descriptions, CAST(0 AS BIGINT) AS highlights
     FROM t_result
@@ -612,13 +654,18 @@ VIEWS["records"] = f"""
       CASE WHEN ok THEN CAST(length(description_generated) AS VARCHAR) END AS description_length,
       CASE WHEN ok THEN description_score END AS description_score,
       CASE WHEN ok THEN category END AS category,
-      CASE WHEN ok THEN title_reply || chr(10) || 'Product description: ' || description_generated
+      CASE WHEN ok THEN 'prompt ' || md5('Title it. Context: ' || item || chr(10) || chr(10)) || chr(10)
+             || title_reply || chr(10) || 'Product description: ' || description_generated
              || chr(10) || 'Description evaluation: Score: '
              || CASE WHEN description_score = 4 THEN '4' ELSE '2.5' END || chr(10) || 'follows ' || id
-           ELSE 'Incomplete description reply: no description possible' END AS full_response,
-      CASE WHEN ok THEN to_json({{'id': id, 'title': title, 'description': description,
-             'brand': brand, 'category': category, 'size': size, 'color': color}})::VARCHAR END
-        AS original_input
+             || ' ' || second_mark
+           ELSE 'Incomplete description reply: no description possible ' || second_mark END
+        AS full_response,
+      CASE WHEN ok THEN item END AS original_input
+    FROM (SELECT *, md5('Describe it. Context: {{"Generated Title":' || to_json(title_generated)::VARCHAR
+                        || ',' || substr(item, 2) || chr(10) || chr(10)) AS second_mark
+    FROM (SELECT *, to_json({{'id': id, 'title': title, 'description': coalesce(description, ''),
+             'brand': brand, 'category': category, 'size': size, 'color': color}})::VARCHAR AS item
     FROM (SELECT *, CASE WHEN status = 'Success' THEN title_score ELSE -1 END AS score
           FROM (SELECT *, CASE WHEN length(title_generated) BETWEEN 1 AND 150
                                 AND length(description_generated) BETWEEN 1 AND 5000
@@ -628,7 +675,7 @@ VIEWS["records"] = f"""
                                   ' ' || chr(10) || chr(9)) AS description_generated,
                              TRY_CAST(trim(regexp_extract(description_reply, '{_STRUCTURED}', 2))
                                       AS DOUBLE) AS description_score
-                      FROM title_scores)))"""
+                      FROM title_scores)))))"""
 
 _RECORD_SETTINGS = Scoring(min_title_score=0, min_description_score=3)
 
@@ -636,9 +683,11 @@ _RECORD_SETTINGS = Scoring(min_title_score=0, min_description_score=3)
 def _records(t: Tables) -> DataFrame:
     return optimise(
         t.scoring_feed(),
-        ColumnGenerator(title_reply),
-        ColumnGenerator(description_reply),
+        ColumnGenerator(marked_title_reply),
+        ColumnGenerator(marked_description_reply),
         _RECORD_SETTINGS,
+        title_wording="Title it. ",
+        description_wording="Describe it. ",
     )
 
 

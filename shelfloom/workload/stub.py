@@ -1,7 +1,8 @@
-"""A stand-in for the model: replies computed from the prompt's ids, so that SQL can repeat them.
+"""A stand-in for the model: replies computed from the prompt text, so that SQL can repeat them.
 
-A request fails as a whole when the digest of its ids starts with 0, and leaves out its last item
-when it starts with 1. Both depend on the ids alone.
+It reads the ids out of the prompt and puts a mark, the start of the prompt's digest, into every text
+that it writes. A request fails as a whole when the digest of its ids starts with 0, and leaves
+out its last item when it starts with 1.
 """
 
 from __future__ import annotations
@@ -28,8 +29,17 @@ def answered(ids: Column) -> Column:
     return F.when(digest(ids).startswith("1"), short).otherwise(ids)
 
 
+# How items are told apart in a prompt, and how many digits of a digest make a mark.
+_ITEM_ID = r'\{"id":"([^"]*)"'
+_MARK = 8
+
+
+def prompt_mark() -> Column:
+    return F.substring(F.md5("prompt"), 1, _MARK)
+
+
 def line_reply(target: str) -> Column:
-    """``id: text`` lines."""
+    """``id: text`` lines for ``ids``; texts end with ``mark`` unless it is empty."""
     ids = F.col("ids")
     lines = F.transform(answered(ids), lambda i: F.concat(i, F.lit(": "), stub_text(target, i)))
     return F.when(~fails(ids), F.array_join(lines, "\n"))
@@ -37,8 +47,8 @@ def line_reply(target: str) -> Column:
 
 def stub_text(target: str, item: Column) -> Column:
     if target == "title":
-        return F.concat(F.lit("Item "), item, F.lit(", new title"))
-    return F.concat(F.lit("All about item "), item)
+        return F.concat(F.lit("Item "), item, F.lit(", new title"), F.col("mark"))
+    return F.concat(F.lit("All about item "), item, F.col("mark"))
 
 
 def block_reply(target: str) -> Column:
@@ -75,8 +85,36 @@ def single_reply(target: str) -> Column:
 REPLIES = {"lines": line_reply, "blocks": block_reply, "single": single_reply}
 
 
-def stub_generator(target: str, layout: str) -> ColumnGenerator:
-    return ColumnGenerator(lambda: REPLIES[layout](target))
+@dataclass(frozen=True)
+class PromptReader:
+    """Answers the items that it finds in a prompt; what else the row holds is not looked at."""
+
+    target: str
+    layout: str
+
+    def generate(self, prompts: DataFrame) -> DataFrame:
+        read = prompts.select(
+            F.struct("*").alias("_row"),
+            F.regexp_extract_all("prompt", F.lit(_ITEM_ID), F.lit(1)).alias("ids"),
+            F.concat(F.lit(" #"), prompt_mark()).alias("mark"),
+        )
+        reply = REPLIES[self.layout](self.target)
+        status = F.when(F.col("reply").isNull(), "failed").otherwise("")
+        return read.select("_row.*", reply.alias("reply")).withColumn("status", status)
+
+
+def stub_generator(target: str, layout: str) -> PromptReader:
+    return PromptReader(target, layout)
+
+
+def marked_title_reply() -> Column:
+    """A title reply that starts with the digest of its prompt."""
+    return F.concat(F.lit("prompt "), F.md5("prompt"), F.lit("\n"), title_reply())
+
+
+def marked_description_reply() -> Column:
+    """A description reply whose reasoning, or refusal, ends with the digest of its prompt."""
+    return F.concat(description_reply(), F.lit(" "), F.md5("prompt"))
 
 
 def title_reply() -> Column:
