@@ -44,25 +44,25 @@ COMMON_SHARE, COMMON_MOST = 0.0005, 1 << 18
 _CHUNK = 1 << 22
 _CLASSES = 128
 
-# Linked: 100 * common >= 85 * union. All bounds below follow from it in whole numbers.
-NUMERATOR, DENOMINATOR = 85, 100
+# Linked: 100 * common >= percent * union. All bounds below follow from it in whole numbers.
+PERCENT = 85
 
 
-def least_common(total):
+def least_common(total, percent: int = PERCENT):
     """N-grams that two linked documents with ``total`` n-grams together must share."""
-    both = NUMERATOR + DENOMINATOR
-    return (NUMERATOR * total + both - 1) // both
+    both = 100 + percent
+    return (percent * total + both - 1) // both
 
 
-def spare_as_larger(n):
+def spare_as_larger(n, percent: int = PERCENT):
     """N-grams of a document of size ``n`` that a linked one, not larger, can lack."""
-    smallest = (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR
-    return n - least_common(n + smallest)
+    smallest = (percent * n + 99) // 100
+    return n - least_common(n + smallest, percent)
 
 
-def spare_as_smaller(n):
+def spare_as_smaller(n, percent: int = PERCENT):
     """The same for a linked document that is not smaller."""
-    return n - least_common(2 * n)
+    return n - least_common(2 * n, percent)
 
 
 def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -154,7 +154,7 @@ def _profile(width: int):
 _WINDOW = pa.schema([("pivot", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
 
 
-def _windows(width: int, shared):
+def _windows(width: int, percent: int, shared):
     """The pivots within each document's window, with its size and the pivot's rank in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def _windows(width: int, shared):
                     at = np.searchsorted(common, grams)
                     last = common[np.minimum(at, len(common) - 1)] == grams if len(common) else np.zeros(n, bool)
                     later = grams[last][np.argsort(place[at[last]])] if last.any() else grams[:0]
-                    window = np.concatenate([grams[~last], later])[: spare_as_larger(n) + MEETINGS]
+                    window = np.concatenate([grams[~last], later])[: spare_as_larger(n, percent) + MEETINGS]
                     pivots.append(window)
                     keys.append(key)
                     sizes.append(n)
@@ -202,7 +202,7 @@ _MEETING = pa.schema(
 )
 
 
-def _list_pairs(pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
+def _list_pairs(percent: int, pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
     """Rows of whole regions in order of pivot, size and key: pairs, or the rows of large regions."""
     fresh = np.ones(len(pivot), dtype=bool)
     fresh[1:] = (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])
@@ -226,39 +226,43 @@ def _list_pairs(pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
         total = n[first] + n[second]
         after = np.minimum(n[first] - rank[first], n[second] - rank[second]) - 1
         can = (
-            (NUMERATOR * n[second] <= DENOMINATOR * n[first])
-            & (rank[first] < spare_as_smaller(n[first]) + MEETINGS)
-            & (MEETINGS + after >= least_common(total))
+            (percent * n[second] <= 100 * n[first])
+            & (rank[first] < spare_as_smaller(n[first], percent) + MEETINGS)
+            & (MEETINGS + after >= least_common(total, percent))
         )
         one, two = key[first[can]], key[second[can]]
         if len(one):
             yield _rows(_MEETING, a=np.minimum(one, two), b=np.maximum(one, two), total=total[can])
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _regions(percent: int):
     """Join each region; holds one batch and at most one small region."""
-    names = ("pivot", "key", "n", "rank")
-    held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
-    large = None  # the pivot of a region that has already outgrown its bound
-    for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if large is not None:
-            more = rows[0] == large
-            if more.any():
-                yield _rows(_MEETING, **{c: x[more] for c, x in zip(names, rows)})
-                rows = [x[~more] for x in rows]
-        rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
-        if not len(rows[0]):
-            held = rows
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-        yield from _list_pairs(*(x[:cut] for x in rows))
-        held = [x[cut:] for x in rows]
-        if len(np.unique(held[1])) > REGION:
-            large = held[0][0]
-            yield _rows(_MEETING, **dict(zip(names, held)))
-            held = [x[:0] for x in held]
-    yield from _list_pairs(*held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("pivot", "key", "n", "rank")
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        large = None  # the pivot of a region that has already outgrown its bound
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if large is not None:
+                more = rows[0] == large
+                if more.any():
+                    yield _rows(_MEETING, **{c: x[more] for c, x in zip(names, rows)})
+                    rows = [x[~more] for x in rows]
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+            if not len(rows[0]):
+                held = rows
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            yield from _list_pairs(percent, *(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+            if len(np.unique(held[1])) > REGION:
+                large = held[0][0]
+                yield _rows(_MEETING, **dict(zip(names, held)))
+                held = [x[:0] for x in held]
+        yield from _list_pairs(percent, *held)
+
+    return run
 
 
 def _sets(width: int):
@@ -306,8 +310,8 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _links(verified: DataFrame) -> DataFrame:
-    return verified.where(DENOMINATOR * F.col("n_common") >= NUMERATOR * F.col("n_union")).select("u", "v")
+def _links(verified: DataFrame, percent: int) -> DataFrame:
+    return verified.where(100 * F.col("n_common") >= percent * F.col("n_union")).select("u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -349,45 +353,51 @@ def _star(hot: DataFrame) -> DataFrame:
     return hot.select("pivot", "key").join(centres, "pivot").where("key != centre")
 
 
-def _outside_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _outside_pairs(percent: int):
     """Pairs of an outside document and one of a block that size, distances and sketches allow.
 
     A block comes as its own documents first, then the outside ones.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    group, block = None, []
-    for batch in batches:
-        rows = batch.to_pydict()
-        for i in range(batch.num_rows):
-            here = (rows["pivot"][i], rows["block"][i])
-            if here != group:
-                group, block, arrays = here, [], None
-            sketch = np.frombuffer(rows["sketch"][i], dtype=np.uint16).astype(np.int32)
-            own = (rows["key"][i], rows["n"][i], rows["root"][i], rows["distances"][i], sketch)
-            if not rows["outside"][i]:
-                block.append(own)
-                continue
-            if not block:
-                continue
-            if arrays is None:
-                arrays = [np.array([r[j] for r in block]) for j in range(5)]
-            key, n, root, away, sketches = arrays
-            total = n + own[1]
-            apart = total - 2 * least_common(total)
-            reach = 1 - NUMERATOR / DENOMINATOR + 1e-9
-            can = (
-                (root != own[2])
-                & (key != own[0])
-                & (NUMERATOR * np.maximum(n, own[1]) <= DENOMINATOR * np.minimum(n, own[1]))
-                & (np.abs(away - np.array(own[3])) <= reach).all(axis=1)
-                & (np.abs(sketches - own[4]).sum(axis=1) <= apart)
-            )
-            if can.any():
-                other = key[can]
-                yield _rows(schema, a=np.minimum(other, own[0]), b=np.maximum(other, own[0]))
-
-
-def _rejoin(hot: DataFrame, star: DataFrame, verified: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        group, block = None, []
+        for batch in batches:
+            rows = batch.to_pydict()
+            for i in range(batch.num_rows):
+                here = (rows["pivot"][i], rows["block"][i])
+                if here != group:
+                    group, block, arrays = here, [], None
+                sketch = np.frombuffer(rows["sketch"][i], dtype=np.uint16).astype(np.int32)
+                own = (rows["key"][i], rows["n"][i], rows["root"][i], rows["distances"][i], sketch)
+                if not rows["outside"][i]:
+                    block.append(own)
+                    continue
+                if not block:
+                    continue
+                if arrays is None:
+                    arrays = [np.array([r[j] for r in block]) for j in range(5)]
+                key, n, root, away, sketches = arrays
+                total = n + own[1]
+                apart = total - 2 * least_common(total, percent)
+                reach = 1 - percent / 100 + 1e-9
+                can = (
+                    (root != own[2])
+                    & (key != own[0])
+                    & (percent * np.maximum(n, own[1]) <= 100 * np.minimum(n, own[1]))
+                    & (np.abs(away - np.array(own[3])) <= reach).all(axis=1)
+                    & (np.abs(sketches - own[4]).sum(axis=1) <= apart)
+                )
+                if can.any():
+                    other = key[can]
+                    yield _rows(schema, a=np.minimum(other, own[0]), b=np.maximum(other, own[0]))
+
+    return run
+
+
+def _rejoin(
+    hot: DataFrame, star: DataFrame, verified: DataFrame, links: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
     """Candidates within large regions among documents that no link so far connects."""
     roots = components(links)
     distance = verified.select(
@@ -423,16 +433,20 @@ def _rejoin(hot: DataFrame, star: DataFrame, verified: DataFrame, links: DataFra
     met = inside.select(columns).unionByName(outside.select(columns))
     partitions = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(partitions, "pivot", "block").sortWithinPartitions("pivot", "block", "outside", "key")
-    return met.mapInArrow(_outside_pairs, "a long, b long").distinct()
+    return met.mapInArrow(_outside_pairs(percent), "a long, b long").distinct()
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 4,
+    percent: int = PERCENT,
 ) -> DataFrame:
     """``id, n_shingles, component_id`` per row: the size of its set and the smallest linked id.
 
-    Two documents are linked when the n-grams they share make up 85 of 100 of those that either
-    has. Links are followed to the end. Documents without words have an empty set and stand alone,
+    Two documents are linked when the n-grams they share make up ``percent`` of 100 of those that
+    either has. Links are followed to the end. Documents without words have an empty set and stand alone,
     as do rows of null id, whose component is null. Rows that repeat an id or a text are returned
     each. Other columns of ``docs`` are ignored, and an empty table gives no rows.
     """
@@ -465,14 +479,14 @@ def near_components(
     shared = spark.sparkContext.broadcast((grams[by_gram], -by_gram))
 
     known = texts.where("doc_id IS NOT NULL")
-    windows = known.select("text").mapInArrow(_windows(width, shared), "pivot long, key long, n int, rank int")
+    windows = known.select("text").mapInArrow(_windows(width, percent, shared), "pivot long, key long, n int, rank int")
     meetings = materialise(
         windows.repartition(partitions, "pivot")
         .sortWithinPartitions("pivot", "n", "key")
-        .mapInArrow(_regions, "a long, b long, total int, pivot long, key long, n int, rank int"),
+        .mapInArrow(_regions(percent), "a long, b long, total int, pivot long, key long, n int, rank int"),
         "meetings",
     )
-    needed = F.least(F.lit(MEETINGS), F.ceil(F.lit(NUMERATOR) * F.col("total") / (NUMERATOR + DENOMINATOR)))
+    needed = F.least(F.lit(MEETINGS), F.ceil(F.lit(percent) * F.col("total") / (100 + percent)))
     pairs = (
         meetings.where("a IS NOT NULL").groupBy("a", "b", "total").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= needed)
     ).select("a", "b")
@@ -494,10 +508,10 @@ def near_components(
         "sets",
     )
     verified = materialise(verify(pairs, sets), "verified")
-    links = _links(verified)
+    links = _links(verified, percent)
     if not hot.isEmpty():
-        again = materialise(_rejoin(hot, star, verified, links, sets), "again")
-        links = links.unionByName(_links(verify(again, sets)))
+        again = materialise(_rejoin(hot, star, verified, links, sets, percent), "again")
+        links = links.unionByName(_links(verify(again, sets), percent))
     roots = components(links)
     labelled = materialise(
         nodes.join(roots, "node", "left").select(F.col("digest").alias("own"), F.coalesce("root", "node").alias("root")),
@@ -509,3 +523,19 @@ def near_components(
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
     )
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The documents without near copies, all columns as they came: of each component of
+    ``near_components`` the smallest id stays. Rows of null id stay."""
+    found = near_components(docs, id_col, text_col, width, percent)
+    gone = found.where(F.col(f"`{id_col}`") != F.col("component_id"))
+    gone = gone.select(F.col(f"`{id_col}`").alias("_gone")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
