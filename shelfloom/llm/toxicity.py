@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.llm.words import M1, slices
-from shelfloom.session import materialise
 
 NGRAMS = (3, 4, 5)
 BUCKET_BITS = 18
@@ -55,46 +54,34 @@ def buckets_of(text: str | None, seen: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled texts: how many texts of either label fill each bucket, and the sample's buckets."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's labelled texts fill each bucket, by label."""
     counts = np.zeros((2, BUCKETS), dtype=np.int64)
     seen = np.zeros(BUCKETS, dtype=bool)
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = zip(*(part.column(c).to_pylist() for c in ("text", "label", "key", "sampled")))
-            kept = []
-            for text, label, key, sampled in rows:
-                found = buckets_of(text, seen)
-                counts[label, found] += 1
-                if sampled:
-                    kept.append((key, label, found.tobytes()))
-            if kept:
-                key, label, found = zip(*kept)
-                yield _stats(key=key, label=label, found=found)
+            for text, label in zip(part.column("text"), part.column("label").to_pylist()):
+                counts[label, buckets_of(text.as_py(), seen)] += 1
     filled = np.flatnonzero(counts.any(axis=0))
     if len(filled):
-        yield _stats(bucket=filled, clean=counts[0, filled], toxic=counts[1, filled])
+        columns = [pa.array(filled.astype(np.int32)), *(pa.array(c[filled]) for c in counts)]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "clean", "toxic"])
 
 
-_STATS = pa.schema(
-    [
-        ("bucket", pa.int32()),
-        ("clean", pa.int64()),
-        ("toxic", pa.int64()),
-        ("key", pa.int64()),
-        ("label", pa.int32()),
-        ("found", pa.binary()),
-    ]
-)
+def _telling(shared):
+    """The buckets with a telling ratio of each sampled text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, seen = shared.value, np.zeros(BUCKETS, dtype=bool)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = (buckets_of(t.as_py(), seen) for t in part.column("text"))
+                told = pa.array([b[ratios[b] != 0].tobytes() for b in found], type=pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("label"), told], ["key", "label", "found"]
+                )
 
-def _stats(**columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    arrays = [
-        pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(size, f.type)
-        for f in _STATS
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=_STATS)
+    return run
 
 
 def log_ratios(toxic: np.ndarray, clean: np.ndarray, least: float) -> np.ndarray:
@@ -109,7 +96,7 @@ def train(
 ) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio-scaled buckets, both labels of equal weight, by Adam steps."""
     labels = np.array([label for label, _ in samples], dtype=float)
-    found = [b[ratios[b] != 0] for _, b in samples]
+    found = [b for _, b in samples]
     weights, ones = np.zeros(BUCKETS), labels.sum()
     offset = float(np.log((ones + 0.5) / (len(labels) - ones + 1.0)))
     if ones == 0 or ones == len(labels):
@@ -136,55 +123,55 @@ def train(
 
 
 def fit(
-    labelled: DataFrame,
+    texts: DataFrame,
+    taught: DataFrame,
     max_sample: int = 20_000,
     least_ratio: float = 0.5,
     rounds: int = 60,
     decay: float = 3e-4,
 ) -> Model:
-    """Learn from rows of ``doc_id, text, label`` (0 or 1).
+    """Learn from ``doc_id, text`` and one ``label`` (0 or 1) per ``doc_id``.
 
     The log-count ratios count every labelled text. The linear weights are fitted in one task on a
     sample of about ``max_sample`` texts, drawn by a hash of the id, of which only the buckets with
-    a telling ratio are kept; this is the only bound, and it does not touch what is scored.
+    a telling ratio are kept; this is the only bound, and it does not touch what is scored. The ids
+    of the sample are broadcast, which the bound allows.
     """
-    spark = labelled.sparkSession
-    rows = labelled.select(
-        F.xxhash64("doc_id").alias("key"), "text", F.col("label").cast("int").alias("label")
-    )
-    # Counted on the labels alone: the texts are not read for it.
-    count = max(1, labelled.select("label").count())
-    limit = int(min(1.0, max_sample / count) * 2**62)
-    drawn = F.shiftrightunsigned("key", 2) <= F.lit(limit)
-    stats = materialise(
-        rows.withColumn("sampled", drawn).mapInArrow(
-            _gather, "bucket int, clean long, toxic long, key long, label int, found binary"
-        ),
-        "toxicity-stats",
+    spark = texts.sparkSession
+    taught = taught.select(
+        "doc_id", F.xxhash64("doc_id").alias("key"), F.col("label").cast("int").alias("label")
     )
+    # Labels grow with the corpus: the same join at every size, never a broadcast.
+    counts = texts.join(taught.hint("merge"), "doc_id").select("text", "label")
+    counted = counts.mapInArrow(_count, "bucket int, clean long, toxic long")
     clean, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    sums = stats.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
+    sums = counted.groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
     for bucket, c, t in sums.collect():  # at most one row per bucket
         clean[bucket], toxic[bucket] = c, t
     ratios = log_ratios(toxic, clean, least_ratio)
     shared = spark.sparkContext.broadcast(ratios)
 
+    limit = int(min(1.0, max_sample / max(1, taught.count())) * 2**62)
+    drawn = taught.where(F.shiftrightunsigned("key", 2) <= F.lit(limit))
+    told = texts.join(F.broadcast(drawn), "doc_id").select("text", "key", "label")
+    told = told.mapInArrow(_telling(shared), "key long, label int, found binary")
+    # Rows that repeat an id count once, which also keeps the sample within its bound.
+    sample = told.groupBy("key", "label").agg(F.max("found").alias("found"))
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, samples = shared.value, []
         for batch in batches:
-            for key, label, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                buckets = np.frombuffer(found, dtype=np.int32)
-                samples.append((key, label, buckets[own[buckets] != 0]))
-        samples.sort(key=lambda s: (s[0], s[1], s[2].tobytes()))
-        weights, offset = train([s[1:] for s in samples], own, rounds, decay)
+            samples += zip(*(batch.column(i).to_pylist() for i in range(3)))
+        found = [(label, np.frombuffer(b, dtype=np.int32)) for _, label, b in sorted(samples)]
+        weights, offset = train(found, own, rounds, decay)
         parameters = np.append(weights * own, offset)
         yield pa.RecordBatch.from_arrays([pa.array([parameters.tobytes()])], ["parameters"])
 
-    # Rows that repeat an id count once, which also keeps the sample within its bound.
-    sample = stats.where("bucket IS NULL").groupBy("key", "label").agg(F.max("found").alias("found"))
     # One row of a fixed size.
-    ((learned,),) = sample.coalesce(1).mapInArrow(learn, "parameters binary").collect()
-    parameters = np.frombuffer(learned, dtype=float)
+    learned = sample.coalesce(1).mapInArrow(learn, "parameters binary").collect()
+    parameters = (
+        np.frombuffer(learned[0][0], dtype=float) if learned else np.append(np.zeros(BUCKETS), -0.7)
+    )
     return Model(parameters[:-1], ratios**2, float(parameters[-1]))
 
 
@@ -223,7 +210,8 @@ def score_toxicity(
         .agg(F.max("label").alias("label"))
         .where(~held_out(F.col("doc_id")))
     )
-    model = fit(texts.join(taught, "doc_id"), **options)
+    # Held-out texts would find no label, so they need not move.
+    model = fit(texts.where(~held_out(F.col("doc_id"))), taught, **options)
     score = scorer(docs.sparkSession, model)
     scored = texts.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
     return scored.select(
