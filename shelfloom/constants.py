@@ -9,7 +9,6 @@ TITLE_MAX_LENGTH = 150
 DESCRIPTION_MAX_LENGTH = 5000
 MAX_TRIES = 3
 BATCH_ROWS = 30
-PAGE_SAMPLE_CHARS = 30000
 
 # Separator of key and value lists in replies.
 LIST_SEPARATOR = "|"

@@ -38,8 +38,8 @@ def page_text(body: Column, content_type: Column) -> Column:
     return F.when(content_type == "application/json", body).otherwise(page_text_regex(body))
 
 
-def clean_html(html: Column, limit: int | None = C.PAGE_SAMPLE_CHARS) -> Column:
-    """Markup without scripts and styles, cut to what a prompt may hold."""
+def clean_html(html: Column, limit: int | None = None) -> Column:
+    """Markup without scripts and styles; whole, unless the caller states a limit."""
     cleaned = F.regexp_replace(html, C.SCRIPT_OR_STYLE, "")
     return cleaned if limit is None else F.left(cleaned, F.lit(limit))
 

@@ -64,7 +64,8 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
     """Update known ids and insert unknown ones, for all targets in one join.
 
     ``results`` maps a target name to rows of id, text and raw. Each target an id has a result for
-    counts as one try. Several results for one id come down to the smallest raw reply before the
+    counts as one try, unless the row holds that very reply already: loading replies twice does not
+    count twice. Several results for one id come down to the smallest raw reply before the
     shuffle. With ``keep_old`` a null text leaves the old one in place.
     """
     stacked = reduce(
@@ -80,7 +81,14 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
 
     news = stacked.groupBy("id").agg(*[best(name) for name in results])
     joined = output.join(news, "id", "full_outer")
-    counted = sum((F.col(f"_{n}").isNotNull().cast("long") for n in results), F.lit(0).cast("long"))
+
+    def is_new(name: str):
+        # A reply without content is held as an empty one, so that it is known when it comes again.
+        new = F.col(f"_{name}")
+        held = F.coalesce(new["raw"], F.lit("")).eqNullSafe(F.col(S.TARGETS[name].raw_column))
+        return (new.isNotNull() & ~held).cast("long")
+
+    counted = sum(map(is_new, results), F.lit(0).cast("long"))
     values = {
         "tries": F.coalesce(F.col("tries"), F.lit(0).cast("long")) + counted,
         "updated_at": F.when(counted > 0, F.current_timestamp()).otherwise(F.col("updated_at")),
@@ -89,7 +97,7 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
     values["tries"] = F.when(counted > 0, values["tries"]).otherwise(F.col("tries"))
     for name in results:
         target, new = S.TARGETS[name], F.col(f"_{name}")
-        text, raw = new["text"], new["raw"]
+        text, raw = new["text"], F.coalesce(new["raw"], F.lit(""))
         if keep_old:
             text = F.coalesce(text, F.col(target.column))
         else:

@@ -99,22 +99,22 @@ def split_known_ids(source: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     return restrict_to(source, wanted), wanted.join(source.select("id"), "id", "left_anti")
 
 
-def metric_band(
-    feed: DataFrame, metric: str, low: float = 0.1, high: float = 0.9, accuracy: int = 100_000
-) -> DataFrame:
+def metric_band(feed: DataFrame, metric: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Rows with a middling metric: within the given shares of the range from the smallest value to
     the 99th percentile.
 
-    The quantiles are one mergeable sketch per task. ``accuracy`` bounds the rank error at
-    rows / accuracy, so they are exact for fewer rows than that.
+    The percentile is exact at every size: tasks count the distinct values of the metric and the
+    counts are merged. The bounds are a subquery of one row, so nothing runs while the plan is made.
     """
-    quantiles = F.percentile_approx(F.col(metric), F.array(F.lit(0.0), F.lit(0.99)), accuracy)
-    found = feed.agg(quantiles.alias("q")).first()["q"]
-    if not found:
-        return feed.where(F.lit(False))
-    least, span = found[0], found[1] - found[0]
-    # Two numbers, so that the filter reaches the scan as constants.
-    return feed.where(F.col(metric).between(least + low * span, least + high * span))
+    ends = feed.agg(
+        F.min(metric).alias("least"),
+        F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY `{metric}`)").alias("most"),
+    )
+
+    def bound(share: float) -> Column:
+        return ends.select(F.col("least") + share * (F.col("most") - F.col("least"))).scalar()
+
+    return feed.where(F.col(metric).between(bound(low), bound(high)))
 
 
 def in_part(df: DataFrame, parts: int | None, part: int | None, id_col: str = "id") -> DataFrame:
@@ -193,9 +193,14 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(F.length(F.concat_ws("", *cells)) > 0)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """A random sample of n rows, kept as a top-n so that no full sort takes place."""
-    return df.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """A sample of n rows, kept as a top-n so that no full sort takes place.
+
+    The order is that of a digest of the key and the seed, so a task that runs again, or a second
+    use of the sample, draws the same rows.
+    """
+    digest = F.md5(F.concat(F.lit(str(seed)), F.lit("|"), F.col(key).cast("string")))
+    return df.orderBy(digest, key).limit(n)
 
 
 def item_json(feed: DataFrame, item_id: str, id_col: str = "id") -> DataFrame:

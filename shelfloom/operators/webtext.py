@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom import constants as C
 from shelfloom.functions.pages import clean_html, selected_text
 from shelfloom.operators.prepare import sample_rows
 
@@ -27,16 +26,14 @@ def extraction_report(extracted: DataFrame) -> DataFrame:
 
 
 def selector_prompt(
-    instructions: str, pages: DataFrame, sample: int = 5, limit: int = C.PAGE_SAMPLE_CHARS,
-    seed: int | None = None,
+    instructions: str, pages: DataFrame, sample: int = 5, limit: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """One prompt with a few sample pages, each under its own heading."""
-    picked = sample_rows(pages.where("html is not null"), sample, seed)
-    return pages_prompt(instructions, picked, limit)
+    """One prompt out of a few pages (page_id, html), each under its own heading, in order of id.
 
-
-def pages_prompt(instructions: str, picked: DataFrame, limit: int = C.PAGE_SAMPLE_CHARS) -> DataFrame:
-    """One prompt out of a few picked pages (page_id, html), in order of id."""
+    ``sample`` pages are drawn by a digest of their id and the seed, so the prompt stays small
+    however many pages there are. ``limit`` cuts each page; without it pages are shown whole.
+    """
+    picked = sample_rows(pages.where("html is not null"), sample, seed, "page_id")
     cleaned = picked.select("page_id", clean_html(F.col("html"), limit).alias("html"))
     listed = F.transform(
         F.array_sort(F.collect_list(F.struct("page_id", "html"))),

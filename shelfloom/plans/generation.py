@@ -26,7 +26,7 @@ from shelfloom.operators.numbering import chunk, gather_chunks, next_batch
 from shelfloom.operators.prepare import in_part
 from shelfloom.operators.replies import answers, debug_rows
 from shelfloom.session import materialise
-from shelfloom.sources.records import read_replies, reply_files
+from shelfloom.sources.records import read_replies, reply_folders
 
 
 @dataclass(frozen=True)
@@ -306,14 +306,16 @@ def decoded(replies: DataFrame, target: S.Target, strict: bool = False) -> DataF
 def load_and_merge(
     output: DataFrame, folder: str, targets: tuple[str, ...], strict: bool = False
 ) -> DataFrame:
-    """Read the reply files of finished targets and merge them. Running it again gives the same
-    texts, so a broken run is resumed by calling it once the replies are there."""
+    """Read the reply files of the targets and merge them; a target without any is an error.
+
+    Running it again gives the same texts and tries, so a broken run is resumed by calling it once
+    the replies are there.
+    """
     spark = output.sparkSession
-    results = {}
-    for name in targets:
-        place = f"{folder}/replies/{name}"
-        if reply_files(spark, place):
-            results[name] = decoded(read_replies(spark, place), S.TARGETS[name], strict)
+    results = {
+        name: decoded(read_replies(spark, f"{folder}/replies/{name}"), S.TARGETS[name], strict)
+        for name in targets
+    }
     return M.upsert(output, results, keep_old=not strict) if results else output
 
 
@@ -339,9 +341,18 @@ def answer_batch(spark: SparkSession, folder: str, target: str, generator: Gener
     )
 
 
+def finished_targets(spark: SparkSession, folder: str, targets: tuple[str, ...]) -> tuple[str, ...]:
+    """The targets that have finished replies by now."""
+    return tuple(n for n in targets if any(reply_folders(spark, f"{folder}/replies/{n}")))
+
+
 def resume(output: DataFrame, folder: str, settings: Batch) -> DataFrame:
-    """Finish a run whose requests were already sent: no new requests, only replies."""
-    return load_and_merge(output, folder, settings.targets, settings.strict)
+    """Go on with a run whose requests were sent: no new requests, only the replies that are there.
+
+    Targets that are still waiting stay as they are; ``finished_targets`` tells which they are not.
+    """
+    ready = finished_targets(output.sparkSession, folder, settings.targets)
+    return load_and_merge(output, folder, ready, settings.strict)
 
 
 def run_batch(

@@ -20,7 +20,7 @@ from shelfloom.sources.records import write_csv
 
 def quality_check(
     output: DataFrame, prepared: DataFrame, embedder: Embedder, sample: int = 1000,
-    seed: int | None = None,
+    seed: int = 0,
 ) -> DataFrame:
     """Distances between original and generated titles of a sample, as a histogram."""
     titled = output.where("title is not null").select("id", F.col("title").alias("content"))
@@ -33,7 +33,7 @@ def quality_check(
 
 
 def suggest_selector(
-    pages: DataFrame, generator: Generator, sample: int = 5, seed: int | None = None
+    pages: DataFrame, generator: Generator, sample: int = 5, seed: int = 0
 ) -> str:
     """Ask for the selector of the product description, from a few sample pages."""
     prompt = W.selector_prompt(load_template("selector"), pages, sample, seed=seed)

@@ -62,17 +62,20 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_small(scan: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when its files give fewer tasks than there are cores.
-
-    For row-wise heavy work on small tables; large tables have enough splits and stay as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a glob on whatever file system the pattern names, sorted."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(status.getPath().toString() for status in (found or []))
+
+
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files at any depth below a folder; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    found, files = [], system.listFiles(path, True)
+    while files.hasNext():
+        found.append(files.next().getPath().toString())
+    return found

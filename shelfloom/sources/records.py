@@ -6,19 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.functions.envelopes import decode_record
-from shelfloom.session import list_paths
+from shelfloom.session import files_below, list_paths
 
 
-def reply_files(spark: SparkSession, folder: str) -> list[str]:
-    """Whether and which finished parts a reply folder holds."""
-    patterns = [f"{folder}/*.jsonl", f"{folder}/*/*.jsonl", f"{folder}/part-*"]
-    return [p for pattern in patterns for p in list_paths(spark, pattern)]
+def reply_folders(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+    """Folders at any depth that hold replies: with finished parts, and with .jsonl files.
+
+    Parts count once their folder says that it was written to its end.
+    """
+    parts, done, lines = set(), set(), set()
+    for path in files_below(spark, folder):
+        place, _, name = path.rpartition("/")
+        if name == "_SUCCESS":
+            done.add(place)
+        elif name.startswith("part-"):
+            parts.add(place)
+        elif name.endswith(".jsonl"):
+            lines.add(place)
+    return sorted(parts & done), sorted(lines)
 
 
 def read_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of all reply parts below a folder, blank ones left out."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(folder)
-    return lines.where(F.length(F.trim("value")) > 0)
+    """Lines of all finished reply files below a folder, blank ones left out.
+
+    Other files are not read. It is an error if there are no replies at all.
+    """
+    parts, lines = reply_folders(spark, folder)
+    found = [(p, "part-*") for p in [parts] if p] + [(p, "*.jsonl") for p in [lines] if p]
+    if not found:
+        raise FileNotFoundError(f"no finished replies below {folder}")
+    read = [spark.read.option("pathGlobFilter", glob).text(places) for places, glob in found]
+    both = read[0] if len(read) == 1 else read[0].unionByName(read[1])
+    return both.where(F.length(F.trim("value")) > 0)
 
 
 def bad_lines(replies: DataFrame) -> DataFrame:
@@ -35,10 +54,15 @@ def newest_run(spark: SparkSession, root: str) -> str:
     return found[-1]
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",") -> DataFrame:
-    """A feed as text columns; cells may hold line breaks and doubled quotes."""
+def read_csv(
+    spark: SparkSession, path: str, header: bool = True, sep: str = ",", breaks: bool = False
+) -> DataFrame:
+    """A feed as text columns; cells may hold doubled quotes.
+
+    ``breaks`` lets them hold line breaks too, and then a file cannot be split among tasks.
+    """
     return spark.read.csv(
-        path, header=header, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False
+        path, header=header, sep=sep, multiLine=breaks, quote='"', escape='"', inferSchema=False
     )
 
 
@@ -51,7 +75,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 def read_examples(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """properties, title and description of an examples file, by name or by position."""
-    rows = read_csv(spark, path, header)
+    rows = read_csv(spark, path, header, breaks=True)
     names = ("properties", "title", "description")
     picked = [
         F.col(f"`{n}`") if header and n in rows.columns else F.col(f"`{rows.columns[i]}`")

@@ -370,19 +370,22 @@ def batch_roundtrip(t: Tables) -> DataFrame:
 
 @query(
     f"""
-    WITH t AS ({_batch_sql("titles", "title")})
-    SELECT id, md5(prompt) AS title, CAST(NULL AS VARCHAR) AS description, CAST(1 AS BIGINT) AS tries
-    FROM t
+    WITH t AS ({_batch_sql("titles", "title")}), d AS ({_batch_sql("descriptions", "description")})
+    SELECT t.id, md5(t.prompt) AS title, md5(d.prompt) AS description, CAST(2 AS BIGINT) AS tries,
+           CAST(NULL AS VARCHAR) AS waiting
+    FROM t JOIN d ON d.id = t.id
     """
 )
 def batch_resume(t: Tables) -> DataFrame:
-    """A broken run: requests for both targets were sent, replies for one are there."""
+    """A run resumed with the replies of one target, and again once those of both are there."""
     folder = _batch_folder(t, "resume")
     prepared = complete_input(t.filtered(), t.web(), image_col="image_link")
     generation.write_requests(generation.batch_requests(prepared, t.examples(), _BATCH), folder)
     generation.answer_batch(t.spark, folder, "titles", _echo("generated title: "))
-    done = generation.resume(t.output(), folder, _BATCH)
-    return done.select("id", "title", "description", "tries")
+    half = materialise(generation.resume(t.output(), folder, _BATCH), "half")
+    generation.answer_batch(t.spark, folder, "descriptions", _echo("generated description: "))
+    done = generation.resume(half.withColumn("waiting", F.col("description")), folder, _BATCH)
+    return done.select("id", "title", "description", "tries", "waiting")
 
 
 VIEWS["finished"] = """
@@ -475,7 +478,7 @@ def export_file(t: Tables) -> DataFrame:
     """The supplemental feed written as a tab-separated file and read back."""
     folder = _batch_folder(t, "export")
     reports.export_feed("supplemental", t.raw(), _finished(t), folder, sep="\t")
-    return read_csv(t.spark, folder, sep="\t")
+    return read_csv(t.spark, folder, sep="\t", breaks=True)
 
 
 # The structured replies of the stub, as SQL over the scoring feed.
@@ -864,15 +867,14 @@ def cleaned_pages(t: Tables) -> DataFrame:
 @query(
     lambda: f"""
     SELECT {text(load_template("selector"))} || string_agg('--- Page ' || n || ' ---' || chr(10)
-             || left({_CLEANED}, 30000) || chr(10) || chr(10), '' ORDER BY n) AS prompt
+             || {_CLEANED} || chr(10) || chr(10), '' ORDER BY n) AS prompt
     FROM (SELECT html, ROW_NUMBER() OVER (ORDER BY page_id) AS n
-          FROM (SELECT page_id, html FROM pages ORDER BY md5(url), page_id LIMIT 5))
+          FROM (SELECT page_id, html FROM pages WHERE html IS NOT NULL ORDER BY md5('0|' || page_id), page_id LIMIT 5))
     """
 )
 def selector_prompt(t: Tables) -> DataFrame:
     """The request for a selector; five sample pages are what it shows to the model."""
-    picked = t.read("pages").orderBy(F.md5("url"), "page_id").limit(5)
-    return W.pages_prompt(load_template("selector"), picked)
+    return W.selector_prompt(load_template("selector"), t.read("pages"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Passes, batches and merges on small tables."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ def test_every_row_is_done_or_out_of_tries(spark):
     done = run(spark, feed(spark, 300)).collect()
     assert len(done) == 300
     assert all((r["title"] is None) == (r["tries"] == 3) or r["title"] for r in done)
-    assert all(r["title"] in (None, f"Item {r['id']}, new title") for r in done)
+    # The text, then the mark of the prompt that the stand-in read.
+    titles = {r["id"]: r["title"] for r in done if r["title"]}
+    assert all(re.fullmatch(rf"Item {i}, new title #[0-9a-f]{{8}}", t) for i, t in titles.items())
     assert {r["tries"] for r in done} >= {1, 2}
 
 
@@ -178,14 +181,44 @@ def test_reply_files_with_bad_lines(spark, tmp_path):
     assert replies.count() == 6 and records.bad_lines(replies).count() == 1
     old = M.init_output(spark.createDataFrame([("1",), ("3",), ("9",)], "id string"))
     old = old.withColumn("title", F.lit("old"))
-    done = {r["id"]: r for r in G.load_and_merge(old, folder, ("titles", "descriptions")).collect()}
+    with pytest.raises(FileNotFoundError, match="descriptions"):
+        G.load_and_merge(old, folder, ("titles", "descriptions"))
+    first = G.load_and_merge(old, folder, ("titles",))
+    done = {r["id"]: r for r in first.collect()}
     assert {k: (v["title"], v["tries"]) for k, v in done.items()} == {
         "1": ("New", 1), "2": ("New", 1), "3": ("old", 1), "4": ("New", 1), "9": ("old", 0),
     }
+    again = {r["id"]: r["tries"] for r in G.load_and_merge(first, folder, ("titles",)).collect()}
+    assert again == {k: v["tries"] for k, v in done.items()}
     strict = {r["id"]: r for r in G.load_and_merge(old, folder, ("titles",), strict=True).collect()}
     assert strict["3"]["title"] == "" and strict["9"]["title"] == "old"
 
 
+def test_replies_at_any_depth_and_only_finished(spark, tmp_path):
+    deep = tmp_path / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    (deep / "predictions.jsonl").write_text("one\n")
+    (tmp_path / "a" / "notes.txt").write_text("stray\n")
+    for name, finished in (("done", True), ("half", False)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_text(f"{name}\n")
+        if finished:
+            (tmp_path / name / "_SUCCESS").write_text("")
+    rows = [r.value for r in records.read_replies(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == ["done", "one"]
+    with pytest.raises(FileNotFoundError):
+        records.read_replies(spark, str(tmp_path / "half"))
+
+
+def test_null_ids_stay_with_tries_of_their_own(spark):
+    output = M.init_output(spark.createDataFrame([("1",), (None,), (None,)], "id string"))
+    rows = spark.createDataFrame([("1", "t")], "id string, title string")
+    examples = spark.createDataFrame([], "id string, properties string, title string, description string")
+    passes = G.Passes(per_target_tries=True)
+    done = G.generate(output, rows, examples, stub_generator("title", "lines"), passes)
+    assert done.count() == 3 and done.where("id IS NULL").count() == 2
+
+
 def test_snapshots_ignore_unfinished_versions(spark, tmp_path):
     root = str(tmp_path / "out")
     assert M.latest_snapshot(spark, root).count() == 0
@@ -203,7 +236,7 @@ def test_newest_run_and_csv(spark, tmp_path):
     rows = spark.createDataFrame([("1", 'a "quoted"\nline, two'), ("2", None)], "id string, text string")
     path = str(tmp_path / "feed")
     records.write_csv(rows, path)
-    back = {r["id"]: r["text"] for r in records.read_csv(spark, path).collect()}
+    back = {r["id"]: r["text"] for r in records.read_csv(spark, path, breaks=True).collect()}
     assert back == {"1": 'a "quoted"\nline, two', "2": None}
 
 
