@@ -10,8 +10,8 @@ from shelfloom.operators.prepare import spread_left_join, without
 from shelfloom.session import materialise
 
 
-# Distinct segment shapes that are handed to every link as one value.
-MAX_SHAPES = 10_000
+# Length of the pieces by which names are looked up in links.
+PIECE = 4
 
 
 def image_urls(feed: DataFrame, link_col: str = "image_url") -> DataFrame:
@@ -60,7 +60,6 @@ def with_image_text(
     feed: DataFrame,
     images: DataFrame,
     link_col: str = "image_link",
-    max_shapes: int = MAX_SHAPES,
 ) -> DataFrame:
     """The feed with the description of every image whose file name occurs in the item's link.
 
@@ -71,119 +70,48 @@ def with_image_text(
     links = feed.select(F.col(link_col).alias("_link")).where("_link is not null").distinct()
     named = images.select(uri_name(F.col("uri")).alias("name"), "description")
     names = materialise(named.where("name is not null"), "image-names")
-    pairs = names_in_links(links, names.select("name").distinct(), max_shapes)
+    pairs = names_in_links(links, names.select("name").distinct())
     texts = pairs.join(names, "name").select(
         F.col("_link").alias(link_col), F.col("description").alias("image_description")
     )
     return spread_left_join(feed, texts, link_col)
 
 
-def names_in_links(
-    links: DataFrame, names: DataFrame, max_shapes: int = MAX_SHAPES
-) -> DataFrame:
-    """All pairs of a link and a name it contains, found by equality joins.
-
-    A name is cut at its ``%`` into segments that must follow one another. All segments of one level
-    share few shapes (length, place of the first dot, places of ``_``), so each link is cut into
-    the substrings that have such a shape and these are joined to the segments by value. A level
-    keeps, per link and matched beginning, the earliest end, which is all that the next one needs;
-    beginnings shared by many names are one row. Nothing is compared pairwise, so a beginning that a
-    third of all names share costs no more than one row per link.
-
-    The number of shapes is counted first. Where the places of ``_`` vary too much, names are cut at
-    ``_`` as well, which leaves shapes bounded by the length of a name; the pairs found then are
-    checked against the full pattern.
-    """
-    # A backslash would be an escape there; object names in links are taken literally. A name
-    # made of wildcards alone says nothing about a link and is left out.
-    segments = F.filter(F.split("name", "%"), lambda s: s != "")
-    masked = names.select(F.explode(segments).alias("segment"))
-    shape_count = masked.select(_shape(F.col("segment")).alias("s")).distinct().count()
-    loose = shape_count > max_shapes
-    if loose:
-        segments = F.filter(F.split("name", "[%_]"), lambda s: s != "")
-    patterns = names.select("name", segments.alias("segments")).where(F.size("segments") > 0)
-    depth = patterns.agg(F.max(F.size("segments"))).first()[0] or 0
-    states = links.select("_link", F.lit("").alias("_prefix"), F.lit(0).alias("_end"))
-    matched = []
-    for level in range(1, depth + 1):
-        here = patterns.where(F.size("segments") >= level)
-        steps = here.select(
-            F.array_join(F.slice("segments", 1, level - 1), "%").alias("_prefix"),
-            F.col("segments")[level - 1].alias("segment"),
-        ).distinct()
-        shapes = steps.select(_shape(F.col("segment")).alias("shape")).distinct()
-        all_shapes = shapes.agg(F.array_sort(F.collect_list("shape")).alias("shapes")).scalar()
-        probes = (
-            states.select("*", F.explode(all_shapes).alias("shape"))
-            .select(
-                "*",
-                F.explode(_starts(F.col("_link"), F.col("_end"), F.col("shape"))).alias("start"),
-            )
-            .select(
-                "_link",
-                "_prefix",
-                _masked(F.col("_link"), F.col("start"), F.col("shape")).alias("segment"),
-                (F.col("start") + F.col("shape")["length"] - 1).alias("_end"),
-            )
-        )
-        hits = probes.join(steps, ["_prefix", "segment"])
-        grown = F.concat(
-            F.col("_prefix"), F.lit("" if level == 1 else "%"), F.col("segment")
-        )
-        states = (
-            hits.select("_link", grown.alias("_prefix"), "_end")
-            .groupBy("_link", "_prefix")
-            .agg(F.min("_end").alias("_end"))
-        )
-        if level < depth:
-            # Read twice from here on: by the names that end and by the next level.
-            states = materialise(states, "name-starts")
-        ended = patterns.where(F.size("segments") == level).select(
-            "name", F.array_join("segments", "%").alias("_prefix")
-        )
-        matched.append(states.join(ended, "_prefix").select("_link", "name"))
-    if not matched:
-        return links.select("_link", F.lit("").alias("name")).limit(0)
-    result = matched[0]
-    for more in matched[1:]:
-        result = result.unionByName(more)
-    if loose:
-        result = result.where(r"_link LIKE concat('%', replace(name, '\\', '\\\\'), '%')")
-    return result
-
-
-def _shape(segment: Column) -> Column:
-    places = F.sequence(F.lit(1), F.length(segment))
-    return F.struct(
-        F.length(segment).alias("length"),
-        F.instr(segment, ".").alias("dot"),
-        F.filter(places, lambda p: F.substring(segment, p, F.lit(1)) == "_").alias("any"),
+def _pieces(texts: Column, size: Column) -> Column:
+    """All distinct substrings of a length of an array of texts."""
+    longer = F.filter(texts, lambda s: F.length(s) >= size)
+    cut = F.transform(
+        longer,
+        lambda s: F.transform(
+            F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, size)
+        ),
     )
+    return F.array_distinct(F.flatten(cut))
 
 
-def _starts(link: Column, end: Column, shape: Column) -> Column:
-    """Where a segment of the shape may start: anywhere after ``end``, or where its dot falls."""
-    last = F.length(link) - shape["length"] + 1
-    places = F.when(
-        F.length(link) > 0, F.sequence(F.lit(1), F.greatest(F.length(link), F.lit(1)))
-    )
-    dotted = F.transform(
-        F.filter(places, lambda p: F.substring(link, p, F.lit(1)) == "."),
-        lambda p: p - shape["dot"] + 1,
+def names_in_links(links: DataFrame, names: DataFrame) -> DataFrame:
+    """All pairs of a link and a name it contains, found by an equality join.
+
+    A name that occurs in a link brings every piece of its literal parts with it. So each name is
+    looked up by one piece alone, the one that the fewest names have, and each link offers its pieces:
+    one row per place and piece length, however many names there are. Names without ``PIECE``
+    literal characters in a row are looked up by the longest run they have. The pairs that meet are
+    checked against the full pattern. A name made of wildcards alone says nothing about a link and
+    is left out; a backslash in a name is taken literally.
+    """
+    literals = F.filter(F.split("name", "[%_]"), lambda s: s != "")
+    longest = F.array_max(F.transform(literals, lambda s: F.length(s)))
+    sized = names.select("name", literals.alias("_literals"), F.least(F.lit(PIECE), longest).alias("_size"))
+    pieces = sized.where("_size > 0").select(
+        "name", "_size", F.explode(_pieces(F.col("_literals"), F.col("_size"))).alias("piece")
     )
-    starts = F.when(shape["dot"] > 0, dotted).otherwise(places)
-    return F.filter(starts, lambda s: (s > end) & (s >= 1) & (s <= last))
-
-
-def _masked(link: Column, start: Column, shape: Column) -> Column:
-    """The substring at a place, with the characters that ``_`` stands for blanked out."""
-    return F.aggregate(
-        shape["any"],
-        F.substring(link, start, shape["length"]),
-        lambda text, p: F.concat(
-            F.substring(text, F.lit(1), p - 1),
-            F.lit("_"),
-            F.substring(text, p + 1, F.length(text)),
-        ),
+    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("_names"))
+    rarest = pieces.join(shared, "piece").groupBy("name").agg(F.min(F.struct("_names", "piece")).alias("_best"))
+    index = materialise(rarest.select("name", F.col("_best.piece").alias("piece")), "name-pieces")
+    # At most as many lengths as a piece has characters.
+    sizes = index.agg(F.collect_set(F.length("piece")).alias("sizes")).scalar()
+    offered = links.select("_link", F.explode(sizes).alias("_size")).select(
+        "_link", F.explode(_pieces(F.array("_link"), F.col("_size"))).alias("piece")
     )
+    met = offered.join(index, "piece")
+    return met.where(r"_link LIKE concat('%', replace(name, '\\', '\\\\'), '%')").select("_link", "name")

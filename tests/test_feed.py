@@ -12,6 +12,7 @@ from shelfloom.operators import export as X
 from shelfloom.operators import numbering as N
 from shelfloom.operators import prepare as P
 from shelfloom.operators import quality as Q
+from shelfloom.operators import images as images_module
 from shelfloom.operators.images import with_image_text
 from shelfloom.plans import reports
 from shelfloom.plans.enrich import merge_attribute
@@ -87,8 +88,9 @@ def like(link, name):
     return re.search(pattern, link, re.S) is not None
 
 
-@pytest.mark.parametrize("max_shapes", [10_000, 0])
-def test_names_in_links_agree_with_like(spark, max_shapes):
+@pytest.mark.parametrize("piece", [4, 1, 50])
+def test_names_in_links_agree_with_like(spark, piece, monkeypatch):
+    monkeypatch.setattr(images_module, "PIECE", piece)
     random.seed(5)
     letters = "ab_%.1"
     names = {"".join(random.choices(letters, k=random.randint(1, 6))) for _ in range(80)}
@@ -97,7 +99,7 @@ def test_names_in_links_agree_with_like(spark, max_shapes):
     feed = spark.createDataFrame([(i, l) for i, l in enumerate(links)], "id int, image_link string")
     images = spark.createDataFrame([(f"gs://b/{n}", n) for n in names], "uri string, description string")
     found = sorted(
-        ((r["id"], r["image_description"]) for r in with_image_text(feed, images, max_shapes=max_shapes).collect()), key=repr
+        ((r["id"], r["image_description"]) for r in with_image_text(feed, images).collect()), key=repr
     )
     expected = []
     for i, link in enumerate(links):
