@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -40,28 +42,36 @@ class ColumnGenerator:
 
 @dataclass(frozen=True)
 class CallGenerator:
-    """Replies of a client that is opened once per task and called prompt by prompt.
+    """Replies of a client that is opened once per task and asked with several calls in flight.
 
-    ``connect`` runs on the executor and returns the function that answers one prompt. A failing
-    prompt is tried ``attempts`` times and then yields a null reply with the error as status, so
-    one bad prompt never fails the job. ``calls`` bounds how many tasks call at the same time.
+    ``connect`` runs on the executor and returns the function that answers one prompt; with
+    ``with_images`` that function also gets the ``uri`` of the prompt's image, or None. A failing
+    prompt is tried ``attempts`` times, with a pause that doubles each time, and then yields a null
+    reply with the error as status, so one bad prompt never fails the job. ``in_flight`` bounds the
+    calls of a task at the same time, ``calls`` the tasks.
     """
 
-    connect: Callable[[], Callable[[str], str]]
+    connect: Callable[[], Callable[..., str]]
     attempts: int = 3
     calls: int | None = None
+    in_flight: int = 4
+    pause: float = 0.5
+    with_images: bool = False
 
     def generate(self, prompts: DataFrame) -> DataFrame:
-        connect, attempts = self.connect, self.attempts
+        connect, attempts, pause, in_flight = self.connect, self.attempts, self.pause, self.in_flight
+        columns = ["prompt", "uri"] if self.with_images else ["prompt"]
 
         def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ask = connect()
-            for rows in batches:
-                replies = [_ask(ask, prompt, attempts) for prompt in rows["prompt"]]
-                yield rows.assign(
-                    reply=pd.Series([r for r, _ in replies], index=rows.index, dtype="object"),
-                    status=pd.Series([s for _, s in replies], index=rows.index, dtype="object"),
-                )
+            with ThreadPoolExecutor(in_flight) as pool:
+                for rows in batches:
+                    asked = rows[columns].itertuples(index=False, name=None)
+                    replies = list(pool.map(lambda a: _ask(ask, a, attempts, pause), asked))
+                    yield rows.assign(
+                        reply=pd.Series([r for r, _ in replies], index=rows.index, dtype="object"),
+                        status=pd.Series([s for _, s in replies], index=rows.index, dtype="object"),
+                    )
 
         schema = T.StructType(
             [*prompts.schema.fields, T.StructField("reply", T.StringType()),
@@ -71,11 +81,15 @@ class CallGenerator:
         return spread.mapInPandas(answer, schema)
 
 
-def _ask(ask: Callable[[str], str], prompt: str, attempts: int) -> tuple[str | None, str]:
+def _ask(
+    ask: Callable[..., str], asked: tuple, attempts: int, pause: float
+) -> tuple[str | None, str]:
     error = ""
-    for _ in range(attempts):
+    for attempt in range(attempts):
+        if attempt:
+            time.sleep(pause * 2 ** (attempt - 1))
         try:
-            return ask(prompt), ""
+            return ask(*asked), ""
         except Exception as problem:  # whatever a client raises becomes the row's status
             error = str(problem) or type(problem).__name__
     return None, error

@@ -324,3 +324,45 @@ def test_examples_preview(spark):
 
     total, first = examples_preview(examples(spark))
     assert total == 1 and first.first()["title"] == "Good"
+
+
+@pytest.mark.parametrize("layout, wording", [("lines", "You name products"), ("single", "You keep the product data")])
+def test_the_model_step_reads_the_whole_prompt(spark, layout, wording):
+    rows = feed(spark, 20).select("id", F.col("title").alias("properties"), F.lit(None).cast("string").alias("image_url"))
+    block = example_blocks(literal_examples(spark, [("e", "{}", "t", "d")]))
+    prompts = G.build_prompts(rows, block, G.Passes(layout=layout, buckets=4))
+    replied = stub_generator("title", layout).generate(prompts).select("chunk_id", "ids", "reply", "status")
+    assert wording in replied._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_client_gets_the_image_and_is_asked_again(spark):
+    def connect():
+        failed = set()
+
+        def ask(prompt, uri):
+            if prompt.endswith("3") and prompt not in failed:
+                failed.add(prompt)
+                raise OSError("busy")
+            if prompt.endswith("7"):
+                raise ValueError("never")
+            return f"{prompt} with {uri}"
+
+        return ask
+
+    prompts = spark.range(20).select(
+        F.concat(F.lit("p"), "id").alias("prompt"), F.when(F.col("id") < 10, "gs://b/x").alias("uri")
+    )
+    model = CallGenerator(connect, with_images=True, pause=0.001)
+    rows = {r.prompt: r for r in model.generate(prompts).collect()}
+    assert rows["p3"].reply == "p3 with gs://b/x" and rows["p13"].reply == "p13 with None"
+    assert rows["p7"].reply is None and rows["p7"].status == "never"
+    assert len(rows) == 20
+
+
+def test_plain_csv_is_split_among_tasks(spark, tmp_path):
+    (tmp_path / "feed.csv").write_text("id,text\n" + "1,some text\n" * 20_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        assert records.read_csv(spark, str(tmp_path / "feed.csv")).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
