@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions import parsing as P
 from shelfloom.functions.envelopes import raw_capture
+from shelfloom.functions.text import let
 
 
 def explode_replies(generated: DataFrame, entries: Column) -> DataFrame:
@@ -43,12 +44,24 @@ def first_answer(entries: DataFrame, require_asked: bool = True) -> DataFrame:
 
 
 def answers(generated: DataFrame, column: str, layout: str, require_asked: bool = True) -> DataFrame:
-    """All asked ids with their text, null where the reply holds none."""
+    """All asked ids with their text, null where the reply holds none; an id is in one prompt only.
+
+    If only asked ids count, the first answer of an id is found within its own reply, and nothing
+    is shuffled. Otherwise a reply may answer ids of other prompts, which meet by id.
+    """
     entries = parsed_entries(F.col("reply"), F.col("ids"), column, layout)
+    if require_asked:
+
+        def own(found: Column, ids: Column) -> Column:
+            def first(i: Column) -> Column:
+                return F.get(F.filter(found, lambda e: e["id"] == i), F.lit(0))["text"]
+
+            return F.transform(ids, lambda i: F.struct(i.alias("id"), first(i).alias("text")))
+
+        return generated.select(F.inline(let(entries, F.col("ids"), own)))
     asked = generated.select(F.explode("ids").alias("id"))
     found = explode_replies(generated, entries).where(F.col("text").isNotNull() | F.col("id").isNotNull())
-    texts = first_answer(found, require_asked)
-    return asked.distinct().join(texts, "id", "left")
+    return asked.distinct().join(first_answer(found, False), "id", "left")
 
 
 def debug_rows(generated: DataFrame) -> DataFrame:
