@@ -44,11 +44,9 @@ def clean_html(html: Column, limit: int | None = None) -> Column:
     return cleaned if limit is None else F.left(cleaned, F.lit(limit))
 
 
-# Elements without content, and elements whose own text does not belong to the text around them.
-_VOID = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
+# The void elements of the HTML standard, and elements whose own text does not belong
+# to the text around them.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ASIDE = frozenset("script style template rt rp".split())
 
 _TOKEN = re.compile(r"[.#]?[\w-]+|\*|\[\s*([\w-]+)\s*(?:(\^?=)\s*[\"']?([^\"'\]]*)[\"']?)?\s*\]")

@@ -80,7 +80,9 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
         return F.min(F.when(F.col("target") == name, F.struct("raw", "text"))).alias(f"_{name}")
 
     news = stacked.groupBy("id").agg(*[best(name) for name in results])
-    joined = output.join(news, "id", "full_outer")
+    # Rows without an id match nothing; in a full join they would all meet in one task.
+    lone = output.where("id is null")
+    joined = output.where("id is not null").join(news, "id", "full_outer")
 
     def is_new(name: str):
         # A reply without content is held as an empty one, so that it is known when it comes again.
@@ -104,7 +106,8 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
             text = F.when(new.isNotNull(), text).otherwise(F.col(target.column))
         values[target.column] = text
         values[target.raw_column] = F.when(new.isNotNull(), raw).otherwise(F.col(target.raw_column))
-    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in output.columns])
+    merged = joined.select(*[values.get(c, F.col(c)).alias(c) for c in output.columns])
+    return merged.unionByName(lone)
 
 
 def save_snapshot(output: DataFrame, root: str) -> str:

@@ -17,6 +17,7 @@ from shelfloom.operators.scoring import with_item
 from shelfloom.plans import generation as G
 from shelfloom.plans.enrich import attribute_requests
 from shelfloom.plans.optimise import description_prompts, title_prompts, with_landing_page
+from shelfloom.session import materialise
 from shelfloom.workload.registry import query, text
 from shelfloom.workload.stub import answered, block_reply, fails, line_reply, single_reply
 from shelfloom.workload.views import Tables
@@ -188,8 +189,9 @@ _SETTINGS = G.Batch(
 )
 def batch_prompts(t: Tables) -> DataFrame:
     block = example_blocks(t.examples())
+    completed = materialise(_completed(t), "completed")
     prompts = [
-        G.batch_prompts(_completed(t), block, S.TARGETS[name], _SETTINGS).select(
+        G.batch_prompts(completed, block, S.TARGETS[name], _SETTINGS).select(
             F.lit(name).alias("target"), "id", "prompt"
         )
         for name in _SETTINGS.targets

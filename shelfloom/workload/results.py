@@ -360,7 +360,8 @@ def _raw_sql(label: str, prompt: str) -> str:
 def batch_roundtrip(t: Tables) -> DataFrame:
     """Request files, replies and merge for two targets."""
     folder = _batch_folder(t, "batch")
-    prepared = complete_input(t.filtered(), t.web(), image_col="image_link")
+    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
+    prepared = materialise(completed, "completed")
     generation.write_requests(generation.batch_requests(prepared, t.examples(), _BATCH), folder)
     generation.answer_batch(t.spark, folder, "titles", _echo("Generated title: "))
     generation.answer_batch(t.spark, folder, "descriptions", _echo("generated description: "))
@@ -379,7 +380,8 @@ def batch_roundtrip(t: Tables) -> DataFrame:
 def batch_resume(t: Tables) -> DataFrame:
     """A run resumed with the replies of one target, and again once those of both are there."""
     folder = _batch_folder(t, "resume")
-    prepared = complete_input(t.filtered(), t.web(), image_col="image_link")
+    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
+    prepared = materialise(completed, "completed")
     generation.write_requests(generation.batch_requests(prepared, t.examples(), _BATCH), folder)
     generation.answer_batch(t.spark, folder, "titles", _echo("generated title: "))
     half = materialise(generation.resume(t.output(), folder, _BATCH), "half")
@@ -503,6 +505,7 @@ VIEWS["title_replies"] = """
            ELSE 'no description possible' END AS description_reply
     FROM scoring_feed"""
 
+# The word pattern and the labels of the reply contract.
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ0-9]+"
 _HEAD = (
     r"(?ims)^.*product attribute keys in original title:\**(.*)^.*product category:\**(.*)"
