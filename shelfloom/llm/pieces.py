@@ -18,16 +18,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    IntegerType,
+    LongType,
+    StructField,
+    StructType,
+)
 
 from shelfloom.llm.words import M1, M2, M3, mix, slices, text_bytes, word_hashes
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _BLANK = "▁"  # how vocabularies write a blank
-_SLICE = 4 << 20
-_MOST_NODES = 4_000_000
+_SLICE = 2 << 20
+_MOST_NODES = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -323,22 +332,37 @@ def _sampler(vocabulary: Vocabulary) -> Sampler:
     return _SAMPLERS[key]
 
 
-def encoder(spark, vocabulary: Vocabulary):
-    """A function of a text and a 64-bit key column to the sampled pieces; null counts as empty."""
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        sampler = _sampler(shared.value)
-        for texts, keys in batches:
-            rows = pa.RecordBatch.from_arrays([texts, keys], ["text", "key"])
-            parts = [
-                sampler.encode(p.column("text"), p.column("key").to_numpy(zero_copy_only=False))
-                for p in slices(rows, "text", _SLICE)
-            ]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-
-    return encode
+def _coded(
+    docs: DataFrame, id_col: str, text_col: str, model_path: str, smoothing: float, seed: int
+) -> DataFrame:
+    """``id, n_pieces, lossless, pieces`` per row, in small batches however large those that come."""
+    vocabulary = load_vocabulary(model_path, smoothing)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    own_id = F.col(f"`{id_col}`")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    rows = docs.select(own_id.alias("id"), F.xxhash64(own_id, F.lit(seed)).alias("key"), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, decoder = _sampler(shared.value), Decoder(shared.value.texts)
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                keys = part.column("key").to_numpy(zero_copy_only=False)
+                found = sampler.encode(part.column("text"), keys)
+                same = pc.equal(decoder.decode(found), part.column("text"))
+                counts = pc.list_value_length(found).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), counts, same, found], ["id", "n_pieces", "lossless", "pieces"]
+                )
+
+    schema = StructType(
+        [
+            StructField("id", rows.schema["id"].dataType),
+            StructField("n_pieces", LongType()),
+            StructField("lossless", BooleanType()),
+            StructField("pieces", ArrayType(IntegerType())),
+        ]
+    )
+    return rows.mapInArrow(run, schema)
 
 
 def decoder(spark, vocabulary: Vocabulary):
@@ -357,10 +381,6 @@ def decoder(spark, vocabulary: Vocabulary):
     return decode
 
 
-def row_key(doc_id: Column, seed: int) -> Column:
-    return F.xxhash64(doc_id, F.lit(seed))
-
-
 def encode_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -369,34 +389,20 @@ def encode_documents(
     smoothing: float = 1.0,
     seed: int = 0,
 ) -> DataFrame:
-    """``id, pieces`` per row: a segmentation of the whole text drawn by the id.
+    """``id, n_pieces, lossless, pieces`` per row: a segmentation of the whole text drawn by the id.
 
-    Null and empty texts have no pieces. Rows that repeat an id and text get the same pieces; null
-    ids share a draw. An empty table gives no rows; other columns are ignored. Decoding the pieces
-    gives the text back to the byte: unlike in the usual encoder no blank is put before it.
+    ``lossless`` says whether decoding the pieces gave the text back, to the byte; unlike in the usual
+    encoder no blank is put before a text. Null and empty texts have no pieces. Rows that repeat an
+    id and text get the same pieces; null ids share a draw. An empty table gives no rows; other
+    columns are ignored.
     """
-    encode = encoder(docs.sparkSession, load_vocabulary(model_path, smoothing))
-    rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    pieces = encode("_text", row_key(F.col(f"`{id_col}`"), seed)).alias("pieces")
-    return rows.select(F.col(f"`{id_col}`"), pieces)
+    coded = _coded(docs, id_col, text_col, model_path, smoothing, seed)
+    return coded.withColumnRenamed("id", id_col)
 
 
-def check_round_trip(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    model_path: str = DEFAULT_MODEL,
-    smoothing: float = 1.0,
-    seed: int = 0,
+def decode_documents(
+    coded: DataFrame, pieces_col: str = "pieces", model_path: str = DEFAULT_MODEL
 ) -> DataFrame:
-    """``encode_documents`` with ``n_pieces`` and ``lossless``, whether decoding gives the text back."""
-    spark, vocabulary = docs.sparkSession, load_vocabulary(model_path, smoothing)
-    encode, decode = encoder(spark, vocabulary), decoder(spark, vocabulary)
-    rows = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    coded = rows.withColumn("pieces", encode("_text", row_key(F.col(f"`{id_col}`"), seed)))
-    return coded.select(
-        F.col(f"`{id_col}`"),
-        F.size("pieces").cast("long").alias("n_pieces"),
-        (decode("pieces") == F.col("_text")).alias("lossless"),
-        "pieces",
-    )
+    """The rows with ``text``, decoded from their pieces; null pieces give a null text."""
+    decode = decoder(coded.sparkSession, load_vocabulary(model_path))
+    return coded.withColumn("text", decode(F.col(f"`{pieces_col}`")))
