@@ -28,7 +28,7 @@ def by_hand(texts, width=4, percent=85):
                 root[max(a, b)] = min(a, b)
         for g in grams:
             where[g].append(i)
-    return sorted((i, len(sets[i]), find(i)) for i in sets)
+    return sorted(((i, len(sets[i]), find(i)) for i in sets), key=repr)
 
 
 def corpus(seed, groups=40, copies=6):

@@ -40,12 +40,12 @@ def test_stages_in_order_and_columns(spark, folder):
         docs = stage(spark, docs, folder)
         assert docs.schema == columns
         docs = spark.createDataFrame(docs.collect(), columns)
-        kept.append([r[0] for r in found(docs, "doc_id")])
+        kept.append(sorted(r[0] for r in found(docs, "doc_id")))
     good, single, far, mixed = kept
     judged = quality.score_quality(
         spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     )
-    assert good == [r[0] for r in found(judged.where("kept"), "doc_id")]
+    assert good == sorted(r[0] for r in found(judged.where("kept"), "doc_id"))
     clean = {i for i, t in texts.items() if t and "!!" not in t}
     assert clean <= set(good) and not any("!!" in (texts[i] or "") for i in good)
     largest = {}
@@ -53,7 +53,8 @@ def test_stages_in_order_and_columns(spark, folder):
         key = ascii_lower(texts[i])
         largest[key] = max(i, largest.get(key, i))
     assert single == sorted(largest.values())
-    assert far == [i for i, _, root in near_by_hand([(i, texts[i]) for i in single], 5, 80) if i == root]
+    near = near_by_hand([(i, texts[i]) for i in single], 5, 80)
+    assert far == sorted(i for i, _, root in near if i == root)
     rest = documents(spark, [(i, texts[i]) for i in far])
     times = Counter()
     for i, size, taken in found(mixing.mix_report(rest), "doc_id", "size", "taken"):
