@@ -62,7 +62,7 @@ if __name__ == "__main__":
     from shelfloom.session import local_session
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session(8)
+    spark = local_session(8, shared=os.environ.get("SHARED_DIR", "/tmp/shelfloom-twins"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, twins = entry.queries(), entry.oracle_sql()
