@@ -266,19 +266,23 @@ def _regions(percent: int):
 
 
 def _sets(width: int):
-    schema = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("grams", pa.binary()), ("sketch", pa.binary())])
+    """Set and sketch of each document whose text gives the digest that it was chosen for, once."""
+    schema = pa.schema(
+        [("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("sketch", pa.binary())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                found = list(sets_of(part.column("text"), width))
-                yield _rows(
-                    schema,
-                    node=part.column("node").to_pylist(),
-                    digest=[_digest(g) for g in found],
-                    grams=[g.tobytes() for g in found],
-                    sketch=[_sketch(g).tobytes() for g in found],
-                )
+                nodes, digests = part.column("node").to_pylist(), part.column("digest").to_pylist()
+                rows = []
+                for node, digest, grams in zip(nodes, digests, sets_of(part.column("text"), width)):
+                    if _digest(grams) == digest and (node, digest) not in seen:
+                        seen.add((node, digest))
+                        rows.append((_short(digest), node, len(grams), grams.tobytes(), _sketch(grams).tobytes()))
+                if rows:
+                    yield _rows(schema, **dict(zip(schema.names, zip(*rows))))
 
     return run
 
@@ -299,15 +303,43 @@ def _common(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(counts, type=pa.int64())
 
 
+def _apart(left: pa.Array, right: pa.Array) -> pa.Array:
+    """By how much sketches differ."""
+    size = _CLASSES
+    a, b = (
+        np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint16).astype(np.int64).reshape(-1, size)
+        for v in (left, right)
+    )
+    return pa.array(np.abs(a - b).sum(axis=1))
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """Pairs of keys with node, size and one column of both documents.
+
+    Both sides grow with the corpus, so they meet by a sort-merge join at every size.
+    """
+    for key, node in (("a", "u"), ("b", "v")):
+        side = sets.select(
+            F.col("key").alias(key), F.col("node").alias(node), F.col("n").alias(f"n_{node}"), F.col(value).alias(f"x_{node}")
+        )
+        pairs = pairs.join(side.hint("merge"), key)
+    return pairs.withColumn("total", F.col("n_u") + F.col("n_v"))
+
+
+def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule out a link."""
+    most = F.col("total") - 2 * F.ceil(F.lit(percent) * F.col("total") / (100 + percent))
+    apart = F.arrow_udf(_apart, "long")
+    close = _sides(pairs.select("a", "b"), sets, "sketch").where(apart("x_u", "x_v") <= most)
+    return close.select("a", "b").distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b, u, v, n_common, n_union`` of pairs of keys; u and v are the nodes."""
     count = F.arrow_udf(_common, "long")
-    left = sets.select(F.col("key").alias("a"), F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("grams").alias("g_u"))
-    right = sets.select(F.col("key").alias("b"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("grams").alias("g_v"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.select("a", "b", "u", "v", (F.col("n_u") + F.col("n_v")).alias("total"), count("g_u", "g_v").alias("n_common")).select(
-        "a", "b", "u", "v", "n_common", (F.col("total") - F.col("n_common")).alias("n_union")
-    )
+    both = _sides(pairs.select("a", "b"), sets, "grams")
+    counted = both.select("a", "b", "u", "v", "total", count("x_u", "x_v").alias("n_common"))
+    return counted.withColumn("n_union", F.col("total") - F.col("n_common")).drop("total")
 
 
 def _links(verified: DataFrame, percent: int) -> DataFrame:
@@ -343,12 +375,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _star(hot: DataFrame) -> DataFrame:
-    """``pivot, centre_no, a, key``: the centres of each large region against its documents.
+    """``pivot, key, centre_no, centre``: the documents of each large region against its centres.
 
-    A centre has few rarer n-grams before the pivot, so it lies amid the documents of its region.
+    The fewer n-grams of its own a document has, the more large regions it is in and the nearer it
+    lies to the middle of them all. So the regions of one group share their centres.
     """
+    regions = materialise(hot.groupBy("key").agg(F.count(F.lit(1)).alias("regions")), "region-counts")
     number = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).alias("centre_no")
-    centres = hot.groupBy("pivot", number).agg(F.min(F.struct("rank", "key")).alias("c"))
+    centres = hot.join(regions, "key").groupBy("pivot", number).agg(F.max(F.struct("regions", "key")).alias("c"))
     centres = materialise(centres.select("pivot", "centre_no", F.col("c.key").alias("centre")), "centres")
     return hot.select("pivot", "key").join(centres, "pivot").where("key != centre")
 
@@ -385,7 +419,7 @@ def _outside_pairs(percent: int):
                     (root != own[2])
                     & (key != own[0])
                     & (percent * np.maximum(n, own[1]) <= 100 * np.minimum(n, own[1]))
-                    & (np.abs(away - np.array(own[3])) <= reach).all(axis=1)
+                    & ~(np.abs(away - np.array(own[3])) > reach).any(axis=1)
                     & (np.abs(sketches - own[4]).sum(axis=1) <= apart)
                 )
                 if can.any():
@@ -407,11 +441,13 @@ def _rejoin(
         distance,
         (F.least("centre", "key") == F.col("a")) & (F.greatest("centre", "key") == F.col("b")),
     )
-    # A centre is at distance 0 of itself; a region may have fewer centres than numbers.
-    per_centre = [F.coalesce(F.max(F.when(F.col("centre_no") == k, F.col("d"))), F.lit(0.0)) for k in range(CENTRES)]
+    # Distances that were not measured, as sketches ruled a link out, rule nothing out themselves.
+    unknown = F.lit(float("nan"))
+    per_centre = [F.coalesce(F.max(F.when(F.col("centre_no") == k, F.col("d"))), unknown) for k in range(CENTRES)]
     distances = measured.groupBy("pivot", "key").agg(F.array(*per_centre).alias("distances"))
     placed = (
-        hot.join(distances, ["pivot", "key"])
+        hot.join(distances, ["pivot", "key"], "left")
+        .withColumn("distances", F.coalesce("distances", F.array(*[unknown] * CENTRES)))
         .join(sets.select("key", "node", "sketch"), "key")
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
@@ -499,14 +535,13 @@ def near_components(
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     chosen = nodes.join(wanted, "key").select("key", "node", "n", F.col("digest").alias("own_digest"))
     chosen = materialise(chosen, "chosen")
-    found = known.join(chosen.select("node").distinct(), F.col("doc_id") == F.col("node")).select("node", "text")
-    made = found.mapInArrow(_sets(width), "node long, digest binary, grams binary, sketch binary")
+    found = known.join(chosen.hint("merge"), F.col("doc_id") == F.col("node")).select(
+        "node", "text", F.col("own_digest").alias("digest")
+    )
     sets = materialise(
-        made.join(chosen.withColumnRenamed("node", "own"), (F.col("node") == F.col("own")) & (F.col("digest") == F.col("own_digest")))
-        .dropDuplicates(["node", "digest"])
-        .select("key", "node", "n", "grams", "sketch"),
-        "sets",
+        found.mapInArrow(_sets(width), "key long, node long, n int, grams binary, sketch binary"), "sets"
     )
+    pairs = materialise(_promising(pairs, sets, percent), "promising-pairs")
     verified = materialise(verify(pairs, sets), "verified")
     links = _links(verified, percent)
     if not hot.isEmpty():
