@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from shelfloom.llm.words import text_bytes, word_hashes, word_spans
+from shelfloom.llm.words import slices, text_bytes, word_hashes, word_spans
 from shelfloom.session import materialise
 
 # Classes of bytes whose share of a text is a feature.
@@ -23,11 +23,21 @@ CLASSES = {
     "symbol": b"#$%&*+/<=>@[\\]^_`{}~",
     "break": b"\n\r",
 }
+_SLICE = 2 << 20
 FEATURES = [*CLASSES, "wide", "repeated_word", "distinct_words", "word_length", "size", "empty"]
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
-    """One row of ``FEATURES`` per text, from the whole text; null counts as empty."""
+    """One row of ``FEATURES`` per text, from the whole text; null counts as empty.
+
+    A batch is worked off in slices, so memory is bounded by a slice or the longest text.
+    """
+    rows = pa.RecordBatch.from_arrays([texts], ["text"])
+    parts = [_features(part.column("text")) for part in slices(rows, "text", _SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _features(texts: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(texts)
     count, size = len(texts), np.diff(offsets)
     result = np.zeros((count, len(FEATURES)))
