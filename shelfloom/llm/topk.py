@@ -3,8 +3,8 @@
 Vectors become rows of whole numbers, so scores are whole and equal everywhere. Blocks of queries
 meet blocks of candidates; what leaves a pair of blocks is a few counts per query, never scores.
 Each round scores everything again and counts the scores of the one bin of the round before that
-holds the kth value, split into finer bins, until a bin is a single score. The last round takes what
-lies above that score, and of those that equal it the smallest ids.
+holds the kth value, split into finer bins and up to its exact end, until a bin is a single score.
+The last round takes what lies above that score, and of those that equal it the smallest ids.
 """
 
 from __future__ import annotations
@@ -106,14 +106,17 @@ def _limits(batch: pa.RecordBatch, i: int, q_ids: np.ndarray, names: tuple[str,
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per bin of each query's present range."""
+    """Counts per bin of each query's present range.
+
+    The bins may reach beyond the range, but only scores from ``low`` to ``high`` are counted: those
+    above it have been taken already.
+    """
     for batch, i, q_ids, _, times, scores, other in _scored(batches):
-        low, width = _limits(batch, i, q_ids, ("low", "width"))
-        step = np.maximum(width, 1)[:, None]
-        bins = (scores - low[:, None]) // step
-        inside = other & (width[:, None] > 0) & (bins >= 0) & (bins < BINS)
+        low, high, width = _limits(batch, i, q_ids, ("low", "high", "width"))
+        inside = other & (width[:, None] > 0) & (scores >= low[:, None]) & (scores <= high[:, None])
         row, column = np.nonzero(inside)
-        counts = np.bincount(row * BINS + bins[row, column], weights=times[column], minlength=len(q_ids) * BINS)
+        bins = (scores[row, column] - low[row]) // width[row]
+        counts = np.bincount(row * BINS + bins, weights=times[column], minlength=len(q_ids) * BINS)
         filled = np.flatnonzero(counts)
         if len(filled):
             columns = (q_ids[filled // BINS], filled % BINS, counts[filled].astype(np.int64))
@@ -188,14 +191,16 @@ def top_k(
     owner = queries.select("dim", "q_block", F.explode("ids").alias("query_id"))
 
     def gathered(state: DataFrame) -> DataFrame:
-        rows = F.collect_list(F.struct("query_id", "low", "width"))
+        rows = F.collect_list(F.struct("query_id", "low", "high", "width"))
         return state.join(owner, "query_id").groupBy("dim", "q_block").agg(rows.alias("state"))
 
     spans = _meet(queries, candidates, None).mapInArrow(_span, "query_id long, low long, high long, n long")
     state = spans.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    # ``left``: how many of the present range are still to be taken, from the top.
-    width = F.ceil((F.col("high") - F.col("low") + 1) / BINS).cast("long")
-    state = materialise(state.select("query_id", "low", width.alias("width"), F.least("n", F.lit(k)).alias("left")), "kth-range")
+    # ``high`` is the last score of the present range; ``left``: how many of the range are still to
+    # be taken, from the top.
+    width = F.expr(f"(high - low) div {BINS} + 1")
+    state = state.select("query_id", "low", "high", width.alias("width"), F.least("n", F.lit(k)).alias("left"))
+    state = materialise(state, "kth-range")
     while not (open_ := state.where("width > 0")).isEmpty():
         counts = _meet(queries, candidates, gathered(open_)).mapInArrow(_histogram, "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
@@ -204,10 +209,12 @@ def top_k(
         above = F.sum("n").over(down) - F.col("n")
         hit = counts.select("query_id", "bin", "n", above.alias("above")).join(open_, "query_id")
         hit = hit.where("above < left AND above + n >= left")
-        finer = F.when(F.col("width") == 1, 0).otherwise(F.ceil(F.col("width") / BINS)).cast("long")
+        # A bin of one score is settled; its width becomes 0.
+        finer = F.expr(f"CASE WHEN width = 1 THEN 0 ELSE (width - 1) div {BINS} + 1 END").cast("long")
         refined = hit.select(
             "query_id",
             (F.col("low") + F.col("bin") * F.col("width")).alias("low"),
+            F.least("high", F.col("low") + (F.col("bin") + 1) * F.col("width") - 1).alias("high"),
             finer.alias("width"),
             (F.col("left") - F.col("above")).alias("left"),
         )

@@ -1,6 +1,8 @@
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,23 @@ def test_all_queries_as_by_hand(spark, ties):
     assert found(result, "query_id", "rank", "vec_id", "score") == by_hand(rows, 10, lambda i: i % 100 == 0)
 
 
+def test_every_query_gets_all_its_rows(spark):
+    draw = np.random.default_rng(9)
+    units = draw.normal(size=(3000, 64))
+    units = (units / np.linalg.norm(units, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(units)]
+    whole = np.floor(1024 * units.astype(float)).astype(np.int64)
+    expected = []
+    for q in range(150):
+        scores = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(len(rows)), -scores)).tolist() if i != q][:10]
+        expected += [(q, n, i, int(scores[i])) for n, i in enumerate(best, 1)]
+    result = topk.top_k(vectors(spark, rows), is_query=lambda i: i < 150, candidate_block=1024)
+    result = result.collect()
+    assert set(Counter(r["query_id"] for r in result).values()) == {10}
+    assert sorted(map(tuple, result)) == expected
+
+
 def test_unusable_vectors_and_few_candidates(spark):
     rows = [
         (0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]),
