@@ -22,21 +22,24 @@ from shelfloom.session import materialise
 SCALE = 1024
 BINS = 256
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+# Sums of products of two limbs over so many dimensions are whole in a double.
+LIMB, LIMB_DIMS = 2.0**20, 4096
 
 
 def whole_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, dim, values``: floor(1024 * x) of each component as doubles in bytes.
 
     Rows with a null id, a null vector or a component that is null, infinite or not a number take
-    no part. All products and sums of the search must stay whole in a double; larger ones are an
-    error rather than a wrong score.
+    no part. Components may be of any size; only a score that does not fit a long is an error.
     """
     vector = F.col(f"`{vector_col}`").cast("array<double>")
     ordinary = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
     usable = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("v"))
     usable = usable.where("id IS NOT NULL AND v IS NOT NULL").where(F.forall("v", ordinary))
-    # Shifting the point of a double is exact; floor gives the integer as a double again.
-    return usable.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("values"))
+    # Shifting the point of a double is exact; floor gives the integer as a double again. Products
+    # from 2^53 on are whole already, and floor would cut those that exceed a long.
+    whole = lambda x: F.when(F.abs(x) * SCALE < 2.0**53, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)
+    return usable.select("id", F.size("v").alias("dim"), F.transform("v", whole).alias("values"))
 
 
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
@@ -61,6 +64,59 @@ def _matrix(values: pa.Scalar, dim: int, count: int) -> np.ndarray:
     return np.asarray(values.values.to_numpy(zero_copy_only=False), dtype=float).reshape(count, dim)
 
 
+def _limbs(values: np.ndarray) -> list[np.ndarray]:
+    """The lowest 80 bits of whole doubles, 20 at a time from the low end; negative ones as two's complement."""
+    parts = []
+    for _ in range(4):
+        rest = np.floor(values / LIMB)
+        parts.append(values - rest * LIMB)
+        values = rest
+    return parts
+
+
+def _wide_scores(q: np.ndarray, c: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Exact scores of whole vectors whose products may leave the whole doubles, where ``asked``.
+
+    Limbs multiply exactly in doubles and add up modulo 2^64, which is the score if that fits a
+    long. Where the sizes of the products do not show that it does, it is summed without a limit.
+    """
+    total = np.zeros((len(q), len(c)), dtype=np.uint64)
+    with np.errstate(all="ignore"):
+        for at in range(0, q.shape[1], LIMB_DIMS):
+            q_parts, c_parts = (_limbs(x[:, at : at + LIMB_DIMS]) for x in (q, c))
+            for i, a in enumerate(q_parts):
+                for j, b in enumerate(c_parts[: 4 - i]):
+                    total += (a @ b.T).astype(np.uint64) << np.uint64(20 * (i + j))
+        fits = np.abs(q) @ np.abs(c).T < 2.0**62
+    scores = total.view(np.int64)
+    for i, j in np.argwhere(asked & ~fits):
+        pairs = ((a, b) for a, b in zip(q[i].tolist(), c[j].tolist()) if a and b)
+        # An infinite component is a finite one that left the doubles when it was scaled.
+        exact = sum(int(a) * int(b) if np.isfinite((a, b)).all() else 1 << 1024 for a, b in pairs)
+        if not -(1 << 63) <= exact < 1 << 63:
+            raise OverflowError("vector components are too large for exact scores in a long")
+        scores[i, j] = exact
+    return scores
+
+
+def _exact_scores(q: np.ndarray, c: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whole scores of all pairs; only those of ``asked`` count.
+
+    Doubles serve where all products and sums stay whole in them. The others lie where a large query
+    vector meets a large candidate.
+    """
+    with np.errstate(all="ignore"):
+        scores = (q @ c.T).astype(np.int64)
+        q_most, c_most = np.abs(q).max(axis=1, initial=0.0), np.abs(c).max(axis=1, initial=0.0)
+        dim = max(1, q.shape[1])
+        rows = np.flatnonzero(~(q_most * c_most.max(initial=0.0) * dim < 2.0**53))
+        columns = np.flatnonzero(~(c_most * q_most.max(initial=0.0) * dim < 2.0**53))
+    if len(rows) and len(columns):
+        at = np.ix_(rows, columns)
+        scores[at] = _wide_scores(q[rows], c[columns], asked[at])
+    return scores
+
+
 def _scored(batches: Iterator[pa.RecordBatch]):
     """Per pair of blocks: the batch, the row, ids of queries and candidates, times and scores.
 
@@ -73,12 +129,9 @@ def _scored(batches: Iterator[pa.RecordBatch]):
             )
             dim = batch.column("dim")[i].as_py()
             q, c = (_matrix(batch.column(m)[i], dim, len(k)) for m, k in (("q_matrix", q_ids), ("c_matrix", c_ids)))
-            most = np.abs(q).max(initial=0.0) * np.abs(c).max(initial=0.0) * max(1, dim)
-            if most >= 2.0**53:
-                raise OverflowError("vector components are too large for exact scores")
-            scores = (q @ c.T).astype(np.int64)
+            other = q_ids[:, None] != c_ids[None, :]
             times = batch.column("c_times")[i].values.to_numpy(zero_copy_only=False)
-            yield batch, i, q_ids, c_ids, times, scores, q_ids[:, None] != c_ids[None, :]
+            yield batch, i, q_ids, c_ids, times, _exact_scores(q, c, other), other
 
 
 _RANGE = pa.schema([("query_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
@@ -115,7 +168,9 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, width = _limits(batch, i, q_ids, ("low", "high", "width"))
         inside = other & (width[:, None] > 0) & (scores >= low[:, None]) & (scores <= high[:, None])
         row, column = np.nonzero(inside)
-        bins = (scores[row, column] - low[row]) // width[row]
+        # The distance of two longs may need all 64 bits.
+        bins = (scores[row, column] - low[row]).view(np.uint64) // width[row].astype(np.uint64)
+        bins = bins.astype(np.int64)
         counts = np.bincount(row * BINS + bins, weights=times[column], minlength=len(q_ids) * BINS)
         filled = np.flatnonzero(counts)
         if len(filled):
@@ -198,7 +253,10 @@ def top_k(
     state = spans.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     # ``high`` is the last score of the present range; ``left``: how many of the range are still to
     # be taken, from the top.
-    width = F.expr(f"(high - low) div {BINS} + 1")
+    # Ranges of longs can be longer than a long, so their ends are computed as decimals.
+    long = lambda c: F.col(c).cast("decimal(20,0)")
+    state = state.withColumn("length", long("high") - long("low"))
+    width = F.expr(f"length div {BINS} + 1")
     state = state.select("query_id", "low", "high", width.alias("width"), F.least("n", F.lit(k)).alias("left"))
     state = materialise(state, "kth-range")
     while not (open_ := state.where("width > 0")).isEmpty():
@@ -213,8 +271,8 @@ def top_k(
         finer = F.expr(f"CASE WHEN width = 1 THEN 0 ELSE (width - 1) div {BINS} + 1 END").cast("long")
         refined = hit.select(
             "query_id",
-            (F.col("low") + F.col("bin") * F.col("width")).alias("low"),
-            F.least("high", F.col("low") + (F.col("bin") + 1) * F.col("width") - 1).alias("high"),
+            (long("low") + long("bin") * long("width")).cast("long").alias("low"),
+            F.least(long("high"), long("low") + (long("bin") + 1) * long("width") - 1).cast("long").alias("high"),
             finer.alias("width"),
             (F.col("left") - F.col("above")).alias("left"),
         )

@@ -77,6 +77,32 @@ def test_other_queries_and_k(spark):
     assert found(result, "query_id", "rank", "vec_id", "score") == by_hand(rows, 3, lambda i: i < 5)
 
 
+def test_large_components_are_scored_exactly(spark):
+    # Scores beyond 2^53 that differ in their last bits, one component of 3e38, and long ranges.
+    rows = made(300, 5, 3) + [(1000 + i, [2.0**20, -(2.0**20) + i, 2.0**21, 3.0, -5.0]) for i in range(40)]
+    rows += [(2000, [0.0] * 4 + [3e38]), (2001, [1e9, 1e9, 0.0, 0.0, 0.0])]
+    rows += [(2003, [1.0, 1.0, 2e6, -2e6, 0.0]), (2004, [0.0, 0.0, -2e6, 0.0, 0.0])]
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    rows = [(i, v[:4] + [0.0]) if i < 2000 else (i, v) for i, v in rows]
+    asked = lambda i: i % 100 == 0 or i in (2001, 2003)
+    result = topk.top_k(vectors(spark, rows), is_query=lambda i: (i % 100 == 0) | i.isin(2001, 2003), candidate_block=64)
+    assert found(result, "query_id", "rank", "vec_id", "score") == by_hand(rows, 10, asked)
+
+
+def test_exact_scores_of_every_size():
+    draw = np.random.default_rng(4)
+    for bits in (20, 26, 30, 40, 70):
+        q, c = (np.floor(draw.normal(size=(n, 5000)) * 2.0**bits) for n in (3, 4))
+        q[0], c[0] = 0, 0
+        if bits > 24:
+            # Only small ones meet the large ones, or two large ones that cancel.
+            q[1:, 6:], c[1:, :3], c[1:, 4:] = 0, 1, np.floor(draw.normal(size=4996) * 2.0**20)
+            q[1:, :6] = [2.0**bits, -(2.0**bits), 7, -9, 0, 0]
+            c[1:, :4] = [2.0**40, 2.0**40, -(2.0**30), 5]
+        expected = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in c] for x in q]
+        assert topk._exact_scores(q, c, np.ones((3, 4), dtype=bool)).tolist() == expected
+
+
 def test_empty_table_and_large_components(spark):
     assert topk.top_k(vectors(spark, [])).count() == 0
     huge = vectors(spark, [(0, [1e9, 1.0]), (1, [1e9, 1.0])])
