@@ -45,12 +45,13 @@ def whole_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     """Vectors packed into blocks of about ``size``: ``<name>, dim, ids, matrix``.
 
-    Blocks form by a hash of the id, one count per dimension deciding how many there are.
+    Blocks form by a hash of the row, one count per dimension deciding how many there are, so the
+    many vectors of one id spread over them all.
     """
     counts = vectors.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
     counts = materialise(counts, "vector-counts")
     placed = vectors.join(counts, "dim").withColumn(
-        name, F.pmod(F.xxhash64("id", F.lit(name)), F.col("_blocks")).cast("int")
+        name, F.pmod(F.xxhash64("id", "values", F.lit(name)), F.col("_blocks")).cast("int")
     )
     # A row that occurs many times would fill its block, so it is a row with a count.
     merged = placed.groupBy("dim", name, "id", "values").agg(F.count(F.lit(1)).alias("times"))
@@ -233,17 +234,17 @@ def top_k(
     ``is_query`` is a condition on the id column (default: ids divisible by 100). Candidates of a
     query are all usable rows of its dimension but those of its own id; ties go to the smaller id;
     fewer candidates give fewer rows. A row that occurs several times is a candidate several times,
-    and a query whose id has several rows is answered for its largest vector only. An empty table
-    gives no rows; other columns are ignored.
+    but asked once. Several different vectors of one query id are all asked: the id's rows are the k
+    highest scores that any of them has, and a candidate stands there once for each that finds it.
+    An empty table gives no rows; other columns are ignored.
     """
     vectors = materialise(whole_vectors(rows, id_col, vector_col), "whole-vectors")
     asked = F.col("id") % 100 == 0 if is_query is None else is_query(F.col("id"))
-    queries = vectors.where(asked).groupBy("id").agg(F.max(F.struct("dim", "values")).alias("v"))
-    queries = materialise(
-        blocks(queries.select("id", "v.dim", "v.values"), query_block, "q_block"), "query-blocks"
-    )
+    queries = vectors.where(asked).distinct()
+    queries = materialise(blocks(queries, query_block, "q_block"), "query-blocks")
     candidates = materialise(blocks(vectors, candidate_block, "c_block"), "candidate-blocks")
-    owner = queries.select("dim", "q_block", F.explode("ids").alias("query_id"))
+    # The vectors of one query id share its state, as their scores make one order.
+    owner = queries.select("dim", "q_block", F.explode(F.array_distinct("ids")).alias("query_id"))
 
     def gathered(state: DataFrame) -> DataFrame:
         rows = F.collect_list(F.struct("query_id", "low", "high", "width"))

@@ -62,6 +62,22 @@ def test_every_query_gets_all_its_rows(spark):
     assert sorted(map(tuple, result)) == expected
 
 
+def test_every_vector_of_a_query_id_is_asked(spark):
+    # Five vectors of one id, two of them equal, one of another dimension; and an id of many vectors.
+    rows = made(400, 4, 5) + [(500, v) for _, v in made(3, 4, 6)] + [(500, [-1.0, 1.0, 0.5, 0.0])] * 2
+    rows += [(500, [1.0, 2.0]), (501, [2.0, 1.0]), (502, [-1.0, 4.0])] + [(600, v) for _, v in made(90, 4, 7)]
+    whole = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows]
+    scores = {}
+    for q, v in set(whole):
+        if q % 100 == 0:
+            scores.setdefault(q, []).extend(
+                (-sum(a * b for a, b in zip(v, c)), i) for i, c in whole if i != q and len(c) == len(v)
+            )
+    expected = [(q, n, i, -s) for q, all_ in scores.items() for n, (s, i) in enumerate(sorted(all_)[:10], 1)]
+    result = topk.top_k(vectors(spark, rows), query_block=8, candidate_block=64)
+    assert found(result, "query_id", "rank", "vec_id", "score") == sorted(expected, key=repr)
+
+
 def test_unusable_vectors_and_few_candidates(spark):
     rows = [
         (0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]),
