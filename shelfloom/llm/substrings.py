@@ -1,15 +1,17 @@
-"""Removal of long repeated passages by prefix-partitioned suffix trees.
-
-A suffix is a document from one word on; two suffixes whose first 50 words agree meet in a node of
-that depth of the suffix tree. The tree is never built as a whole. Suffixes are split by a prefix of
-variable length: it ends with the smallest of the 10-word pieces in the first 50 words, so suffixes
-that agree that far also agree on the prefix's name, and few different names arise per document.
-Names that only one document has are leaves and end there. Each further group is small enough for
-memory and becomes one subtree of one task, whose deep nodes tell which suffixes repeat an earlier
-document; neighbouring ones are the maximal repeats. A group that is too large is split by a longer
-prefix, at last all 50 words, where a node's smallest document is a plain minimum.
-
-Words are compared by 64-bit hashes; nodes in a group agree in two of them.
+"""Removal of long repeated passages by hashes of word windows, grouped by minimisers.
+
+A suffix is a document from one word on; its node is the hash of its first 50 words, for two suffixes
+that agree so far meet at that depth of a suffix tree. No tree is built and no suffix is sorted: only
+windows of 50 words are removed, so whether two suffixes agree in their first 50 words is all that is
+asked, and neither deeper nor branching nodes are looked for. Windows are grouped by a name, the
+smallest hash of the 10-word pieces in them (a minimiser). Equal windows have equal names, so no repeat
+crosses groups; windows of one group need not share a prefix. Few different names arise per document.
+Names that only one document has end there. Each further group is small enough for the memory of one
+task, which sorts its hashes and so learns which windows repeat an earlier document; neighbouring ones
+make a run. A group that is too large is split by the hashes of whole windows, where a window's smallest
+document is a plain minimum.
+
+Words are compared by 64-bit hashes; windows in a group agree in two of them.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from shelfloom.llm.words import run_hashes, sliding, slices, text_bytes, word_hashes, word_spans
 from shelfloom.session import materialise
 
-# Words of a piece that names a prefix, and suffixes that one subtree may hold.
+# Words of a piece that names a window, and windows that a group sorted in one task may hold.
 PIECE, GROUP = 10, 1 << 16
 
 
 class _Suffixes:
-    """The words of a slice of texts, the nodes of their suffixes and the names of their prefixes."""
+    """The words of a slice of texts, the hashes of their windows (nodes) and the names of those."""
 
     def __init__(self, texts: pa.Array, depth: int):
         self.data, offsets = text_bytes(texts)
@@ -50,7 +52,7 @@ class _Suffixes:
 
 
 def _names(depth: int):
-    """``name, doc_id, n``: the prefixes of a document and how many of its suffixes have them."""
+    """``name, doc_id, n``: the names in a document and how many of its windows have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,10 +84,10 @@ _SUFFIX = pa.schema(
 
 
 def _shared_suffixes(depth: int):
-    """Suffixes whose prefix other documents have too.
+    """Windows whose name other documents have too.
 
-    Neighbours of one prefix make one row with all their nodes; in a group that is split further,
-    each suffix is a row with its node.
+    Neighbours of one name make one row with all their nodes; in a group that is split further,
+    each window is a row with its node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def _shared_suffixes(depth: int):
 
 
 def _repeats(doc: np.ndarray, start: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-    """Maximal runs of suffixes that share a node with a document of a smaller id."""
+    """Runs of neighbouring windows that a document of a smaller id has too."""
     order = np.lexsort((doc, node))
     doc, start, node = doc[order], start[order], node[order]
     first = np.append(True, node[1:] != node[:-1])[: len(node)]
