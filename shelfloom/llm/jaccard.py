@@ -1,15 +1,15 @@
 """Exact join of near copies by the Jaccard similarity of word n-grams, and its components.
 
-The space is that of n-gram sets with the Jaccard distance. Pivots are single n-grams in one global
-order, those of many documents last; the region of a pivot holds the documents for which it is a
-nearest pivot or might be one of a partner's. How far the window reaches follows from the triangle
-inequality: partners within the distance differ in a bounded number of n-grams, so a document is
-replicated to as many pivots as could be missing from a partner, and to a few more, since a linked
-pair then meets in that many regions. Small regions list the pairs that can still be linked. A
-region that is too large is joined again about centres: its documents are measured against a few
-central ones, those that end in the component of the first centre need no look at each other, and
-the rest meet all blocks of the region if size, distance to the centres and a sketch allow a
-link. Every pair that is left is verified on whole sets.
+The space is that of n-gram sets with the Jaccard distance. Prefix filtering replaces Voronoi regions
+of document pivots, which hold nearly all documents each, since most pairs of texts are at or near
+distance 1 (figures in the README). N-grams have one global order, those of many documents last, and a
+document lists the first of its set: as many as a partner within the distance may lack, and a few more,
+since a linked pair then meets in that many lists. The documents that list an n-gram, here called a
+pivot, are its region. Small regions list the pairs that can still be linked. Only a region that is too
+large is joined again about central documents, with windows from the triangle inequality: its documents
+are measured against a few central ones, those that end in the component of the first centre need no
+look at each other, and the rest meet all blocks of the region if size, distance to the centres and a
+sketch allow a link. Every pair that is left is verified on whole sets.
 
 Sets are sets of 64-bit hashes; documents of equal 128-bit set digests share one representative.
 """
