@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom import constants as C
 from shelfloom.functions.text import part_of
 from shelfloom.operators.numbering import content_hash
+from shelfloom.session import materialise
 
 SKIP = "skip"
 
@@ -103,18 +105,30 @@ def metric_band(feed: DataFrame, metric: str, low: float = 0.1, high: float = 0.
     """Rows with a middling metric: within the given shares of the range from the smallest value to
     the 99th percentile.
 
-    The percentile is exact at every size: tasks count the distinct values of the metric and the
-    counts are merged. The bounds are a subquery of one row, so nothing runs while the plan is made.
+    The percentile is exact at every size: rows are counted per value, the values are dealt over
+    tasks by range and written once, and only the range that holds the wanted rank is put in order.
     """
-    ends = feed.agg(
-        F.min(metric).alias("least"),
-        F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY `{metric}`)").alias("most"),
-    )
+    value = F.col(f"`{metric}`")
+    partitions = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = feed.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # The written number of its range stays with a value, though ranges are drawn anew in each run.
+    ranged = counts.repartitionByRange(partitions, "value").select("*", F.spark_partition_id().alias("_slice"))
+    values = materialise(ranged, "metric-values")
+    # One row per range: small enough to order in a single task.
+    upto = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = values.groupBy("_slice").agg(F.sum("n").alias("n")).select("_slice", "n", F.sum("n").over(upto).alias("upto"))
+    rank = F.expr("(99 * max(upto) OVER () + 99) div 100")
+    hit = slices.select("_slice", "upto", (F.col("upto") - F.col("n")).alias("before"), rank.alias("rank"))
+    hit = hit.where("before < rank AND rank <= upto").select("_slice", (F.col("rank") - F.col("before")).alias("rank"))
+    inner = Window.partitionBy("_slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.join(F.broadcast(hit), "_slice").withColumn("place", F.sum("n").over(inner))
+    least = values.agg(F.min("value")).scalar()
+    most = placed.where("place >= rank").agg(F.min("value")).scalar()
 
     def bound(share: float) -> Column:
-        return ends.select(F.col("least") + share * (F.col("most") - F.col("least"))).scalar()
+        return least + share * (most - least)
 
-    return feed.where(F.col(metric).between(bound(low), bound(high)))
+    return feed.where(value.between(bound(low), bound(high)))
 
 
 def in_part(df: DataFrame, parts: int | None, part: int | None, id_col: str = "id") -> DataFrame:

@@ -45,6 +45,27 @@ def test_projection_keeps_order_and_renames(spark):
     assert P.project_roles(rows, "c1", "c2", "c3", include="*").columns == rows.columns
 
 
+@pytest.mark.parametrize("kind", ["unique", "hot", "few", "none"])
+def test_metric_band_is_exact_and_never_gathers_the_values(spark, kind):
+    draw = random.Random(11)
+    metrics = {
+        "unique": [draw.uniform(-50, 900) for _ in range(1501)] + [None] * 40,
+        "hot": [7.0] * 900 + [float(n) for n in range(100)] + [None],
+        "few": [3.0, 1.0, 2.0],
+        "none": [None, None],
+    }[kind]
+    feed = spark.createDataFrame(list(enumerate(metrics)), "id long, `my metric` double")
+    known = sorted(m for m in metrics if m is not None)
+    expected = []
+    if known:
+        least, most = known[0], known[-(-99 * len(known) // 100) - 1]
+        low, high = (least + share * (most - least) for share in (0.1, 0.9))
+        expected = [i for i, m in enumerate(metrics) if m is not None and low <= m <= high]
+    band = P.metric_band(feed, "my metric")
+    assert sorted(r["id"] for r in band.collect()) == expected
+    assert "percentile" not in band._jdf.queryExecution().toString().lower()
+
+
 def test_completed_input_adds_only_what_is_missing(spark):
     rows = spark.createDataFrame([("1", "t", "d", "u")], "sku string, title string, text string, pic string")
     found = P.complete_input(rows, None, "sku", "title", "text", "pic")
