@@ -18,7 +18,9 @@ from shelfloom.llm import (
     substrings,
     topk,
     toxicity,
+    trie,
 )
+from shelfloom.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -40,6 +42,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def crc32(number: str) -> str:
+    """SQL for the unsigned crc32 of a number in decimal."""
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    byte = "list_reduce(list_concat([xor(a, b)], range(0, 8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda a, b: {byte}), 4294967295)"
+
+
 SHARD_BYTES = 64 << 20
 
 
@@ -214,3 +223,32 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the 50-word windows of earlier ones."""
     found = substrings.remove_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    rf"""
+    WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS r, COALESCE(text, '') AS x
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {crc32("conv_id")} % 4 AS h,
+                 list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, substr(sha256(strlen(r) || ':' || r || x), 1, 32)) AS turns
+          FROM t GROUP BY conv_id),
+    g AS (SELECT c.conv_id, list_concat(COALESCE(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+          FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+    p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM g),
+    n AS (SELECT d, turns[1:d] AS prefix, MIN(conv_id) AS conv_id, COUNT(*) AS n,
+                 COALESCE(MAX(len(regexp_extract_all(turns[d].x, '[^ 	-]+'))), 0) AS words,
+                 COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends
+          FROM p GROUP BY ALL),
+    k AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, COUNT(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+    o AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, prefix)),
+    u AS (SELECT *, unnest(range(0, d + 1)) AS a FROM o),
+    s AS (SELECT a AS d, prefix[1:a] AS prefix, SUM((n - 1) * words) AS saved, COUNT(*) FILTER (n_children = 0) AS leaves
+          FROM u GROUP BY ALL)
+    SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n AS n_convs, o.n_children,
+           s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+    FROM o JOIN s USING (d, prefix) LEFT JOIN n q ON q.d = o.d - 1 AND q.prefix = o.prefix[1:o.d - 1]"""
+)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, rebuilt with shared first turns."""
+    turns = materialise(trie.turn_arrays(table(spark, folder, "conversations")), "turn-arrays")
+    return trie.prefix_trie(trie.graft(turns))
