@@ -11,6 +11,7 @@ from shelfloom.llm import (
     chat,
     exact,
     jaccard,
+    merkle,
     mixing,
     pieces,
     quality,
@@ -236,7 +237,8 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
           FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
     p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM g),
     n AS (SELECT d, turns[1:d] AS prefix, MIN(conv_id) AS conv_id, COUNT(*) AS n,
-                 COALESCE(MAX(len(regexp_extract_all(turns[d].x, '[^ 	-]+'))), 0) AS words,
+                 COALESCE(MAX(len(regexp_extract_all(turns[d].x, '[^ 	-
+]+'))), 0) AS words,
                  COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends
           FROM p GROUP BY ALL),
     k AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, COUNT(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
@@ -252,3 +254,68 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the prefix trie of all conversations, rebuilt with shared first turns."""
     turns = materialise(trie.turn_arrays(table(spark, folder, "conversations")), "turn-arrays")
     return trie.prefix_trie(trie.graft(turns))
+
+
+def merkle_sql(levels: int = 5, upper: int = 4) -> str:
+    """The manifest in SQL, for sources of up to 16 ** ``levels`` leaves and 16 ** ``upper`` sources."""
+    value = lambda c: f"COALESCE(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    row = " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{exact.UPPER}', '{exact.UPPER.lower()}')"
+    other = f"CASE WHEN {crc32('doc_id')} % 5 = 0 THEN {lower} ELSE text END"
+    steps = [
+        f"""f AS (SELECT doc_id, source, sha256({row} || {value("text")}) AS leaf,
+                 sha256({row} || {value(f"({other})")}) AS changed FROM documents)""",
+        """a0 AS (SELECT *, leaf AS h, changed AS x, '' AS proof,
+                  ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r,
+                  COUNT(*) OVER (PARTITION BY source) AS n FROM f)""",
+        # One row per leaf at every level: its node's digest, the digest folded from the changed leaf.
+        "t0 AS (SELECT DISTINCT source, r, n, h FROM a0)",
+    ]
+    for k in range(levels):
+        steps += _merkle_step(k, f"a{k}", f"a{k + 1}", f"t{k}", f"t{k + 1}", "source")
+    steps += [
+        f"""s AS (SELECT source, h, ROW_NUMBER() OVER (ORDER BY source NULLS FIRST) - 1 AS place,
+                  COUNT(*) OVER () AS sources FROM t{levels})""",
+        f"""b0 AS (SELECT a.doc_id, a.leaf, a.proof, a.x, s.h, s.h AS subroot, 0 AS source, place AS r, sources AS n
+             FROM a{levels} a JOIN s ON a.source IS NOT DISTINCT FROM s.source)""",
+        "w0 AS (SELECT DISTINCT source, r, n, h FROM b0)",
+    ]
+    for k in range(upper):
+        steps += _merkle_step(k, f"b{k}", f"b{k + 1}", f"w{k}", f"w{k + 1}", "source")
+    return f"""WITH {", ".join(steps)}
+    SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = h AS verified
+    FROM b{upper}"""
+
+
+def _merkle_step(k: int, rows: str, next_rows: str, nodes: str, next_nodes: str, tree: str) -> list[str]:
+    """SQL for one level: runs of 16 nodes become one, as long as their tree has more than one."""
+    return [
+        f"""g{rows} AS (SELECT {tree}, r // 16 AS r, (MIN(n) + 15) // 16 AS n, MIN(n) AS before, list(h ORDER BY r) AS kids,
+                 CASE WHEN MIN(n) = 1 THEN MIN(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h
+             FROM {nodes} GROUP BY {tree}, r // 16)""",
+        f"{next_nodes} AS (SELECT {tree}, r, n, h FROM g{rows})",
+        f"""{next_rows} AS (SELECT a.* REPLACE (g.h AS h, g.r AS r, g.n AS n,
+                 CASE WHEN g.before = 1 THEN a.x ELSE
+                   sha256(array_to_string(g.kids[1:a.r % 16], '') || a.x || array_to_string(g.kids[a.r % 16 + 2:], '')) END AS x,
+                 CASE WHEN g.before = 1 THEN a.proof ELSE a.proof ||
+                   array_to_string(g.kids[1:a.r % 16], '') || array_to_string(g.kids[a.r % 16 + 2:], '') END AS proof)
+             FROM {rows} a JOIN g{rows} g ON g.r = a.r // 16 AND g.{tree} IS NOT DISTINCT FROM a.{tree})""",
+    ]
+
+
+@query(merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof, and whether a tampered copy still leads to the root."""
+    docs = table(spark, folder, "documents")
+    changed = {"text": merkle.tampered(F.col("text"), F.col("doc_id"))}
+    entries = merkle.manifest(docs, changed=changed)
+    folded = entries.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path")))
+    return folded.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
