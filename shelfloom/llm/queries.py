@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.llm import (
     chat,
+    collisions,
     exact,
     jaccard,
     merkle,
@@ -319,3 +320,24 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query(
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.id <> b.id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+    r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT e.vec_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_links, COALESCE(c.root, e.vec_id) AS component_id,
+           e.vec_id IS NOT DISTINCT FROM COALESCE(c.root, e.vec_id) AS kept
+    FROM embeddings e
+    LEFT JOIN (SELECT a, MIN(b) AS root FROM r GROUP BY a) c ON c.a = e.vec_id
+    LEFT JOIN (SELECT a, COUNT(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id"""
+)
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """How many near copies of its label each vector has, and the smallest id that they lead to."""
+    return collisions.near_vectors(table(spark, folder, "embeddings"))
