@@ -5,11 +5,11 @@ of document pivots, which hold nearly all documents each, since most pairs of te
 distance 1 (figures in the README). N-grams have one global order, those of many documents last, and a
 document lists the first of its set: as many as a partner within the distance may lack, and a few more,
 since a linked pair then meets in that many lists. The documents that list an n-gram, here called a
-pivot, are its region. Small regions list the pairs that can still be linked. Only a region that is too
-large is joined again about central documents, with windows from the triangle inequality: its documents
-are measured against a few central ones, those that end in the component of the first centre need no
-look at each other, and the rest meet all blocks of the region if size, distance to the centres and a
-sketch allow a link. Every pair that is left is verified on whole sets.
+pivot, are its region. Small regions list the pairs that can still be linked, and those are verified on
+whole sets. A large region is dealt in blocks, each with the same few central documents. A task
+measures all documents of its block and the centres against each other and returns a spanning forest of
+their links, never the links. Documents that this connects with the first centre are connected with each
+other; only the others, the outsiders of their block, meet all blocks of the region, block by block.
 
 Sets are sets of 64-bit hashes; documents of equal 128-bit set digests share one representative.
 """
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.llm.components import components, unite
 from shelfloom.llm.words import (
     LOWER,
     mix,
@@ -37,8 +38,12 @@ from shelfloom.session import materialise
 
 # Regions in which a linked pair meets, if its documents are large enough.
 MEETINGS = 3
-# Documents in a region whose pairs are listed at once, and centres of a larger one.
-REGION, CENTRES, BLOCK = 256, 4, 512
+# Documents in a region whose pairs are listed at once; centres of a larger one, and documents and
+# n-grams in a block of it.
+REGION, CENTRES, BLOCK, BLOCK_GRAMS = 256, 4, 512, 1 << 20
+# Documents of a pivot from which its rows are dealt over several tasks.
+SALTED = 64 * REGION
+_COLUMNS = 4096
 # N-grams in at least this share of documents come last in the order; the list has a fixed bound.
 COMMON_SHARE, COMMON_MOST = 0.0005, 1 << 18
 _CHUNK = 1 << 22
@@ -151,29 +156,39 @@ def _profile(width: int):
     return run
 
 
-_WINDOW = pa.schema([("pivot", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())])
+_WINDOW = pa.schema(
+    [("pivot", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("rank", pa.int32())]
+)
 
 
-def _windows(width: int, percent: int, shared):
+def _windows(width: int, percent: int, shared, salted: int):
     """The pivots within each document's window, with its size and the pivot's rank in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, place = shared.value
+        common, place, docs = shared.value
+        # A pivot of very many documents is dealt by them as well.
+        salts = docs // salted + 1
         seen = set()  # of the documents of this task
         for batch in batches:
             for part in slices(batch, "text"):
-                pivots, keys, sizes = [], [], []
+                pivots, keys, sizes, dealt = [], [], [], []
                 for grams in sets_of(part.column("text"), width):
-                    key = _short(_digest(grams)) if len(grams) else 0
-                    if not len(grams) or key in seen:
+                    digest = _digest(grams)
+                    if not len(grams) or digest in seen:
                         continue
-                    seen.add(key)
-                    n = len(grams)
+                    seen.add(digest)
+                    n, key = len(grams), _short(digest)
                     at = np.searchsorted(common, grams)
                     last = common[np.minimum(at, len(common) - 1)] == grams if len(common) else np.zeros(n, bool)
                     later = grams[last][np.argsort(place[at[last]])] if last.any() else grams[:0]
                     window = np.concatenate([grams[~last], later])[: spare_as_larger(n, percent) + MEETINGS]
                     pivots.append(window)
+                    salt = np.zeros(len(window), dtype=np.int32)
+                    if len(later) and salts.max() > 1:
+                        at = np.minimum(np.searchsorted(common, window), len(common) - 1)
+                        many = np.where(common[at] == window, salts[at], 1)
+                        salt = np.where(many > 1, 1 + (key & 0xFFFFFFFF) % many, 0).astype(np.int32)
+                    dealt.append(salt)
                     keys.append(key)
                     sizes.append(n)
                 if pivots:
@@ -181,6 +196,7 @@ def _windows(width: int, percent: int, shared):
                     yield _rows(
                         _WINDOW,
                         pivot=np.concatenate(pivots).view(np.int64),
+                        salt=np.concatenate(dealt),
                         key=np.repeat(np.array(keys, dtype=np.int64), counts),
                         n=np.repeat(np.array(sizes, dtype=np.int32), counts),
                         rank=np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
@@ -202,7 +218,7 @@ _MEETING = pa.schema(
 )
 
 
-def _list_pairs(percent: int, pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
+def _list_pairs(percent: int, region: int, pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
     """Rows of whole regions in order of pivot, size and key: pairs, or the rows of large regions."""
     fresh = np.ones(len(pivot), dtype=bool)
     fresh[1:] = (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])
@@ -212,13 +228,13 @@ def _list_pairs(percent: int, pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
     sizes = np.diff(np.append(starts, len(pivot)))
     per_row = np.repeat(sizes, sizes)
-    large = per_row > REGION
+    large = per_row > region
     if large.any():
         yield _rows(_MEETING, pivot=pivot[large], key=key[large], n=n[large], rank=rank[large])
     small = (per_row > 1) & ~large
     pivot, key, n, rank = (x[small] for x in (pivot, key, n, rank))
     n, rank = n.astype(np.int64), rank.astype(np.int64)
-    for step in range(1, REGION):
+    for step in range(1, region):
         first = np.flatnonzero(pivot[:-step] == pivot[step:]) if step < len(pivot) else []
         if not len(first):
             break
@@ -235,7 +251,7 @@ def _list_pairs(percent: int, pivot, key, n, rank) -> Iterator[pa.RecordBatch]:
             yield _rows(_MEETING, a=np.minimum(one, two), b=np.maximum(one, two), total=total[can])
 
 
-def _regions(percent: int):
+def _regions(percent: int, region: int):
     """Join each region; holds one batch and at most one small region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +260,10 @@ def _regions(percent: int):
         large = None  # the pivot of a region that has already outgrown its bound
         for batch in batches:
             rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            salted = batch.column("salt").to_numpy() > 0
+            if salted.any():  # a part of a region: joined with the other parts later
+                yield _rows(_MEETING, **{c: x[salted] for c, x in zip(names, rows)})
+                rows = [x[~salted] for x in rows]
             if large is not None:
                 more = rows[0] == large
                 if more.any():
@@ -254,13 +274,13 @@ def _regions(percent: int):
                 held = rows
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            yield from _list_pairs(percent, *(x[:cut] for x in rows))
+            yield from _list_pairs(percent, region, *(x[:cut] for x in rows))
             held = [x[cut:] for x in rows]
-            if len(np.unique(held[1])) > REGION:
+            if len(np.unique(held[1])) > region:
                 large = held[0][0]
                 yield _rows(_MEETING, **dict(zip(names, held)))
                 held = [x[:0] for x in held]
-        yield from _list_pairs(percent, *held)
+        yield from _list_pairs(percent, region, *held)
 
     return run
 
@@ -346,130 +366,139 @@ def _links(verified: DataFrame, percent: int) -> DataFrame:
     return verified.where(100 * F.col("n_common") >= percent * F.col("n_union")).select("u", "v")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every node with a link; the root is the smallest node it can reach.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right.
 
-    Rounds of large and small stars: each node's larger neighbours, then its smaller ones, are tied
-    to the smallest. All steps are joins and minima per node, so a hub is never gathered.
+    Sets become rows of zeros and ones, some thousand n-grams at a time, whose products count.
     """
-    pairs = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges, before = materialise(pairs.distinct(), "links"), None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = (
-            ways.where("v > u")
-            .join(lowest, F.col("u") == F.col("c"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        large = materialise(large, "large-stars")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(lowest, F.col("u") == F.col("c"))
-        tied = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(tied.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "small-stars")
+    sides = [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (left, right)]
+    owners = [np.repeat(np.arange(len(x)), [len(g) for g in x]) for x in (left, right)]
+    both = np.intersect1d(*[np.unique(x) for x in sides], assume_unique=True)
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    places = []
+    for grams, owner in zip(sides, owners):
+        at = np.searchsorted(both, grams)
+        known = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == grams) if len(both) else []
+        order = np.argsort(at[known], kind="stable")
+        places.append((at[known][order], owner[known][order]))
+    for begin in range(0, len(both), _COLUMNS):
+        tiles = []
+        for (at, owner), count in zip(places, counts.shape):
+            a, b = np.searchsorted(at, [begin, begin + _COLUMNS])
+            tile = np.zeros((count, min(_COLUMNS, len(both) - begin)), dtype=np.float32)
+            tile[owner[a:b], at[a:b] - begin] = 1
+            tiles.append(tile)
+        counts += tiles[0] @ tiles[1].T
+    return counts.astype(np.int64)
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets on the left and right that are linked."""
+    common = overlaps(left, right)
+    total = np.array([len(g) for g in left])[:, None] + np.array([len(g) for g in right])[None, :]
+    return np.nonzero(100 * common >= percent * (total - common))
+
+
+def _read_sets(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    grams = [np.frombuffer(g, dtype=np.uint64) for g in group.column("grams").to_pylist()]
+    return group.column("node").to_numpy(), grams
+
+
+_FOUND_DDL = "u long, v long, pivot long, block int, node long"
+
+
+def _forest(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest place each place is linked with, and the places that differ from it."""
+    parent = unite(np.arange(len(node)), a, b)
+    return parent, np.flatnonzero(parent != np.arange(len(node)))
+
+
+def _found(group: pa.Table, node: np.ndarray, parent: np.ndarray, tied: np.ndarray, out: np.ndarray) -> pa.Table:
+    """Edges of the forest, then the outsiders of the block."""
+    edges, count = len(tied), len(out)
+    none = pa.nulls(edges, pa.int64())
+    return pa.table(
+        {
+            "u": pa.concat_arrays([pa.array(node[tied], pa.int64()), pa.nulls(count, pa.int64())]),
+            "v": pa.concat_arrays([pa.array(node[parent[tied]], pa.int64()), pa.nulls(count, pa.int64())]),
+            "pivot": pa.concat_arrays([none, pa.array([group.column("pivot")[0].as_py()] * count, pa.int64())]),
+            "block": pa.concat_arrays(
+                [pa.nulls(edges, pa.int32()), pa.array([group.column("block")[0].as_py()] * count, pa.int32())]
+            ),
+            "node": pa.concat_arrays([none, pa.array(node[out], pa.int64())]),
+        }
+    )
 
 
-def _star(hot: DataFrame) -> DataFrame:
-    """``pivot, key, centre_no, centre``: the documents of each large region against its centres.
+def _block_forest(percent: int):
+    """Links within a block and its centres, as a forest; outsiders: those the first centre does not reach."""
 
-    The fewer n-grams of its own a document has, the more large regions it is in and the nearer it
-    lies to the middle of them all. So the regions of one group share their centres.
-    """
-    regions = materialise(hot.groupBy("key").agg(F.count(F.lit(1)).alias("regions")), "region-counts")
-    number = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).alias("centre_no")
-    centres = hot.join(regions, "key").groupBy("pivot", number).agg(F.max(F.struct("regions", "key")).alias("c"))
-    centres = materialise(centres.select("pivot", "centre_no", F.col("c.key").alias("centre")), "centres")
-    return hot.select("pivot", "key").join(centres, "pivot").where("key != centre")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("centre", "ascending"), ("node", "ascending")])
+        node, grams = _read_sets(group)
+        parent, tied = _forest(node, *_linked(grams, grams, percent))
+        own = group.column("centre").to_numpy() == CENTRES
+        inner = node[parent == parent[0]]
+        out = np.flatnonzero(own & ~np.isin(node, inner))
+        return _found(group, node, parent, tied, out)
 
+    return run
 
-def _outside_pairs(percent: int):
-    """Pairs of an outside document and one of a block that size, distances and sketches allow.
 
-    A block comes as its own documents first, then the outside ones.
-    """
+def _outside_forest(percent: int):
+    """Links between the outsiders of other blocks and a block, as a forest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        group, block = None, []
-        for batch in batches:
-            rows = batch.to_pydict()
-            for i in range(batch.num_rows):
-                here = (rows["pivot"][i], rows["block"][i])
-                if here != group:
-                    group, block, arrays = here, [], None
-                sketch = np.frombuffer(rows["sketch"][i], dtype=np.uint16).astype(np.int32)
-                own = (rows["key"][i], rows["n"][i], rows["root"][i], rows["distances"][i], sketch)
-                if not rows["outside"][i]:
-                    block.append(own)
-                    continue
-                if not block:
-                    continue
-                if arrays is None:
-                    arrays = [np.array([r[j] for r in block]) for j in range(5)]
-                key, n, root, away, sketches = arrays
-                total = n + own[1]
-                apart = total - 2 * least_common(total, percent)
-                reach = 1 - percent / 100 + 1e-9
-                can = (
-                    (root != own[2])
-                    & (key != own[0])
-                    & (percent * np.maximum(n, own[1]) <= 100 * np.minimum(n, own[1]))
-                    & ~(np.abs(away - np.array(own[3])) > reach).any(axis=1)
-                    & (np.abs(sketches - own[4]).sum(axis=1) <= apart)
-                )
-                if can.any():
-                    other = key[can]
-                    yield _rows(schema, a=np.minimum(other, own[0]), b=np.maximum(other, own[0]))
+    def run(group: pa.Table) -> pa.Table:
+        node, grams = _read_sets(group)
+        outside = group.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        a, b = _linked([grams[i] for i in x], [grams[i] for i in y], percent)
+        parent, tied = _forest(node, x[a], y[b])
+        return _found(group, node, parent, tied, np.zeros(0, dtype=int))
 
     return run
 
 
-def _rejoin(
-    hot: DataFrame, star: DataFrame, verified: DataFrame, links: DataFrame, sets: DataFrame, percent: int
-) -> DataFrame:
-    """Candidates within large regions among documents that no link so far connects."""
-    roots = components(links)
-    distance = verified.select(
-        "a", "b", (1 - F.col("n_common") / F.col("n_union")).alias("d")
-    ).groupBy("a", "b").agg(F.min("d").alias("d"))
-    measured = star.join(
-        distance,
-        (F.least("centre", "key") == F.col("a")) & (F.greatest("centre", "key") == F.col("b")),
+def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links that connect what the links within large regions connect.
+
+    ``hot`` has ``pivot, key, n, rank``. Centres have the pivot at the front of their order, so they
+    hold few n-grams of their own. All groups are bounded in documents and n-grams.
+    """
+    regions = hot.groupBy("pivot").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    # Distances that were not measured, as sketches ruled a link out, rule nothing out themselves.
-    unknown = F.lit(float("nan"))
-    per_centre = [F.coalesce(F.max(F.when(F.col("centre_no") == k, F.col("d"))), unknown) for k in range(CENTRES)]
-    distances = measured.groupBy("pivot", "key").agg(F.array(*per_centre).alias("distances"))
-    placed = (
-        hot.join(distances, ["pivot", "key"], "left")
-        .withColumn("distances", F.coalesce("distances", F.array(*[unknown] * CENTRES)))
-        .join(sets.select("key", "node", "sketch"), "key")
-        .join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
+    number = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).cast("int").alias("centre")
+    centres = hot.groupBy("pivot", number).agg(F.min(F.struct("rank", "key"))["key"].alias("key"))
+    placed = hot.select("pivot", "key").join(regions, "pivot")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", "pivot"), "blocks").cast("int"))
+    central = centres.join(regions, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.withColumn("centre", F.lit(CENTRES)).unionByName(central)
+    found = sets.select("key", "node", "grams").hint("merge")
+    met = met.join(found, "key").select("pivot", "block", "centre", "node", "grams")
+    first = materialise(met.groupBy("pivot", "block").applyInArrow(_block_forest(percent), _FOUND_DDL), "block-forests")
+    out = first.where("node IS NOT NULL").select("pivot", F.col("block").alias("home"), "node")
+    strays = materialise(
+        out.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).join(regions, "pivot"),
+        "outsider-counts",
     )
-    placed = materialise(placed.select("pivot", "key", "n", "rank", "distances", "sketch", "root"), "large-regions")
-    inner = placed.groupBy("pivot").agg(
-        F.min(F.struct("rank", "key", "root"))["root"].alias("inner"), F.count(F.lit(1)).alias("size")
+    strays = strays.where("blocks > 1")
+    outside = out.join(strays, "pivot").withColumns(
+        {
+            "part": F.pmod(F.xxhash64("node", "pivot"), "parts").cast("int"),
+            "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+            "outside": F.lit(True),
+        }
     )
-    inner = materialise(inner, "inner-components")
-    placed = placed.join(inner, "pivot")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inside = placed.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("outside", F.lit(False))
-    outside = (
-        placed.where("root != inner")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("outside", F.lit(True))
+    outside = outside.where("block != home").join(found.drop("key"), "node")
+    inside = placed.drop("blocks").join(strays, "pivot").withColumns(
+        {"part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "outside": F.lit(False)}
     )
-    columns = ["pivot", "block", "outside", "key", "n", "root", "distances", "sketch"]
-    met = inside.select(columns).unionByName(outside.select(columns))
-    partitions = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(partitions, "pivot", "block").sortWithinPartitions("pivot", "block", "outside", "key")
-    return met.mapInArrow(_outside_pairs(percent), "a long, b long").distinct()
+    inside = inside.join(found, "key")
+    columns = ["pivot", "block", "part", "outside", "node", "grams"]
+    second = outside.select(columns).unionByName(inside.select(columns))
+    second = second.groupBy("pivot", "block", "part").applyInArrow(_outside_forest(percent), _FOUND_DDL)
+    return first.where("u IS NOT NULL").select("u", "v").unionByName(second.select("u", "v"))
 
 
 def near_components(
@@ -487,7 +516,6 @@ def near_components(
     each. Other columns of ``docs`` are ignored, and an empty table gives no rows.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     profile = materialise(
         texts.mapInArrow(_profile(width), "doc_id long, n int, digest binary, key long, gram long, docs long"), "set-profile"
@@ -510,47 +538,40 @@ def near_components(
         .collect()
     )
     grams = np.array([r[0] for r in often], dtype=np.int64).view(np.uint64)
+    counts = np.array([r[1] for r in often], dtype=np.int64)
     by_gram = np.argsort(grams)
     # Place from the rarest to the most common.
-    shared = spark.sparkContext.broadcast((grams[by_gram], -by_gram))
+    shared = spark.sparkContext.broadcast((grams[by_gram], -by_gram, counts[by_gram]))
 
     known = texts.where("doc_id IS NOT NULL")
-    windows = known.select("text").mapInArrow(_windows(width, percent, shared), "pivot long, key long, n int, rank int")
+    windows = known.select("text").mapInArrow(
+        _windows(width, percent, shared, SALTED), "pivot long, salt int, key long, n int, rank int"
+    )
     meetings = materialise(
-        windows.repartition(partitions, "pivot")
-        .sortWithinPartitions("pivot", "n", "key")
-        .mapInArrow(_regions(percent), "a long, b long, total int, pivot long, key long, n int, rank int"),
+        windows.repartition("pivot", "salt")
+        .sortWithinPartitions("pivot", "salt", "n", "key")
+        .mapInArrow(_regions(percent, REGION), "a long, b long, total int, pivot long, key long, n int, rank int"),
         "meetings",
     )
     needed = F.least(F.lit(MEETINGS), F.ceil(F.lit(percent) * F.col("total") / (100 + percent)))
-    pairs = (
-        meetings.where("a IS NOT NULL").groupBy("a", "b", "total").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= needed)
-    ).select("a", "b")
+    pairs = meetings.where("a IS NOT NULL").groupBy("a", "b", "total").agg(F.count(F.lit(1)).alias("met"))
+    pairs = materialise(pairs.where(F.col("met") >= needed).select("a", "b").distinct(), "pairs")
     hot = meetings.where("a IS NULL").select("pivot", "key", "n", "rank").dropDuplicates(["pivot", "key"])
-    hot = materialise(hot, "large-region-rows")
-    star = materialise(_star(hot), "stars")
-    starred = star.select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
-    pairs = materialise(pairs.unionByName(starred).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = nodes.join(wanted, "key").select("key", "node", "n", F.col("digest").alias("own_digest"))
-    chosen = materialise(chosen, "chosen")
+    hot = materialise(hot, "large-regions")
+
+    keys = [pairs.select(F.col(c).alias("key")) for c in "ab"]
+    wanted = keys[0].unionByName(keys[1]).unionByName(hot.select("key")).distinct()
+    chosen = nodes.join(wanted, "key").select("node", F.col("digest").alias("own_digest"))
     found = known.join(chosen.hint("merge"), F.col("doc_id") == F.col("node")).select(
         "node", "text", F.col("own_digest").alias("digest")
     )
     sets = materialise(
         found.mapInArrow(_sets(width), "key long, node long, n int, grams binary, sketch binary"), "sets"
     )
-    pairs = materialise(_promising(pairs, sets, percent), "promising-pairs")
-    verified = materialise(verify(pairs, sets), "verified")
-    links = _links(verified, percent)
-    if not hot.isEmpty():
-        again = materialise(_rejoin(hot, star, verified, links, sets, percent), "again")
-        links = links.unionByName(_links(verify(again, sets), percent))
-    roots = components(links)
-    labelled = materialise(
-        nodes.join(roots, "node", "left").select(F.col("digest").alias("own"), F.coalesce("root", "node").alias("root")),
-        "labelled",
+    links = _links(verify(_promising(pairs, sets, percent), sets), percent)
+    roots = components(links.unionByName(_hot_links(hot, sets, percent)))
+    labelled = nodes.join(roots, "node", "left").select(
+        F.col("digest").alias("own"), F.coalesce("root", "node").alias("root")
     )
     joined = members.join(labelled, F.col("digest") == F.col("own"), "left")
     return joined.select(

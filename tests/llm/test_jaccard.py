@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from shelfloom.llm import jaccard
+from shelfloom.llm.components import components
 from tests.llm.common import ascii_lower, documents, found, with_extra, words
 
 
@@ -63,6 +65,37 @@ def test_large_regions_are_joined_about_centres(spark, monkeypatch):
     texts = corpus(2, groups=6, copies=90)
     result = jaccard.near_components(documents(spark, texts))
     assert found(result, *COLUMNS) == by_hand(texts)
+    # Pivots dealt over several tasks.
+    monkeypatch.setattr(jaccard, "SALTED", 10)
+    result = jaccard.near_components(documents(spark, texts))
+    assert found(result, *COLUMNS) == by_hand(texts)
+
+
+def test_links_returned_grow_with_documents_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION", 20)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    found_links, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: (found_links.append(links.count()), plain(links))[1])
+    for copies in (300, 1200):
+        draw = random.Random(copies)
+        base = [f"w{draw.randrange(500)}" for _ in range(150)]
+        texts = []
+        for i in range(copies):
+            own = list(base)
+            for _ in range(draw.randrange(5)):
+                own[draw.randrange(150)] = f"x{draw.randrange(9999)}"
+            texts.append((i, " ".join(own)))
+        result = jaccard.near_components(documents(spark, texts))
+        assert found(result, *COLUMNS) == by_hand(texts)
+    # A forest per pivot and block: four times the documents, about as many times the edges.
+    assert found_links[1] < 5 * found_links[0]
+
+
+def test_overlaps_of_all_pairs():
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 9000, n).astype(np.uint64)) for n in (0, 5, 900, 7000, 8000)]
+    wanted = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+    assert jaccard.overlaps(sets[:3], sets).tolist() == wanted
 
 
 def test_nulls_empty_short_long_and_repeated(spark):
@@ -82,7 +115,7 @@ def test_empty_table(spark):
 
 def test_links_are_followed_along_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (5, 5)], "u long, v long")
-    roots = dict(found(jaccard.components(links), "node", "root"))
+    roots = dict(found(components(links), "node", "root"))
     assert roots == {i: 1 for i in range(2, 61)} | {101: 100}
 
 
