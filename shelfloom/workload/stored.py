@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions.envelopes import candidates_payload
 from shelfloom.operators import export as X
+from shelfloom.operators.prepare import complete_input
+from shelfloom.plans import generation
 from shelfloom.session import shared_folder
 from shelfloom.sources.ledger import Ledger, store_bucketed
 from shelfloom.sources.reply_stream import load_new_replies
+from shelfloom.sources.request_files import read_request_files, request_files_report, write_request_files
+from shelfloom.workload.prompting import _batch_sql
 from shelfloom.workload.registry import VIEWS, query
-from shelfloom.workload.results import _FULL_SQL, _finished
+from shelfloom.workload.results import _BATCH, _FULL_SQL, _finished
 from shelfloom.workload.views import Tables
 
 BUCKETS, SLICES = 8, 4
@@ -118,3 +122,33 @@ def stream_replies(t: Tables) -> DataFrame:
         load_new_replies(ledger, f"{folder}/replies", "titles", f"{folder}/checkpoint")
     load_new_replies(ledger, f"{folder}/replies", "titles", f"{folder}/checkpoint")
     return ledger.read().select("id", "title", "tries")
+
+
+_LIMITS = {"max_lines": 7, "max_bytes": 40_000}
+
+
+def _requests(t: Tables) -> DataFrame:
+    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
+    return generation.batch_requests(completed, t.examples(), _BATCH)["titles"].select("request")
+
+
+@query(f"SELECT id, md5(prompt) AS prompt FROM ({_batch_sql('titles', 'title')})")
+def request_files(t: Tables) -> DataFrame:
+    """Request files of a few lines each, read back by their manifest."""
+    folder = f"{shared_folder(t.spark)}/{_name('requests')}"
+    write_request_files(_requests(t), folder, **_LIMITS)
+    request = F.from_json(
+        "value", "id STRING, request STRUCT<contents: ARRAY<STRUCT<parts: ARRAY<STRUCT<text: STRING>>>>>"
+    )
+    read = read_request_files(t.spark, folder).select(request.alias("r"))
+    return read.select("r.id", F.md5(F.col("r.request.contents")[0]["parts"][0]["text"]).alias("prompt"))
+
+
+@query(f"SELECT COUNT(*) AS lines, true AS within FROM ({_batch_sql('titles', 'title')})")
+def request_file_limits(t: Tables) -> DataFrame:
+    """What the manifest says of the same files: every line is in one, and no file exceeds a limit."""
+    folder = f"{shared_folder(t.spark)}/{_name('limits')}"
+    write_request_files(_requests(t), folder, **_LIMITS)
+    report = request_files_report(t.spark, folder)
+    within = (F.col("most_lines") <= _LIMITS["max_lines"]) & (F.col("most_bytes") <= _LIMITS["max_bytes"])
+    return report.select("lines", (within & (F.col("files") >= F.col("lines") / _LIMITS["max_lines"])).alias("within"))
