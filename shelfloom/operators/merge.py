@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom import schemas as S
@@ -118,6 +118,13 @@ def save_snapshot(output: DataFrame, root: str) -> str:
     return path
 
 
+def save_with_progress(output: DataFrame, root: str) -> tuple[str, dict[str, int]]:
+    """``save_snapshot``, and what ``progress`` would count, taken from the rows as they are written."""
+    seen = Observation()
+    path = save_snapshot(output.observe(seen, *progress_counts()), root)
+    return path, seen.get
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The newest version that was written to its end, or an empty table."""
     versions = snapshot_versions(spark, root)
@@ -134,7 +141,10 @@ def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
 
 def progress(output: DataFrame) -> DataFrame:
     """How many rows there are and how many have each text."""
-    return output.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count(t.column).alias(t.name) for t in S.TARGETS.values()],
-    )
+    return output.agg(*progress_counts())
+
+
+def progress_counts() -> list[Column]:
+    """The aggregates of ``progress``."""
+    counts = [F.count(t.column).alias(t.name) for t in S.TARGETS.values()]
+    return [F.count(F.lit(1)).alias("total"), *counts]

@@ -121,3 +121,20 @@ def next_batch(pending: DataFrame, n: int | None, seed: int | None = None) -> Da
     if n is None:
         return pending
     return pending.orderBy(F.md5(F.concat(F.lit(str(seed or 0)), "id")), "id").limit(n)
+
+
+def draw_order(rows: DataFrame, seed: int, once: bool = False) -> DataFrame:
+    """Rows with their place in a draw, ``turn`` from 0 up, written once in that order.
+
+    A pass takes a range of turns, which lies in few files, in place of ordering all rows again. The
+    draw depends on ids and seed alone. ``once`` gives rows that repeat an id one turn together.
+    """
+    drawn = F.md5(F.concat(F.lit(str(seed)), F.coalesce("id", F.lit("")))).alias("_drawn")
+    if once:
+        ids = with_row_index(rows.select("id").distinct().select("id", drawn), ["_drawn", "id"], "turn")
+        turns = ids.select(F.col("id").alias("_same"), "turn")
+        numbered = rows.join(turns, F.col("id").eqNullSafe(F.col("_same"))).drop("_same")
+        numbered = numbered.repartitionByRange("turn").sortWithinPartitions("turn")
+    else:
+        numbered = with_row_index(rows.select("*", drawn), ["_drawn", "id"], "turn").drop("_drawn")
+    return materialise(numbered, "draw")

@@ -22,10 +22,10 @@ from shelfloom.functions.text import image_uri, part_of
 from shelfloom.generator import Generator
 from shelfloom.operators import merge as M
 from shelfloom.operators.examples import example_blocks
-from shelfloom.operators.numbering import chunk, gather_chunks, next_batch
+from shelfloom.operators.numbering import chunk, draw_order, gather_chunks
 from shelfloom.operators.prepare import in_part
 from shelfloom.operators.replies import answers, debug_rows
-from shelfloom.session import materialise
+from shelfloom.session import materialise, materialise_counted
 from shelfloom.sources.records import read_replies, reply_folders
 
 
@@ -34,7 +34,7 @@ class Passes:
     """Settings of the passes over pending rows.
 
     ``layout`` is how replies are laid out: ``lines``, ``blocks``, or ``single`` for one item per
-    prompt. ``batch_rows`` limits the rows of a pass; by default a pass takes all pending ones.
+    prompt. ``batch_rows`` limits the ids of a pass; by default a pass takes all pending ones.
     Chunks are numbered within ``buckets``, which bounds a task's share and is fixed for a run, so
     that which items share a prompt does not depend on the size of the feed; large feeds take
     thousands. By default chunks run through all rows in order of id.
@@ -187,28 +187,54 @@ def generate(
         wanted = F.col("_listed").isNotNull()
     # Ids the input does not know are never asked, so they are done from the start.
     active_now = wanted & F.col("properties").isNotNull()
-    state = _split(joined.withColumn("_active", active_now), columns)
+    state, waiting = _split(joined.withColumn("_active", active_now), columns)
     settled, active = [_settled(state, columns)], _active(state)
     repeated = repeats(active)
     number = 0
-    while not active.isEmpty():
-        asked = _once(active) if repeated else active
-        if settings.batch_rows is not None:
-            asked = materialise(next_batch(asked, settings.batch_rows, number), "asked")
-        merged = run_pass(active, asked, block, generator, settings)
-        if ids is not None:
-            return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
-        state = _split(merged.withColumn("_active", pending(settings)), columns)
-        settled.append(_settled(state, columns))
-        active = _active(state)
+    while waiting:
+        if settings.batch_rows is None or ids is not None:
+            shares = [active]
+        else:
+            shares = _shares(active, settings.batch_rows, number, waiting, repeated)
+        left, waiting = [], 0
+        for share in shares:
+            asked = _once(share) if repeated else share
+            merged = run_pass(share, asked, block, generator, settings)
+            if ids is not None:
+                return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
+            state, still = _split(merged.withColumn("_active", pending(settings)), columns)
+            settled.append(_settled(state, columns))
+            left.append(_active(state))
+            waiting += still
+        active = reduce(DataFrame.unionByName, left)
         number += 1
     return reduce(DataFrame.unionByName, settled)
 
 
-def _split(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Write rows out, the active ones apart from the others and alone with their properties."""
+def _shares(active: DataFrame, size: int, seed: int, waiting: int, repeated: bool) -> list[DataFrame]:
+    """The active rows in passes of ``size`` ids, in an order drawn and written once.
+
+    A pass reads its range of the draw and writes what it asked, so all passes over the rows together
+    read and write each of them once; rows that fail wait for the next draw.
+    """
+    drawn = draw_order(active, seed, once=repeated)
+    if repeated:
+        waiting = drawn.agg(F.max("turn")).first()[0] + 1
+    return [
+        drawn.where((F.col("turn") >= start) & (F.col("turn") < start + size)).drop("turn")
+        for start in range(0, waiting, size)
+    ]
+
+
+def _split(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """Write rows out, the active ones apart from the others and alone with their properties.
+
+    Also returns how many are active, as counted by the write itself.
+    """
     carried = [F.when(F.col("_active"), F.col(c)).alias(c) for c in CARRIED]
-    return materialise(rows.select(*columns, *carried, "_active"), "output", by="_active")
+    active = {"active": F.count_if(F.col("_active"))}
+    state, seen = materialise_counted(rows.select(*columns, *carried, "_active"), "output", active, by="_active")
+    return state, seen["active"]
 
 
 def _active(state: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 def local_session(
     cores: int | str = "*",
@@ -62,6 +62,18 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(
+    df: DataFrame, label: str, counts: dict[str, Column], by: str | None = None
+) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates over the rows that the same write has seen, by their names.
+
+    They are observed as the rows pass, so no second job reads the rows to count them.
+    """
+    seen = Observation()
+    written = materialise(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), label, by)
+    return written, seen.get
+
+
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a glob on whatever file system the pattern names, sorted."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)

@@ -7,17 +7,19 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom import schemas as S
 from shelfloom.functions.envelopes import candidates_payload
 from shelfloom.operators import export as X
+from shelfloom.operators import merge as M
 from shelfloom.operators.prepare import complete_input
 from shelfloom.plans import generation
 from shelfloom.session import shared_folder
 from shelfloom.sources.ledger import Ledger, store_bucketed
 from shelfloom.sources.reply_stream import load_new_replies
 from shelfloom.sources.request_files import read_request_files, request_files_report, write_request_files
-from shelfloom.workload.prompting import _batch_sql
+from shelfloom.workload.prompting import FAILS, _batch_sql, sectioned
 from shelfloom.workload.registry import VIEWS, query
-from shelfloom.workload.results import _BATCH, _FULL_SQL, _finished
+from shelfloom.workload.results import _BATCH, _FULL_SQL, _finished, _mark, _run
 from shelfloom.workload.views import Tables
 
 BUCKETS, SLICES = 8, 4
@@ -152,3 +154,36 @@ def request_file_limits(t: Tables) -> DataFrame:
     report = request_files_report(t.spark, folder)
     within = (F.col("most_lines") <= _LIMITS["max_lines"]) & (F.col("most_bytes") <= _LIMITS["max_bytes"])
     return report.select("lines", (within & (F.col("files") >= F.col("lines") / _LIMITS["max_lines"])).alias("within"))
+
+
+@query(
+    f"""
+    WITH single AS (
+      SELECT o.id, [o.id] AS ids, 'Item ' || o.id || ', new title' || {_mark(sectioned(
+        "titles", "English", "title", "i.properties || chr(10)"))} AS new_title
+      FROM output o JOIN item_properties i ON i.id = o.id)
+    SELECT id, CASE WHEN NOT ({FAILS}) THEN new_title END AS title,
+           CAST(CASE WHEN {FAILS} THEN 3 ELSE 1 END AS BIGINT) AS tries
+    FROM single
+    """
+)
+def generate_in_batches(t: Tables) -> DataFrame:
+    """Passes over a bounded number of items each, in an order that is drawn and written once a round."""
+    return _run(t, S.TITLES, "single", batch_rows=600).select("id", "title", "tries")
+
+
+@query(
+    """
+    SELECT COUNT(*) AS total, COUNT(title) AS titles, COUNT(description) AS descriptions,
+           COUNT(highlights) AS highlights
+    FROM finished
+    """
+)
+def progress_observed(t: Tables) -> DataFrame:
+    """The counts of an output table, taken while a snapshot of it is written."""
+    made = _finished(t)
+    missing = [f for f in S.OUTPUT.fields if f.name not in made.columns]
+    output = made.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+    output = output.select(*[f.name for f in S.OUTPUT.fields])
+    _, counts = M.save_with_progress(output, f"{shared_folder(t.spark)}/{_name('progress')}")
+    return t.spark.createDataFrame([counts], "total long, titles long, descriptions long, highlights long")

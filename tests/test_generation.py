@@ -59,6 +59,55 @@ def test_small_batches_reach_the_same_end(spark, layout):
     assert len(done) == 23 and all(r["title"] or r["tries"] == 3 for r in done)
 
 
+def test_passes_of_a_drawn_order_write_each_row_once_a_round(spark, monkeypatch):
+    written, plain = [], G.materialise_counted
+
+    def counted(df, label, counts, by=None):
+        state, seen = plain(df, label, counts | {"n": F.count(F.lit(1))}, by)
+        written.append(seen["n"])
+        return state, seen
+
+    monkeypatch.setattr(G, "materialise_counted", counted)
+    done = run(spark, feed(spark, 60), batch_rows=7, layout="single").collect()
+    assert len(done) == 60 and all(r["title"] or r["tries"] == 3 for r in done)
+    failed = sum(1 for r in done if r["tries"] == 3)
+    # The start, one row written per row asked, and those that fail once more in either further round.
+    assert sum(written) == 60 + 60 + 2 * failed and max(written[1:]) <= 7
+
+
+def test_counting_active_rows_takes_no_job(spark, monkeypatch):
+    def jobs(name):
+        spark.sparkContext.setJobGroup(name, name)
+        run(spark, feed(spark, 20), generator=failing())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    plain, splits = G._split, []
+
+    def asking(rows, columns):
+        state, _ = plain(rows, columns)
+        splits.append(1)
+        return state, int(not state.where("_active").isEmpty())
+
+    new = jobs("observed")
+    monkeypatch.setattr(G, "_split", asking)
+    assert new + len(splits) <= jobs("asked") and len(splits) == 4
+
+
+def test_repeated_items_are_asked_once_in_batches(spark):
+    rows = feed(spark, 20, copies=[("7", 40)])
+    done = run(spark, rows, M.init_output(rows.select("id")), batch_rows=6).collect()
+    assert len(done) == rows.count()
+    assert len({(r["title"], r["tries"]) for r in done if r["id"] == "7"}) == 1
+
+
+def test_progress_is_counted_by_the_write(spark, tmp_path):
+    output = run(spark, feed(spark, 30))
+    path, counts = M.save_with_progress(output, str(tmp_path))
+    assert counts == spark.read.parquet(path).transform(M.progress).first().asDict()
+    assert counts["total"] == 30 and counts["descriptions"] == 0
+
+
 def test_rows_without_input_are_left_alone(spark):
     rows = feed(spark, 5)
     output = M.init_output(rows.select("id").union(spark.range(50, 52).select(F.col("id").cast("string"))))
