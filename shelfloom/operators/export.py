@@ -105,6 +105,12 @@ def approved(generated: DataFrame) -> DataFrame:
     return generated.where(F.col("approval") == F.lit(True))
 
 
+def stamp() -> Column:
+    """The present time in UTC as text."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def approved_feed(
     generated: DataFrame, prefix: str = "new-", max_columns: int = 1000, order_by: str = "id"
 ) -> DataFrame:
@@ -118,10 +124,8 @@ def approved_feed(
         F.coalesce(values[key], F.lit("")).alias(key if known else prefix + key)
         for key, known in attribute_columns(rows, max_columns, order_by)
     ]
-    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
-                          "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return rows.select(
-        stamp.alias("modified"),
+        stamp().alias("modified"),
         F.col("id").alias("Item ID"),
         F.col("title_generated").alias("Title"),
         F.col("description_generated").alias("Description"),

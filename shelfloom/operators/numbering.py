@@ -61,19 +61,28 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index")
 
 
 def chunk(
-    df: DataFrame, items_per_prompt: int, buckets: int | None = None, id_col: str = "id"
+    df: DataFrame, items_per_prompt: int, buckets: int | None = None, id_col: str = "id", spread: bool = False
 ) -> DataFrame:
     """Add ``chunk_id`` so that each chunk holds up to ``items_per_prompt`` rows in order of id.
 
     Without ``buckets`` the chunks run through the whole table in order. With it, rows are numbered
     within hash buckets of their unique id, which needs a single shuffle and leaves at most one
-    short chunk per bucket; the chunk id is then unique but has gaps.
+    short chunk per bucket; the chunk id is then unique but has gaps. A bucket is one task's share
+    then; ``spread`` gives the same chunks from numbers that run through pieces of buckets of any size,
+    for one more shuffle.
     """
     size = F.lit(items_per_prompt)
     if buckets is None:
         indexed = with_row_index(df, [id_col], "_row")
         return indexed.withColumn("chunk_id", F.expr(f"_row div {items_per_prompt}")).drop("_row")
     bucket = part_of(F.col(id_col), buckets)
+    if spread:
+        placed = with_row_index(df.withColumn("_bucket", bucket), ["_bucket", id_col], "_row")
+        # One row per bucket.
+        first = placed.groupBy("_bucket").agg(F.min("_row").alias("_first"))
+        number = F.expr(f"(_row - _first) div {items_per_prompt}")
+        placed = placed.join(first, "_bucket").withColumn("chunk_id", number * buckets + F.col("_bucket"))
+        return placed.drop("_row", "_first")
     within = Window.partitionBy("_bucket").orderBy(id_col)
     number = F.floor((F.row_number().over(within) - 1) / size).cast("long")
     return (

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -48,6 +52,72 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+_RUNS = "runs"
+
+
+@contextmanager
+def run(spark: SparkSession, label: str) -> Iterator[str]:
+    """What is materialised inside goes to a folder of this run, which goes when the run ends.
+
+    The folder names its owner and when it was last used, so that ``sweep`` can tell abandoned runs.
+    Results that outlive the run have to be written elsewhere before it ends.
+    """
+    folder = f"{shared_folder(spark)}/{_RUNS}/{label}-{uuid.uuid4().hex}"
+    touch(spark, folder)
+    held = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(held)
+        remove(spark, folder)
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where intermediate data goes: the folder of the run, or the shared one outside of any."""
+    folder = _RUN.get()
+    if folder is None:
+        return shared_folder(spark)
+    touch(spark, folder)
+    return folder
+
+
+def touch(spark: SparkSession, folder: str) -> None:
+    """Record that a run is at work."""
+    path, system = _path(spark, f"{folder}/_owner")
+    out = system.create(path, True)
+    out.write(bytearray(spark.sparkContext.applicationId.encode()))
+    out.close()
+
+
+def sweep(spark: SparkSession, idle_seconds: float) -> list[str]:
+    """Remove the folders of runs that were not at work for so long; those of this session stay.
+
+    Choose an age beyond the longest step of any job that shares the folder.
+    """
+    now, gone = time.time() * 1000, []
+    for owner in list_paths(spark, f"{shared_folder(spark)}/{_RUNS}/*/_owner"):
+        path, system = _path(spark, owner)
+        folder = owner.rpartition("/")[0]
+        own = _RUN.get()
+        mine = own is not None and folder.endswith(own.rpartition("/")[2])
+        if not mine and now - system.getFileStatus(path).getModificationTime() > idle_seconds * 1000:
+            remove(spark, folder)
+            gone.append(folder)
+    return gone
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all it holds, if it is there."""
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written rows.
 
@@ -56,7 +126,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     optimizer can use to choose a join. ``by`` names a column to lay the files out by, so that
     readers of one value skip the others.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -76,15 +146,14 @@ def materialise_counted(
 
 def list_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a glob on whatever file system the pattern names, sorted."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    path, system = _path(spark, pattern)
+    found = system.globStatus(path)
     return sorted(status.getPath().toString() for status in (found or []))
 
 
 def files_below(spark: SparkSession, folder: str) -> list[str]:
     """Paths of all files at any depth below a folder; none if it does not exist."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, system = _path(spark, folder)
     if not system.exists(path):
         return []
     found, files = [], system.listFiles(path, True)

@@ -765,22 +765,21 @@ def approve_rows(t: Tables) -> DataFrame:
     return X.approve_where(first, "status = 'Failed compliance checks'")
 
 
-@query(
-    """
+_APPROVED_SQL = """
     SELECT id AS "Item ID", title_generated AS "Title", description_generated AS "Description",
            coalesce(gap_attributes->>'$.color', '') AS color,
            coalesce(gap_attributes->>'$.size', '') AS size,
            coalesce(gap_attributes->>'$.Material', '') AS "new-Material"
-    FROM (SELECT *, CASE WHEN gap_attributes = '' THEN NULL ELSE gap_attributes END AS g FROM
-            (SELECT id, title_generated, description_generated,
-                    CASE WHEN gap_attributes = '' THEN '{}' ELSE gap_attributes END AS gap_attributes
-             FROM records WHERE status = 'Success'))
-    """
-)
+    FROM (SELECT id, title_generated, description_generated,
+                 CASE WHEN gap_attributes = '' THEN '{}' ELSE gap_attributes END AS gap_attributes
+          FROM records WHERE approval OR status = 'Success')
+"""
+
+
+@query(_APPROVED_SQL)
 def approved_feed(t: Tables) -> DataFrame:
-    """All compliant rows approved, with one column per filled or invented attribute."""
+    """Compliant and approved rows, with one column per filled or invented attribute."""
     rows = materialise(X.approve_where(_records(t), "status = 'Success'"), "records")
-    rows = rows.withColumn("approval", F.col("status") == "Success")
     return X.approved_feed(rows).drop("modified")
 
 

@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 from shelfloom import schemas as S
 from shelfloom.functions.envelopes import candidates_payload
+from shelfloom.functions.sql import register_table_functions
+from shelfloom.functions.text import part_of
 from shelfloom.operators import export as X
 from shelfloom.operators import merge as M
+from shelfloom.operators import sketches as K
+from shelfloom.operators import variants as V
+from shelfloom.operators.numbering import chunk, gather_chunks
 from shelfloom.operators.prepare import complete_input
 from shelfloom.plans import generation
 from shelfloom.session import shared_folder
 from shelfloom.sources.ledger import Ledger, store_bucketed
 from shelfloom.sources.reply_stream import load_new_replies
 from shelfloom.sources.request_files import read_request_files, request_files_report, write_request_files
-from shelfloom.workload.prompting import FAILS, _batch_sql, sectioned
+from shelfloom.workload.prompting import BUCKET_CHUNKS, FAILS, _answers_sql, _batch_sql, sectioned
 from shelfloom.workload.registry import VIEWS, query
-from shelfloom.workload.results import _BATCH, _FULL_SQL, _finished, _mark, _run
+from shelfloom.workload.results import _APPROVED_SQL, _BATCH, _FULL_SQL, _finished, _mark, _records, _run
+from shelfloom.workload.stub import block_reply
 from shelfloom.workload.views import Tables
 
 BUCKETS, SLICES = 8, 4
@@ -187,3 +193,85 @@ def progress_observed(t: Tables) -> DataFrame:
     output = output.select(*[f.name for f in S.OUTPUT.fields])
     _, counts = M.save_with_progress(output, f"{shared_folder(t.spark)}/{_name('progress')}")
     return t.spark.createDataFrame([counts], "total long, titles long, descriptions long, highlights long")
+
+
+@query(_APPROVED_SQL)
+def approved_feed_variants(t: Tables) -> DataFrame:
+    """The feed of approved rows from attributes stored as variants."""
+    records = V.store_variants(X.approve_where(_records(t), "status = 'Success'"))
+    return V.approved_variants(records).drop("modified")
+
+
+@query(
+    """
+    SELECT id, regexp_extract(gap_attributes, '"([^"]+)":"([^"]*)"', 1) AS key,
+           regexp_extract(gap_attributes, '"([^"]+)":"([^"]*)"', 2) AS value
+    FROM records WHERE approval AND gap_attributes <> ''
+    """
+)
+def approved_variants_long(t: Tables) -> DataFrame:
+    return V.variants_long(V.store_variants(_records(t)))
+
+
+@query(_answers_sql("blocks", True))
+def parse_title_blocks_sql(t: Tables) -> DataFrame:
+    """Block replies read by SQL alone: a table function, and the first answer of each id."""
+    chunks = gather_chunks(chunk(t.properties(), 10)).select("chunk_id", "ids")
+    replies = chunks.withColumn("mark", F.lit("")).withColumn("reply", block_reply("title"))
+    register_table_functions(t.spark)
+    return t.spark.sql(
+        """
+        SELECT id, text FROM (
+            SELECT b.id, b.text, ROW_NUMBER() OVER (PARTITION BY b.id ORDER BY chunk_id, position) AS nth
+            FROM {replies}, LATERAL title_blocks(reply) b)
+        WHERE nth = 1 AND text IS NOT NULL
+        """,
+        replies=replies,
+    )
+
+
+@query(_answers_sql("lines", True))
+def parse_title_lines_sql(t: Tables) -> DataFrame:
+    """Line replies read by SQL alone; only ids that were asked count."""
+    from shelfloom.workload.stub import line_reply
+
+    chunks = gather_chunks(chunk(t.properties(), 10)).select("chunk_id", "ids")
+    replies = chunks.withColumn("mark", F.lit("")).withColumn("reply", line_reply("title"))
+    register_table_functions(t.spark)
+    return t.spark.sql(
+        """
+        SELECT id, text FROM (
+            SELECT a.id, a.text, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY chunk_id, position) AS nth
+            FROM {replies}, LATERAL reply_answers(reply, ids) a WHERE array_contains(ids, a.id))
+        WHERE nth = 1 AND text IS NOT NULL
+        """,
+        replies=replies,
+    )
+
+
+_FEW = 3
+
+
+@query(
+    f"""
+    WITH chunks AS ({BUCKET_CHUNKS.format(size=10, buckets=_FEW, source="item_properties")})
+    SELECT array_to_string(ids, ',') AS ids, len(ids) AS n FROM chunks
+    """
+)
+def chunk_ids_spread(t: Tables) -> DataFrame:
+    """Chunks of few large buckets, numbered over pieces of buckets."""
+    chunks = gather_chunks(chunk(t.properties(), 10, _FEW, spread=True))
+    return chunks.select(F.array_join("ids", ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+@query("SELECT COUNT(*) AS n, true AS within FROM feed_raw")
+def sketched_quantile(t: Tables) -> DataFrame:
+    """The 99th percentile of clicks from merged sketches of four parts, held against true ranks."""
+    feed = t.raw().select("id", "clicks")
+    parts = K.metric_sketches(feed.withColumn("part", part_of(F.col("id"), 4)), "clicks", ["part"])
+    value = K.merged(parts).select(K.quantile(0.99)).scalar()
+    below, upto = F.count_if(F.col("clicks") < value), F.count_if(F.col("clicks") <= value)
+    ranks = feed.agg(F.count(F.lit(1)).alias("n"), below.alias("below"), upto.alias("upto"))
+    error = F.lit(K.rank_error()) * F.col("n")
+    within = (F.col("below") <= 0.99 * F.col("n") + error) & (F.col("upto") >= 0.99 * F.col("n") - error)
+    return ranks.select("n", within.alias("within"))
