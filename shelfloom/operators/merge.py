@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfloom import schemas as S
 from shelfloom.schemas import Target
-from shelfloom.session import list_paths
+from shelfloom.sources.records import table_versions
 
 
 def init_output(ids: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def upsert(output: DataFrame, results: dict[str, DataFrame], keep_old: bool = Tr
 
 def save_snapshot(output: DataFrame, root: str) -> str:
     """Write the next version of the output table; the version being read stays untouched."""
-    versions = snapshot_versions(output.sparkSession, root)
+    versions = table_versions(output.sparkSession, root)
     path = f"{root}/v={(versions[-1] + 1 if versions else 1):06d}"
     output.write.parquet(path)
     return path
@@ -127,18 +127,12 @@ def save_with_progress(output: DataFrame, root: str) -> tuple[str, dict[str, int
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """The newest version that was written to its end, or an empty table."""
-    versions = snapshot_versions(spark, root)
+    versions = table_versions(spark, root)
     if not versions:
         return empty_output(spark)
     return spark.read.schema(S.OUTPUT).parquet(f"{root}/v={versions[-1]:06d}")
 
 
-def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished versions, in order."""
-    done = list_paths(spark, f"{root}/v=*/_SUCCESS")
-    return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in done)
-
-
 def progress(output: DataFrame) -> DataFrame:
     """How many rows there are and how many have each text."""
     return output.agg(*progress_counts())

@@ -27,6 +27,30 @@ def guess_roles(columns: list[str]) -> dict[str, str]:
     return roles
 
 
+def role_candidates(columns: list[str]) -> dict[str, list[str]]:
+    """All columns whose name fits each role, in order; a person picks among them."""
+    return {
+        role: [c for c in columns if re.search(pattern, c, re.IGNORECASE)] for role, pattern in C.ROLE_PATTERNS.items()
+    }
+
+
+def candidate_report(feed: DataFrame) -> DataFrame:
+    """``role, place, column, filled``: the candidates of each role with how many rows fill them.
+
+    All columns are counted in one pass over the feed.
+    """
+    found = [(r, i, c) for r, cs in role_candidates(feed.columns).items() for i, c in enumerate(cs)]
+    named = sorted({c for _, _, c in found})
+    counts = feed.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in named]) if named else feed.agg(F.lit(0))
+    rows = [
+        F.struct(F.lit(r).alias("role"), F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("filled"))
+        for r, i, c in found
+    ]
+    if not rows:
+        return feed.sparkSession.createDataFrame([], "role string, place int, column string, filled long")
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def profile(feed: DataFrame, name: str = "feed") -> dict:
     """Counts, column roles, a summary line and a preview of five rows as text."""
     columns = feed.columns
@@ -85,6 +109,20 @@ def project_roles(
     )
 
 
+def project_plain(
+    feed: DataFrame, id_col: str, title_col: str, desc_col: str, include: str = "", where: str | Column | None = None
+) -> DataFrame:
+    """Chosen rows and columns under their own names, each once; ``*`` keeps all columns.
+
+    Columns stand in order of first mention.
+    """
+    rows = feed.where(where) if where is not None else feed
+    if include.strip() == "*":
+        return rows
+    extra = [c.strip() for c in include.split(",") if c.strip()]
+    return rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, title_col, desc_col, *extra])])
+
+
 def restrict_to(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     """Rows whose id is listed, whatever the length of the list."""
     return df.join(ids.select(on).distinct(), on, "left_semi")

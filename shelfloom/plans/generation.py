@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -153,7 +155,7 @@ def _once(rows: DataFrame) -> DataFrame:
 def generate(
     output: DataFrame,
     prepared: DataFrame,
-    examples: DataFrame,
+    examples: DataFrame | Column,
     generator: Generator,
     settings: Passes = Passes(),
     ids: DataFrame | None = None,
@@ -175,7 +177,7 @@ def generate(
         done = generate(fresh, prepared, examples, generator, single, ids)
         return done.withColumn("tries", F.col("tries") + F.col("_before")).select(*columns)
 
-    block = example_blocks(examples)
+    block = examples if isinstance(examples, Column) else example_blocks(examples)
     if ids is None:
         prepared = in_part(prepared, settings.parts, settings.part)
     joined = join_pending(output, prepared)
@@ -251,18 +253,23 @@ def generate_parts(
     examples: DataFrame,
     generator: Generator,
     settings: Passes,
+    at_once: int = 4,
 ) -> DataFrame:
     """All parts of the feed, each as its own run, put together again.
 
-    Spark spreads a single run over the cluster by itself; parts are for callers that want to run
-    or pay for a feed piecemeal.
+    ``at_once`` parts run side by side, so that a cluster is busy while a part waits for its last
+    tasks; all of them share the stored examples.
     """
-    results = []
-    for part in range(settings.parts):
-        run = replace(settings, part=part)
+    block = example_blocks(examples)
+
+    def run(part: int) -> DataFrame:
         mine = in_part(output, settings.parts, part)
-        results.append(generate(mine, prepared, examples, generator, run))
-    return reduce(DataFrame.unionByName, results)
+        return generate(mine, prepared, block, generator, replace(settings, part=part))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        # Each part keeps the context of the caller, such as the folder of its run.
+        runs = [pool.submit(copy_context().run, run, part) for part in range(settings.parts)]
+        return reduce(DataFrame.unionByName, [r.result() for r in runs])
 
 
 @dataclass(frozen=True)

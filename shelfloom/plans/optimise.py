@@ -56,21 +56,29 @@ def optimise(
     url_col: str = "url",
     title_wording: str = "",
     description_wording: str = "",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Result rows for the input rows that have no finished result yet.
 
-    Each of the two model steps is written out before the next one reads it.
+    Each of the two model steps is written out before the next one reads it. ``tasks`` deals the rows
+    by id over so many tasks before each step, at any size: rows are small and the work on them is not.
     """
     todo = feed if generated is None else unprocessed(feed, generated, settings.id_col)
     paged = with_landing_page(todo, pages, url_col)
     items = with_item(paged, settings, columns=todo.columns, keep=("page_info",))
+    if tasks is not None:
+        items = items.repartition(tasks, "id")
     if settings.titles:
         asked = title_generator.generate(title_prompts(items, title_wording))
         replied = asked.withColumnRenamed("reply", "title_reply").drop("prompt", "status")
         items = materialise(replied, "titles")
+        if tasks is not None:
+            items = items.repartition(tasks, "id")
     titled = scored_titles(items, settings)
     if settings.descriptions:
         asked = description_generator.generate(description_prompts(titled, description_wording))
         replied = asked.withColumnRenamed("reply", "description_reply").drop("prompt", "status")
         titled = materialise(replied, "descriptions")
+        if tasks is not None:
+            titled = titled.repartition(tasks, "id")
     return generated_record(described(titled, settings), settings)

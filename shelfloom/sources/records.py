@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.functions.envelopes import decode_record
-from shelfloom.session import files_below, list_paths
+from shelfloom.session import files_below, list_paths, remove
 
 
 def reply_folders(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
@@ -85,14 +85,37 @@ def read_examples(spark: SparkSession, path: str, header: bool = True) -> DataFr
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Create or replace a stored table and read it back; ``df`` must not read from ``path``."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Create or replace a stored table and read it back; ``df`` may read from it.
+
+    The rows become the next version below ``path``, which readers take once it is whole; until
+    then they see the one before. That one stays for readers that began with it, older ones go.
+    """
+    spark = df.sparkSession
+    versions = table_versions(spark, path)
+    number = versions[-1] + 1 if versions else 1
+    df.write.mode("overwrite").parquet(f"{path}/v={number:06d}")
+    for old in versions[:-1]:
+        remove(spark, f"{path}/v={old:06d}")
+    return read_table(spark, path, df.schema)
+
+
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest whole version of a stored table; no rows if there is none."""
+    versions = table_versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]:06d}")
 
 
 def clear_table(spark: SparkSession, path: str, schema) -> None:
     """Replace a stored table by an empty one."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    replace_table(spark.createDataFrame([], schema), path)
+
+
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written to their end, in order."""
+    done = list_paths(spark, f"{path}/v=*/_SUCCESS")
+    return sorted(int(p.split("/v=")[-1].split("/")[0]) for p in done)
 
 
 def read_objects(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -51,6 +51,28 @@ def filter_project(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT id, brand, title, size FROM feed_raw WHERE size > '3'")
+def filter_project_plain(t: Tables) -> DataFrame:
+    """Columns as they are named, repeated ones once."""
+    return P.project_plain(t.raw(), "id", "brand", "title", "title, size, id", where="size > '3'")
+
+
+@query(
+    """
+    SELECT * FROM (
+        SELECT 'id' AS role, 0 AS place, 'id' AS "column", COUNT(id) AS filled FROM feed_raw
+        UNION ALL SELECT 'title', 0, 'title', COUNT(title) FROM feed_raw
+        UNION ALL SELECT 'description', 0, 'description', COUNT(description) FROM feed_raw
+        UNION ALL SELECT 'url', 0, 'link', COUNT(link) FROM feed_raw
+        UNION ALL SELECT 'url', 1, 'image_link', COUNT(image_link) FROM feed_raw
+        UNION ALL SELECT 'image_url', 0, 'image_link', COUNT(image_link) FROM feed_raw)
+    """
+)
+def role_candidates(t: Tables) -> DataFrame:
+    """All columns that could play each role."""
+    return P.candidate_report(t.raw())
+
+
 @query(
     """
     SELECT id, title, brand FROM feed_raw

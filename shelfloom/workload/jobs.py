@@ -22,7 +22,7 @@ from shelfloom.plans import generation, reports
 from shelfloom.plans.optimise import optimise
 from shelfloom.session import materialise, shared_folder
 from shelfloom.sources import records
-from shelfloom.workload.prompting import FAILS, sectioned
+from shelfloom.workload.prompting import _ITEM_JSON, FAILS, sectioned
 from shelfloom.workload.registry import query, text
 from shelfloom.workload.results import (
     _CLEANED,
@@ -103,7 +103,7 @@ def stored_table(t: Tables) -> DataFrame:
     records.replace_table(properties.limit(1), path)
     stored = records.replace_table(properties, path).count()
     records.clear_table(t.spark, path, properties.schema)
-    return _one_row(t, stored=stored, cleared=t.spark.read.parquet(path).count())
+    return _one_row(t, stored=stored, cleared=records.read_table(t.spark, path, properties.schema).count())
 
 
 @query("SELECT id, title FROM feed_raw ORDER BY md5('3|' || id), id LIMIT 50")
@@ -111,7 +111,7 @@ def sampled_rows(t: Tables) -> DataFrame:
     return P.sample_rows(t.raw(), 50, 3).select("id", "title")
 
 
-_OBJECTS = "(SELECT regexp_extract(image_link, '[^/]+$') AS name FROM feed_raw WHERE clicks > 30)"
+_OBJECTS = "(SELECT regexp_extract(image_link, '[^/]+$') AS name FROM feed_raw WHERE CAST(id AS BIGINT) % 50 < 30)"
 
 
 @query(
@@ -123,7 +123,7 @@ _OBJECTS = "(SELECT regexp_extract(image_link, '[^/]+$') AS name FROM feed_raw W
 def images_to_fetch(t: Tables) -> DataFrame:
     """Links whose image is not stored yet, by the registry and by the plain anti join."""
     name = F.element_at(F.split("image_link", "/"), -1).alias("name")
-    objects = t.raw().where("clicks > 30").select(name)
+    objects = t.raw().where("cast(id as bigint) % 50 < 30").select(name)
     wanted, _ = reports.register_images(t.raw(), objects, "image_link")
     plain = I.new_images(I.image_urls(t.raw(), "image_link"), objects)
     flagged = plain.select("url", F.lit(True).alias("is_new"))
@@ -229,6 +229,37 @@ def optimise_unprocessed(t: Tables) -> DataFrame:
     )
 
 
+_WEBSITE = "CASE WHEN w.content <> '' THEN 'Website: ' || w.content || chr(10) || chr(10) ELSE '' END"
+
+
+@query(
+    f"""
+    SELECT f.id, 'Success' AS status, md5('Describe it. Context: {{"Generated Title":' || to_json(f.title)::VARCHAR || ','
+             || substr({_ITEM_JSON}, 2) || chr(10) || chr(10) || {_WEBSITE}) AS description_generated
+    FROM feed_filtered f
+    LEFT JOIN (SELECT g.url, MIN(w.content) AS content
+               FROM pages g JOIN web w ON w.id = CAST(g.page_id AS VARCHAR) GROUP BY g.url) w ON w.url = f.link
+    WHERE f.id NOT IN (SELECT id FROM ({_STATUS}) WHERE status <> 'Failed')
+    """
+)
+def optimise_with_pages(t: Tables) -> DataFrame:
+    """Descriptions of unprocessed rows from prompts that hold the text of each row's page."""
+    pages = t.read("pages").select("url", "html", F.lit("text/html").alias("content_type"))
+    reply = lambda: F.concat(F.lit("description: "), F.md5("prompt"), F.lit("\nscore: 4\nreasoning: as asked"))
+    done = optimise(
+        t.filtered(),
+        ColumnGenerator(marked_title_reply),
+        ColumnGenerator(reply),
+        Scoring(titles=False),
+        generated=_status(t),
+        pages=pages,
+        url_col="link",
+        description_wording="Describe it. ",
+        tasks=8,
+    )
+    return done.select("id", "status", "description_generated")
+
+
 def _counting_client():
     """A client whose vectors count characters of a text."""
     return lambda texts: [[float(len(x)), float(x.count("a")), float(x.count("e") + 1)] for x in texts]

@@ -581,8 +581,12 @@ VIEWS["title_scores"], VIEWS["title_scores_allowed"] = (
 )
 
 
+# Tasks of the scoring queries: an explicit setting, the same at every size.
+TASKS = 32
+
+
 def _replied(t: Tables) -> DataFrame:
-    items = with_item(t.scoring_feed())
+    items = with_item(t.scoring_feed()).repartition(TASKS, "id")
     return items.withColumn("title_reply", title_reply())
 
 
@@ -694,6 +698,7 @@ def _records(t: Tables) -> DataFrame:
         _RECORD_SETTINGS,
         title_wording="Title it. ",
         description_wording="Describe it. ",
+        tasks=TASKS,
     )
 
 

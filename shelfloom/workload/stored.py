@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from shelfloom.sources.reply_stream import load_new_replies
 from shelfloom.sources.request_files import read_request_files, request_files_report, write_request_files
 from shelfloom.workload.prompting import BUCKET_CHUNKS, FAILS, _answers_sql, _batch_sql, sectioned
 from shelfloom.workload.registry import VIEWS, query
-from shelfloom.workload.results import _APPROVED_SQL, _BATCH, _FULL_SQL, _finished, _mark, _records, _run
+from shelfloom.workload.results import _APPROVED_SQL, _BATCH, _FULL_SQL, _echo, _finished, _mark, _records, _run
 from shelfloom.workload.stub import block_reply
 from shelfloom.workload.views import Tables
 
@@ -275,3 +276,18 @@ def sketched_quantile(t: Tables) -> DataFrame:
     error = F.lit(K.rank_error()) * F.col("n")
     within = (F.col("below") <= 0.99 * F.col("n") + error) & (F.col("upto") >= 0.99 * F.col("n") - error)
     return ranks.select("n", within.alias("within"))
+
+
+@query(
+    f"""
+    WITH h AS ({_batch_sql("highlights", "description")})
+    SELECT id, md5(prompt) AS highlights, CAST(NULL AS VARCHAR) AS title, CAST(1 AS BIGINT) AS tries FROM h
+    """
+)
+def batch_highlights(t: Tables) -> DataFrame:
+    """The third target as a batch of files: requests, replies and merge."""
+    folder = f"{shared_folder(t.spark)}/{_name('highlights')}"
+    settings = dataclasses.replace(_BATCH, targets=("highlights",))
+    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
+    done = generation.run_batch(completed, t.examples(), _echo("generated highlights: "), folder, settings)
+    return done.select("id", "highlights", "title", "tries")

@@ -318,3 +318,18 @@ def test_gaps_split_into_filled_and_invented(spark):
     filled, invented = split_gaps(gaps, item)
     row = spark.range(1).select(filled.alias("f"), invented.alias("i")).first()
     assert (row["f"], row["i"]) == ({"color": "red"}, {"shape": "round"})
+
+
+def test_candidates_of_roles_and_plain_projection(spark):
+    feed = spark.createDataFrame([("1", "n", None, "t", "x"), ("2", None, "p", "u", "y")], "sku string, name string, pic string, title string, product_id string")
+    assert P.role_candidates(feed.columns) == {
+        "id": ["sku", "product_id"], "title": ["name", "title"], "description": [], "url": [], "image_url": ["pic"],
+    }
+    rows = [tuple(r) for r in P.candidate_report(feed).collect()]
+    assert rows == [
+        ("id", 0, "sku", 2), ("id", 1, "product_id", 2), ("title", 0, "name", 1), ("title", 1, "title", 2), ("image_url", 0, "pic", 1),
+    ]
+    assert P.candidate_report(spark.range(2).withColumnRenamed("id", "zzz")).count() == 0
+    plain = P.project_plain(feed, "sku", "title", "title", " name, sku ,pic", where="sku = '1'")
+    assert plain.columns == ["sku", "title", "name", "pic"] and plain.count() == 1
+    assert P.project_plain(feed, "sku", "title", "name", "*").columns == feed.columns
