@@ -69,8 +69,8 @@ def fit(rows: np.ndarray, labels: np.ndarray, decay: float = 1e-2, rounds: int =
     """Logistic regression by Newton steps on standardised features: weights and offset."""
     if not len(labels) or labels.min() == labels.max():
         # Nothing to tell apart: say what the labels say, or yes if there are none.
-        ones = labels.sum() if len(labels) else 1.0
-        return np.zeros(len(FEATURES)), float(np.log((ones + 0.5) / (len(labels) - ones + 0.5)))
+        ones, rows = (labels.sum(), len(labels)) if len(labels) else (1.0, 1)
+        return np.zeros(len(FEATURES)), float(np.log((ones + 0.5) / (rows - ones + 0.5)))
     mean, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     x = np.column_stack([(rows - mean) / spread, np.ones(len(rows))])
     penalty = np.full(x.shape[1], decay * len(rows))

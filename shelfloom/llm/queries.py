@@ -51,7 +51,8 @@ def crc32(number: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda a, b: {byte}), 4294967295)"
 
 
-SHARD_BYTES = 64 << 20
+# Small enough that the given tables fill many shards; a training job would take 64 MiB or more.
+SHARD_BYTES = 256 << 10
 
 
 @query(
@@ -70,7 +71,7 @@ SHARD_BYTES = 64 << 20
     QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY d) = 1"""
 )
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """The shard of every document, in shards of up to 64 MiB of text."""
+    """The shard of every document, in shards of up to 256 KiB of text."""
     shards = sharding.assign_shards(table(spark, folder, "documents"), SHARD_BYTES)
     return shards.withColumnsRenamed({"key": "doc_id", "shard_rows": "shard_docs"})
 

@@ -126,6 +126,7 @@ def fit(
     texts: DataFrame,
     taught: DataFrame,
     max_sample: int = 20_000,
+    max_buckets: int = 1 << 25,
     least_ratio: float = 0.5,
     rounds: int = 60,
     decay: float = 3e-4,
@@ -133,9 +134,10 @@ def fit(
     """Learn from ``doc_id, text`` and one ``label`` (0 or 1) per ``doc_id``.
 
     The log-count ratios count every labelled text. The linear weights are fitted in one task on a
-    sample of about ``max_sample`` texts, drawn by a hash of the id, of which only the buckets with
-    a telling ratio are kept; this is the only bound, and it does not touch what is scored. The ids
-    of the sample are broadcast, which the bound allows.
+    sample of about ``max_sample`` texts, or fewer if they would fill more than about ``max_buckets``
+    buckets together, so long texts do not outgrow the task. It is drawn by a hash of the id, and only
+    the buckets with a telling ratio are kept; these are the only bounds, and they do not touch what is
+    scored. The ids of the sample are broadcast, which the bound allows.
     """
     spark = texts.sparkSession
     taught = taught.select(
@@ -151,7 +153,9 @@ def fit(
     ratios = log_ratios(toxic, clean, least_ratio)
     shared = spark.sparkContext.broadcast(ratios)
 
-    limit = int(min(1.0, max_sample / max(1, taught.count())) * 2**62)
+    filled = clean.sum() + toxic.sum()
+    share = min(1.0, max_sample / max(1, taught.count()), max_buckets / max(1.0, filled))
+    limit = int(share * 2**62)
     drawn = taught.where(F.shiftrightunsigned("key", 2) <= F.lit(limit))
     told = texts.join(F.broadcast(drawn), "doc_id").select("text", "key", "label")
     told = told.mapInArrow(_telling(shared), "key long, label int, found binary")

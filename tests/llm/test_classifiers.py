@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,96 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.score_toxicity(*tables(spark, [], [])).count() == 0
 
 
+def plain_buckets(text):
+    """The buckets of all 3- to 5-grams, counted letter by letter."""
+    letters, mask = [ord(c) for c in f" {(text or '').lower()} "], (1 << 64) - 1
+    result = set()
+    for n in (3, 4, 5):
+        for at in range(len(letters) - n + 1):
+            gram = 0
+            for k, letter in enumerate(letters[at : at + n]):
+                gram = letter if k == 0 else (gram * int(toxicity.M1) + letter) & mask
+            result.add((((gram ^ (gram >> 32)) * int(toxicity.M1)) & mask) >> (64 - toxicity.BUCKET_BITS))
+    return sorted(result)
+
+
+def test_toxicity_scores_as_by_hand(spark):
+    texts, rows = labelled(5, 60)
+    labels = {i: t for i, _, t in rows if zlib.crc32(str(i).encode()) % 5}
+    found_ = {i: plain_buckets(t) for i, t in texts}
+    counts = np.zeros((2, toxicity.BUCKETS))
+    for i, label in labels.items():
+        counts[label, found_[i]] += 1
+    p, q = counts[1] + 1, counts[0] + 1
+    ratios = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratios[np.abs(ratios) < 0.5] = 0
+    used = np.flatnonzero(ratios)
+    x = np.zeros((len(texts), len(used)))
+    for k, (i, _) in enumerate(texts):
+        own = np.isin(used, found_[i])
+        x[k, own] = ratios[used[own]] / np.sqrt((ratios[found_[i]] ** 2).sum() + 1)
+    taught = [k for k, (i, _) in enumerate(texts) if i in labels]
+    y = np.array([labels[texts[k][0]] for k in taught], dtype=float)
+    w = np.append(np.zeros(len(used)), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    for step in range(1, 61):
+        error = share * (1 / (1 + np.exp(-(x[taught] @ w[:-1] + w[-1]))) - y)
+        slope = np.append(x[taught].T @ error + 3e-4 * w[:-1], error.sum())
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    by_hand = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    scores = dict(found(toxicity.score_toxicity(*tables(spark, texts, rows)), "doc_id", "score"))
+    assert [scores[i] for i, _ in texts] == pytest.approx(by_hand.tolist(), abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded_in_buckets(spark):
+    texts, rows = labelled(6, 200)
+    docs, labels = tables(spark, texts, rows)
+    taught = labels.select("doc_id", F.col("toxic").alias("label"))
+    few = toxicity.fit(docs.select("doc_id", "text"), taught, max_buckets=3000)
+    all_ = toxicity.fit(docs.select("doc_id", "text"), taught)
+    # Ratios count every labelled text, whatever the bound of the fit.
+    assert (few.squares == all_.squares).all() and (few.weights != all_.weights).any()
+
+
+def test_quality_posteriors_as_by_hand(spark):
+    texts, rows = labelled(4, 120)
+    sources = {i: f"host{i % 7 % 3}" for i, _ in texts}
+    docs = documents(spark, texts, sources).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 2))
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    result = quality.score_quality(docs, labels).collect()
+    p = {r.doc_id: r.evidence for r in result}
+    overall = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def grouped(key):
+        groups = {}
+        for i, v in p.items():
+            groups.setdefault(key(i), []).append(v)
+        return groups
+
+    def worth(groups, mean):
+        n = sum(map(len, groups.values()))
+        spread = sum(len(v) * (sum(v) / len(v) - mean(k)) ** 2 for k, v in groups.items())
+        noise = sum(mean(k) * (1 - mean(k)) for k in groups)
+        single = sum(len(v) * mean(k) * (1 - mean(k)) for k, v in groups.items())
+        return min(1e6, max(1.0, single / n / max((spread - noise) / n, 1e-9) - 1))
+
+    hosts = grouped(lambda i: sources[i])
+    of_hosts = worth(hosts, lambda k: overall)
+    host = {k: (sum(v) + of_hosts * overall) / (len(v) + of_hosts) for k, v in hosts.items()}
+    paths = grouped(lambda i: (sources[i], i % 2))
+    of_paths = worth(paths, lambda k: host[k[0]])
+    logit = lambda x: np.log(x / (1 - x))
+    for r in result:
+        own = paths[sources[r.doc_id], r.doc_id % 2]
+        path = (sum(own) - r.evidence + of_paths * host[sources[r.doc_id]]) / (len(own) - 1 + of_paths)
+        odds = logit(np.clip(r.evidence, 1e-6, 1 - 1e-6)) + logit(path) - logit(overall)
+        assert r.host_posterior == pytest.approx(host[sources[r.doc_id]])
+        assert r.path_posterior == pytest.approx(path)
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-odds))) and r.kept == (r.quality >= 0.5)
+
+
 def test_quality_learns_and_keeps(spark):
     texts, rows = labelled(3)
     docs, labels = tables(spark, texts + ODD + texts[:3], rows + rows[:5] + [(None, 1, 1)])
@@ -107,6 +198,10 @@ def test_a_bad_site_lowers_a_doubtful_document(spark):
 def test_quality_without_labels_or_documents(spark, host):
     docs, labels = tables(spark, [(1, "a b"), (2, None)], [])
     docs = docs.withColumn("source", F.lit(host).cast("string"))
-    assert found(quality.score_quality(docs, labels), "kept") == [(True,), (True,)]
+    rows = quality.score_quality(docs, labels).collect()
+    assert [r.kept for r in rows] == [True, True]
+    for r in rows:
+        assert r.evidence == pytest.approx(0.75) and r.quality == pytest.approx(0.75, abs=0.1)
+        assert 0 < r.host_posterior < 1 and 0 < r.path_posterior < 1
     assert quality.score_quality(*tables(spark, [], [])).count() == 0
     assert quality.keep_good(*tables(spark, [], [])).count() == 0
