@@ -173,7 +173,8 @@ def format_chat(chats: DataFrame) -> DataFrame:
     A turn of the user is ``<s>[INST] text [/INST]</s>``, of the assistant ``<s>text</s>``, of any
     other role ``<s>[ROLE] role [/ROLE] text</s>``. The spans are start and length, in code points
     of the formatted text, of what the assistant says; a model learns from these alone. A chat
-    without turns gives empty text, a null chat nulls.
+    without turns gives empty text, a null chat nulls. Columns that are named like the two added ones
+    give way to them; all others stay, whatever their names.
     """
 
     def piece(t: Column) -> Column:
@@ -192,7 +193,11 @@ def format_chat(chats: DataFrame) -> DataFrame:
             F.length(text).alias("length"),
         )
 
-    pieces = chats.withColumn("_pieces", F.transform("chat", piece))
+    others = [c for c in chats.columns if c not in ("formatted", "loss_spans")]
+    # The row travels as one value, so no column of it can clash with those added here.
+    pieces = chats.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.transform("chat", piece).alias("_pieces")
+    )
     start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<int>").alias("starts"))
     starts = F.aggregate(
         "_pieces",
@@ -213,9 +218,9 @@ def format_chat(chats: DataFrame) -> DataFrame:
     return (
         pieces.withColumn("_starts", starts)
         .withColumn("formatted", F.concat_ws("", F.col("_pieces")["piece"]))
-        .withColumn("formatted", F.when(F.col("chat").isNotNull(), F.col("formatted")))
+        .withColumn("formatted", F.when(F.col("_pieces").isNotNull(), F.col("formatted")))
         .withColumn("loss_spans", F.array_compact(spans))
-        .drop("_pieces", "_starts")
+        .select("_row.*", "formatted", "loss_spans")
     )
 
 
@@ -256,7 +261,9 @@ def learned_text(formatted: Column, spans: Column) -> Column:
 def gather_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One record per conversation from rows of ``turn, role, text``.
 
-    A record is one text to train on, so its turns have to meet in one row.
+    A record is one text to train on, so its turns have to meet in one row. A null role or text is
+    empty, a null turn comes first once turns are ordered, rows of a null id are one conversation,
+    repeated rows are turns each, and other columns are ignored. No rows give no records.
     """
     turn = F.struct(
         F.col("turn"),

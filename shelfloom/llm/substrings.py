@@ -11,7 +11,8 @@ task, which sorts its hashes and so learns which windows repeat an earlier docum
 make a run. A group that is too large is split by the hashes of whole windows, where a window's smallest
 document is a plain minimum.
 
-Words are compared by 64-bit hashes; windows in a group agree in two of them.
+Words are compared by 64-bit hashes; windows that count as equal agree in two hashes, in a group in
+its name and the node, in a split group in the node and a second hash of all words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm.words import run_hashes, sliding, slices, text_bytes, word_hashes, word_spans
+from shelfloom.llm.words import M2, mix, run_hashes, sliding, slices, text_bytes, word_hashes, word_spans
 from shelfloom.session import materialise
 
 # Words of a piece that names a window, and windows that a group sorted in one task may hold.
@@ -39,6 +40,10 @@ class _Suffixes:
         self.depth = depth
         self.hashes = word_hashes(self.data, self.starts, self.ends)
 
+    def checks(self) -> np.ndarray:
+        """A second hash of every window, of other hashes of its words."""
+        return run_hashes(mix(self.hashes ^ M2), self.depth).view(np.int64)
+
     def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Place, text, name and node of every suffix with enough words."""
         nodes = run_hashes(self.hashes, self.depth)
@@ -79,6 +84,7 @@ _SUFFIX = pa.schema(
         ("start", pa.int32()),
         ("nodes", pa.binary()),
         ("node", pa.int64()),
+        ("check", pa.int64()),
     ]
 )
 
@@ -87,16 +93,17 @@ def _shared_suffixes(depth: int):
     """Windows whose name other documents have too.
 
     Neighbours of one name make one row with all their nodes; in a group that is split further,
-    each window is a row with its node.
+    each window is a row with its node and the second hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                place, owner, names, nodes = _Suffixes(part.column("text"), depth).named()
+                suffixes = _Suffixes(part.column("text"), depth)
+                place, owner, names, nodes = suffixes.named()
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 ids = part.column("doc_id").to_pylist()
-                packed, single = [], []
+                packed, single, checks = [], [], None
                 for i in range(part.num_rows):
                     row = slice(cuts[i], cuts[i + 1])
                     for kind, into in (("small", packed), ("large", single)):
@@ -105,7 +112,8 @@ def _shared_suffixes(depth: int):
                         if not len(at):
                             continue
                         if kind == "large":
-                            into.append((ids[i], place[at], nodes[at]))
+                            checks = suffixes.checks() if checks is None else checks
+                            into.append((ids[i], place[at], nodes[at], checks[suffixes.before[owner[at]] + place[at]]))
                             continue
                         first = np.flatnonzero(
                             np.append(True, (np.diff(at) > 1) | (names[at[1:]] != names[at[:-1]]))
@@ -114,8 +122,8 @@ def _shared_suffixes(depth: int):
                             into.append((names[at[a]], ids[i], place[at[a]], nodes[at[a:b]].tobytes()))
                 if packed:
                     columns = [pa.array(c, type=t) for c, t in zip(zip(*packed), _SUFFIX.types)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(packed), pa.int64())], schema=_SUFFIX)
-                for doc, starts, found in single:
+                    yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(packed), pa.int64())] * 2], schema=_SUFFIX)
+                for doc, starts, found, checked in single:
                     size = len(starts)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -124,6 +132,7 @@ def _shared_suffixes(depth: int):
                             pa.array(starts.astype(np.int32)),
                             pa.nulls(size, pa.binary()),
                             pa.array(found),
+                            pa.array(checked),
                         ],
                         schema=_SUFFIX,
                     )
@@ -198,7 +207,7 @@ def repeated_spans(
     )
     suffixes = materialise(
         texts.join(wanted, "doc_id").mapInArrow(
-            _shared_suffixes(depth), "name long, doc_id long, start int, nodes binary, node long"
+            _shared_suffixes(depth), "name long, doc_id long, start int, nodes binary, node long, check long"
         ),
         "shared-suffixes",
     )
@@ -206,9 +215,9 @@ def repeated_spans(
     spans = grouped.repartition(partitions, "name").sortWithinPartitions("name").mapInArrow(
         _subtrees, "doc_id long, first int, last int"
     )
-    single = suffixes.where("node IS NOT NULL").select("node", "doc_id", "start")
-    lowest = materialise(single.groupBy("node").agg(F.min("doc_id").alias("lowest")), "deep-nodes")
-    later = single.join(lowest, "node").where("doc_id > lowest")
+    single = suffixes.where("node IS NOT NULL").select("node", "check", "doc_id", "start")
+    lowest = materialise(single.groupBy("node", "check").agg(F.min("doc_id").alias("lowest")), "deep-nodes")
+    later = single.join(lowest, ["node", "check"]).where("doc_id > lowest")
     return spans.unionByName(later.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
 
 

@@ -102,3 +102,13 @@ def test_rows_by_turn(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert read_back(chat.canonical_turns(chat.gather_turns(table))).count() == 0
+
+
+def test_columns_of_the_caller_stay(spark):
+    records = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])], "id long, chat array<struct<role:string,text:string>>")
+    names = ["_pieces", "_starts", "_row", "piece", "a.b"]
+    extra = records.withColumns({n: F.lit("x") for n in names}).withColumn("formatted", F.lit("old"))
+    done = chat.format_chat(extra)
+    assert done.columns == ["id", "chat", *names, "formatted", "loss_spans"]
+    row = done.first()
+    assert all(row[n] == "x" for n in names) and row["formatted"] == "<s>[INST] q [/INST]</s><s>a</s>"

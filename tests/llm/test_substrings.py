@@ -72,3 +72,19 @@ def test_rows_of_one_id_and_different_length(spark):
     rows = found(substrings.remove_repeats(documents(spark, [(1, run), (2, "z z " + run), (2, "short"), (3, "q r")])), *COLUMNS)
     assert rows[0] == (1, 60, 0, run) and rows[-1] == (3, 2, 0, "q r")
     assert (2, 62, 60, "z z") in rows
+
+
+def test_second_hashes_tell_windows_apart(spark):
+    """A document whose windows have the nodes of another one, as by a collision, keeps its words."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["a b c d e f", "a b c d e g a b c d"])
+    found_ = substrings._Suffixes(texts, 4)
+    checks, nodes = found_.checks(), found_.named()[3]
+    place, owner = found_.named()[:2]
+    own = checks[found_.before[owner] + place]
+    # Equal windows agree in both hashes, others in neither.
+    equal = nodes[:, None] == nodes[None, :]
+    assert (equal == (own[:, None] == own[None, :])).all() and equal.sum() > len(nodes)
+    assert not np.isin(own, nodes).any()
