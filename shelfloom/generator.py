@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 from typing import Protocol
 
 import pandas as pd
@@ -49,6 +50,11 @@ class CallGenerator:
     prompt is tried ``attempts`` times, with a pause that doubles each time, and then yields a null
     reply with the error as status, so one bad prompt never fails the job. ``in_flight`` bounds the
     calls of a task at the same time, ``calls`` the tasks.
+
+    With a ``quota`` the prompts are dealt over ``calls`` tasks, and each paces its calls, repeated
+    ones too, to its equal share: however many of them run at once, no span of ``window`` seconds holds
+    more calls than the quota. A share has to be two calls at least, so there can be half as many
+    tasks as calls; a task that runs again after a lost executor starts anew.
     """
 
     connect: Callable[[], Callable[..., str]]
@@ -57,13 +63,25 @@ class CallGenerator:
     in_flight: int = 4
     pause: float = 0.5
     with_images: bool = False
+    quota: int | None = None
+    window: float = 60.0
+
+    def interval(self) -> float:
+        """Seconds between two calls of a task."""
+        if self.quota is None:
+            return 0.0
+        if not self.calls or self.quota < 2 * self.calls:
+            raise ValueError("a quota takes a number of tasks (calls), of which each has a share of two calls")
+        # A span may begin just before one call and end just after another: one less fits in between.
+        return self.window / (self.quota // self.calls - 1)
 
     def generate(self, prompts: DataFrame) -> DataFrame:
+        interval = self.interval()
         connect, attempts, pause, in_flight = self.connect, self.attempts, self.pause, self.in_flight
         columns = ["prompt", "uri"] if self.with_images else ["prompt"]
 
         def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = connect()
+            ask = _paced(connect(), interval)
             with ThreadPoolExecutor(in_flight) as pool:
                 for rows in batches:
                     asked = rows[columns].itertuples(index=False, name=None)
@@ -81,6 +99,22 @@ class CallGenerator:
         return spread.mapInPandas(answer, schema)
 
 
+def _paced(ask: Callable[..., str], interval: float) -> Callable[..., str]:
+    """The same client, whose calls begin at least ``interval`` seconds apart."""
+    if not interval:
+        return ask
+    lock, free = Lock(), [0.0]
+
+    def wait(*asked) -> str:
+        with lock:
+            at = max(time.monotonic(), free[0])
+            free[0] = at + interval
+        time.sleep(max(0.0, at - time.monotonic()))
+        return ask(*asked)
+
+    return wait
+
+
 def _ask(
     ask: Callable[..., str], asked: tuple, attempts: int, pause: float
 ) -> tuple[str | None, str]:

@@ -12,6 +12,7 @@ from shelfloom import schemas as S
 from shelfloom.functions.envelopes import candidates_payload
 from shelfloom.functions.sql import register_table_functions
 from shelfloom.functions.text import part_of
+from shelfloom.generator import CallGenerator
 from shelfloom.operators import export as X
 from shelfloom.operators import merge as M
 from shelfloom.operators import sketches as K
@@ -250,6 +251,14 @@ def parse_title_lines_sql(t: Tables) -> DataFrame:
     )
 
 
+@query("SELECT id, upper(title) AS reply, '' AS status FROM feed_filtered")
+def paced_replies(t: Tables) -> DataFrame:
+    """A client called by a few tasks that share a quota."""
+    prompts = t.filtered().select("id", F.col("title").alias("prompt"))
+    client = CallGenerator(lambda: str.upper, calls=4, quota=600_000)
+    return client.generate(prompts).select("id", "reply", "status")
+
+
 _FEW = 3
 
 

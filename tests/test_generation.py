@@ -178,6 +178,31 @@ def test_client_calls_retry_and_report(spark):
     assert (found["bad"]["reply"], found["bad"]["status"]) == (None, "no answer to bad")
 
 
+def test_calls_keep_within_a_quota_over_all_tasks(spark):
+    def connect():
+        import time
+
+        def ask(prompt):
+            at = time.time()
+            if prompt.endswith("7"):
+                raise RuntimeError(f"{at}")
+            return f"{at}"
+
+        return ask
+
+    rows = spark.range(40).select(F.concat(F.lit("p"), "id").alias("prompt"))
+    paced = CallGenerator(connect, attempts=1, calls=4, in_flight=3, quota=24, window=2.0)
+    found = paced.generate(rows).collect()
+    times = sorted(float(r["reply"] or r["status"]) for r in found)
+    assert len(times) == 40
+    # Clocks of a few processes and a sleep that ends late: a hundredth of a second.
+    assert max(sum(t <= x < t + 1.99 for x in times) for t in times) <= 24
+    with pytest.raises(ValueError):
+        CallGenerator(connect, calls=4, quota=7).generate(rows)
+    with pytest.raises(ValueError):
+        CallGenerator(connect, quota=7).generate(rows)
+
+
 def test_examples_must_fit_a_prompt(spark):
     with pytest.raises(ValueError):
         example_blocks(examples(spark), max_bytes=5)
