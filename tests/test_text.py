@@ -1,10 +1,13 @@
 """Row-level cases of the text functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfloom.functions import parsing as R
 from shelfloom.functions import text as X
+from shelfloom.functions.pages import selected_text
 
 
 def one(spark, value, build):
@@ -213,3 +216,64 @@ def test_description_score(spark):
     assert tuple(found) == ("Nice.\nTwo lines", 3.5, "fine", None)
     found = one(spark, "description: a\nscore: good\nreasoning: b", R.parse_description_reply)
     assert found["score"] is None and found["error"] is None
+
+
+def paragraphs_by_hand(page):
+    """Texts of ``article p`` from a tree that is built tag by tag; an open paragraph holds what follows."""
+    import html as markup
+
+    void = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+    root = {"tag": "", "parent": None, "parts": []}
+    at, found = root, []
+    tokens = re.finditer(
+        r"(?is)<!--.*?-->|<!.*?>|<(script|style)\b.*?</\1\s*>|<(/?)([a-z][a-z0-9]*)\b([^>]*)>|([^<]+|<)", page or ""
+    )
+    for token in tokens:
+        if token.group(5) is not None:
+            at["parts"].append(markup.unescape(token.group(5)))
+        elif token.group(3):
+            tag = token.group(3).lower()
+            if not token.group(2):
+                node = {"tag": tag, "parent": at, "parts": []}
+                at["parts"].append(node)
+                if tag not in void and not token.group(4).endswith("/"):
+                    at = node
+                up = node["parent"]
+                while up and up["tag"] != "article":
+                    up = up["parent"]
+                if tag == "p" and up:
+                    found.append(node)
+            else:
+                up = at
+                while up and up["tag"] != tag:
+                    up = up["parent"]
+                at = up["parent"] if up else at
+
+    def text(node):
+        return "".join(p if isinstance(p, str) else text(p) for p in node["parts"])
+
+    return re.sub(r"\s+", " ", " ".join(text(n) for n in found).replace("\r", "")).strip()
+
+
+def test_paragraphs_of_all_pages_as_by_hand(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = pages.select("html", selected_text(F.col("html"), "article p").alias("text")).collect()
+    assert len(rows) >= 50
+    unclosed = 0
+    for row in rows:
+        assert row["text"] == paragraphs_by_hand(row["html"])
+        unclosed += len(re.findall(r"<p\b", row["html"])) != row["html"].count("</p>")
+    assert unclosed > 10  # the pages in question
+
+
+def test_nested_and_broken_paragraphs(spark):
+    cases = {
+        "<article><p>a<p>b</p>c</article><p>out</p>": "abc b",
+        "<article><p>a</article>tail": "a",
+        "<article><p>x &amp; <b>y</b><br>z<script>p</script></p></article>": "x & yz",
+        "<p>none</p>": "",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "html string")
+    found = dict(map(tuple, frame.select("html", selected_text(F.col("html"), "article p")).collect()))
+    for page, wanted in cases.items():
+        assert found[page] == wanted == paragraphs_by_hand(page)
