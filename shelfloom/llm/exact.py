@@ -1,8 +1,9 @@
 """Exact dedup by a tree merge of digest runs.
 
-Every document becomes a digest; documents are dealt into runs; runs are merged in rounds, a fixed
-number of neighbours at a time, and each merge keeps one identifier and a count per digest. Only
-digests travel. A group of copies shrinks to one row per run in the first round, so even a group
+Every document becomes a digest; documents are dealt into runs by a number; runs are merged in rounds, a
+fixed number of neighbours at a time: a round divides the run numbers and groups by run and digest, so a
+merge is a hash aggregate that keeps one identifier and a count per digest, not a walk along sorted
+runs, which no native operator offers. Only digests travel. A group of copies shrinks to one row per run in the first round, so even a group
 that holds a third of all rows is spread over all runs before its rows meet.
 """
 

@@ -135,7 +135,12 @@ def mix(
     max_repeats: int = 3,
     seed: int = 0,
 ) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as ``mix_report`` takes it."""
+    """The mix itself: the columns of ``docs``, each row as often as ``mix_report`` takes it.
+
+    Null and empty texts have size 0; their rows are repeated and drawn like others of their source, at
+    rate 0 where the whole source is empty. Null sources are one source, null ids draw as empty text,
+    repeated rows draw alike, columns of any name come back as they came, and an empty table gives none.
+    """
     sizes = size_rows(docs, id_col, source_col, text_col)
     targets = source_targets(sizes, weights, max_repeats).withColumnRenamed("_source", "_its")
     rows = docs.select(

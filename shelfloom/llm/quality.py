@@ -248,6 +248,8 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that ``score_quality`` keeps, with their own columns.
 
+    Null and empty texts, ties, repeated rows, labels and an empty table count as there; columns of
+    any name come back as they came.
     Texts do not take part in a shuffle unless the table of paths is too large to broadcast.
     """
     cols = {"id": id_col, "text": text_col, "host": host_col, "path": path_cols, "label": label_col}

@@ -75,7 +75,8 @@ def assign_shards(
     bucket). Each round counts the bytes of all prefixes of a few more bits at once, over the rows
     of buckets that are still too large; the first one looks as deep as the total size asks for. A
     single text above the limit gets a shard of its own. Null texts have 0 bytes, null keys
-    count as empty, repeated rows part by row number. An empty table gives no rows.
+    count as empty, repeated rows part by row number. An empty table gives no rows; other columns are
+    ignored.
     """
     rows = hash_rows(docs, key_col, text_col)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -113,12 +114,18 @@ def directory(shards: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", **options) -> None:
-    """Write ``docs`` as one Parquet folder per shard; keys must be unique.
+    """Write ``docs`` as one Parquet folder per shard, all columns as they came.
 
-    A shard fits its byte limit, so it is a bounded piece of work for the task that writes it.
+    A shard fits its byte limit, so it is a bounded piece of work for the task that writes it. Keys
+    have to be unique, a null one too; repeated ones are an error. A column named ``shard_prefix`` gives
+    way to that of the shard, whatever other columns are called.
     """
     shards = assign_shards(docs, key_col=key_col, **options).select(
         F.col("key").alias("_key"), F.concat(F.lit("p"), "shard").alias("shard_prefix")
     )
-    placed = docs.join(shards, F.col(f"`{key_col}`").eqNullSafe(F.col("_key"))).drop("_key")
+    if not shards.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"rows that repeat a {key_col} cannot be told apart in shards")
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "shard_prefix"]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col(f"`{key_col}`").alias("_own"))
+    placed = rows.join(shards, F.col("_own").eqNullSafe(F.col("_key"))).select("_row.*", "shard_prefix")
     placed.repartition("shard_prefix").write.partitionBy("shard_prefix").parquet(path)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from shelfloom.llm import mixing, pieces, quality
 from tests.llm.common import ascii_lower, documents, found
@@ -80,3 +81,20 @@ def test_stages_take_an_empty_table(spark, folder):
     docs = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_stages_take_nulls_long_and_repeated_rows_and_extra_columns(spark, folder):
+    draw = random.Random(9)
+    texts = [(i, " ".join(draw.choice(GOOD) for _ in range(50))) for i in range(40)]
+    texts += texts[:5] + [(None, None), (50, None), (51, ""), (None, texts[7][1]), (52, " ".join(draw.choice(GOOD) for _ in range(40_000)))]
+    docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") % 4 > 0, F.col("source")))
+    docs = docs.withColumns({n: F.lit("x") for n in ("_row", "_id", "kept", "node", "size", "target", "pieces", "component_id")})
+    columns = docs.schema
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.schema == columns
+        docs = spark.createDataFrame(docs.collect(), columns)
+        ids = Counter(r[0] for r in found(docs, "doc_id"))
+        assert ids[52] >= 1 and docs.where("_row = 'x' AND pieces = 'x'").count() == docs.count()
+    result = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(result) == docs.count() and all(r.lossless for r in result)

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfloom.llm import sharding
 from tests.llm.common import documents, found, with_extra
@@ -56,6 +57,27 @@ def test_written_shards_hold_every_row(spark, tmp_path):
     assert len(sizes) > 8 and max(r[1] for r in sizes) * 30 <= 1000
 
 
+def test_shards_ignore_other_columns_and_take_long_texts(spark):
+    texts = [(i, "é" * (i % 40)) for i in range(200)] + [(900, "z" * 3_000_000), (901, "")]
+    names = ["key", "bits", "shard", "depth", "n_bytes", "cell", "_cell", "s"]
+    docs = documents(spark, texts).withColumns({n: F.lit("x") for n in names})
+    rows = found(sharding.assign_shards(docs, 600), *COLUMNS)
+    check(rows, 600)
+    assert rows == found(sharding.assign_shards(documents(spark, texts), 600), *COLUMNS)
+
+
+def test_writing_repeated_keys_is_an_error_and_clashing_columns_stay(spark, tmp_path):
+    docs = documents(spark, [(1, "x"), (1, "y"), (2, "z")])
+    with pytest.raises(ValueError, match="repeat"):
+        sharding.write_shards(docs, str(tmp_path / "r"))
+    names = ["_key", "_own", "_row", "shard", "shard_prefix"]
+    docs = documents(spark, [(i, "x" * 30) for i in range(90)] + [(None, "n")]).withColumns({n: F.lit("x") for n in names})
+    sharding.write_shards(docs, str(tmp_path / "c"), max_bytes=600)
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert back.count() == 91 and back.where("_key = 'x' AND _own = 'x' AND _row = 'x' AND shard = 'x'").count() == 91
+    assert back.where("shard_prefix = 'x'").count() == 0
+
+
 def test_directory_lists_each_shard_once(spark):
     shards = sharding.assign_shards(documents(spark, [(i, "x" * 40) for i in range(100)]), 500)
     assert sharding.directory(shards).count() == shards.select("shard").distinct().count()
