@@ -134,7 +134,8 @@ def stream_replies(t: Tables) -> DataFrame:
     return ledger.read().select("id", "title", "tries")
 
 
-_LIMITS = {"max_lines": 7, "max_bytes": 40_000}
+# A single request with its examples may take several hundred kilobytes.
+_LIMITS = {"max_lines": 7, "max_bytes": 2 << 20}
 
 
 def _requests(t: Tables) -> DataFrame:
