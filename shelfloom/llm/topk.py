@@ -2,9 +2,12 @@
 
 Vectors become rows of whole numbers, so scores are whole and equal everywhere. Blocks of queries
 meet blocks of candidates; what leaves a pair of blocks is a few counts per query, never scores.
-Each round scores everything again and counts the scores of the one bin of the round before that
-holds the kth value, split into finer bins and up to its exact end, until a bin is a single score.
-The last round takes what lies above that score, and of those that equal it the smallest ids.
+The first range of a query is bounded by lengths of vectors, without a score. Each round scores
+everything again and counts the scores of the one bin of the round before that holds the kth value,
+split into finer bins and up to its exact end, until a bin is a single score; unit vectors take two
+rounds. A pair of blocks counts only down to its own kth score, below which the kth of all cannot
+lie, so what it gives does not grow with the number of bins or candidates. The last round takes what
+lies above the kth score, and of those that equal it the smallest ids.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 from shelfloom.session import materialise
 
 SCALE = 1024
-BINS = 256
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+BINS = 4096
+# Candidates travel once to each block of queries in every round, so those are the larger ones.
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 1024
 # Sums of products of two limbs over so many dimensions are whole in a double.
 LIMB, LIMB_DIMS = 2.0**20, 4096
 
@@ -135,23 +139,10 @@ def _scored(batches: Iterator[pa.RecordBatch]):
             yield batch, i, q_ids, c_ids, times, _exact_scores(q, c, other), other
 
 
-_RANGE = pa.schema([("query_id", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
 _COUNTS = pa.schema([("query_id", pa.int64()), ("bin", pa.int64()), ("n", pa.int64())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("times", pa.int64())])
 
 
-def _span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lowest and highest score and the number of scores of each query of a pair of blocks."""
-    for _, _, q_ids, _, times, scores, other in _scored(batches):
-        some = np.flatnonzero(other.any(axis=1))
-        if len(some):
-            ends = np.iinfo(np.int64)
-            low = np.where(other, scores, ends.max).min(axis=1)[some]
-            high = np.where(other, scores, ends.min).max(axis=1)[some]
-            n = (other * times).sum(axis=1)[some]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[some], low, high, n)], schema=_RANGE)
-
-
 def _limits(batch: pa.RecordBatch, i: int, q_ids: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
     """The state of each query of a block, in the order of its ids; -1 width where it has none."""
     state = {r["query_id"]: r for r in batch.column("state")[i].as_py()}
@@ -159,24 +150,37 @@ def _limits(batch: pa.RecordBatch, i: int, q_ids: np.ndarray, names: tuple[str,
     return [np.array([state.get(q, blank)[n] for q in q_ids.tolist()], dtype=np.int64) for n in names]
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts per bin of each query's present range.
+def _top(scores: np.ndarray, inside: np.ndarray, k: int) -> np.ndarray:
+    """Those of ``inside`` that are no lower than the kth of them in their row."""
+    if scores.shape[1] <= k:
+        return inside
+    masked = np.where(inside, scores, np.iinfo(np.int64).min)
+    kth = np.partition(masked, -k, axis=1)[:, -k]
+    return inside & (masked >= kth[:, None])
+
+
+def _histogram(k: int):
+    """Counts per bin of each query's present range, down to the kth score of a pair of blocks.
 
     The bins may reach beyond the range, but only scores from ``low`` to ``high`` are counted: those
-    above it have been taken already.
+    above it have been taken already. The kth score of all is no lower than that of any pair of
+    blocks, so whatever lies at or above it is counted.
     """
-    for batch, i, q_ids, _, times, scores, other in _scored(batches):
-        low, high, width = _limits(batch, i, q_ids, ("low", "high", "width"))
-        inside = other & (width[:, None] > 0) & (scores >= low[:, None]) & (scores <= high[:, None])
-        row, column = np.nonzero(inside)
-        # The distance of two longs may need all 64 bits.
-        bins = (scores[row, column] - low[row]).view(np.uint64) // width[row].astype(np.uint64)
-        bins = bins.astype(np.int64)
-        counts = np.bincount(row * BINS + bins, weights=times[column], minlength=len(q_ids) * BINS)
-        filled = np.flatnonzero(counts)
-        if len(filled):
-            columns = (q_ids[filled // BINS], filled % BINS, counts[filled].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, q_ids, _, times, scores, other in _scored(batches):
+            low, high, width = _limits(batch, i, q_ids, ("low", "high", "width"))
+            inside = other & (width[:, None] > 0) & (scores >= low[:, None]) & (scores <= high[:, None])
+            row, column = np.nonzero(_top(scores, inside, k))
+            # The distance of two longs may need all 64 bits.
+            bins = (scores[row, column] - low[row]).view(np.uint64) // width[row].astype(np.uint64)
+            filled, place = np.unique(row * BINS + bins.astype(np.int64), return_inverse=True)
+            if len(filled):
+                counts = np.bincount(place, weights=times[column]).astype(np.int64)
+                columns = (q_ids[filled // BINS], filled % BINS, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_COUNTS)
+
+    return run
 
 
 def _select(k: int):
@@ -197,7 +201,32 @@ def _select(k: int):
     return run
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame | None) -> DataFrame:
+def first_ranges(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, low, high, width, left``: ends that no score of a query id can pass.
+
+    A score is at most the product of the lengths of its vectors. ``left`` is k, or the number of
+    candidates if that is less; a query id without candidates has no row. ``queries`` has a row per
+    different ``id, dim, values`` with its number of rows as ``times``.
+    """
+    length = F.sqrt(F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x))
+    sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("longest"))
+    asked = queries.groupBy("id", "dim").agg(
+        F.count(F.lit(1)).alias("asked"), F.sum("times").alias("own"), F.max(length).alias("length")
+    )
+    # Rounding of the lengths is far below the millionth that is added.
+    most = F.ceil(F.col("length") * F.col("longest") * (1 + 1e-6)) + 1
+    product = F.col("length") * F.col("longest")
+    most = F.when(product < 2.0**62, most).otherwise(F.lit(2**63 - 1))
+    found = asked.join(sizes, "dim").groupBy(F.col("id").alias("query_id")).agg(
+        F.max(most).alias("high"), F.sum(F.col("asked") * (F.col("rows") - F.col("own"))).alias("n")
+    )
+    found = found.where("n > 0").withColumn("low", -F.col("high") - 1)
+    # Ranges of longs can be longer than a long, so they are computed as decimals.
+    span = F.expr(f"(cast(high AS decimal(20,0)) - cast(low AS decimal(20,0))) div {BINS} + 1")
+    return found.select("query_id", "low", "high", span.cast("long").alias("width"), F.least("n", F.lit(k)).alias("left"))
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame) -> DataFrame:
     """Every query block beside every candidate block of its dimension, with the queries' state.
 
     Candidates go once to each query block of their dimension, dealt over salts, and query blocks
@@ -205,8 +234,7 @@ def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame | None) ->
     """
     salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = queries.select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    if state is not None:
-        left = left.join(state, ["dim", "q_block"])
+    left = left.join(state, ["dim", "q_block"])
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     owners = queries.select("dim", "q_block").groupBy("dim").agg(F.max("q_block").alias("last"))
     right = candidates.join(owners, "dim").select(
@@ -240,8 +268,9 @@ def top_k(
     """
     vectors = materialise(whole_vectors(rows, id_col, vector_col), "whole-vectors")
     asked = F.col("id") % 100 == 0 if is_query is None else is_query(F.col("id"))
-    queries = vectors.where(asked).distinct()
-    queries = materialise(blocks(queries, query_block, "q_block"), "query-blocks")
+    different = vectors.where(asked).groupBy("id", "dim", "values").agg(F.count(F.lit(1)).alias("times"))
+    different = materialise(different, "queries")
+    queries = materialise(blocks(different.drop("times"), query_block, "q_block"), "query-blocks")
     candidates = materialise(blocks(vectors, candidate_block, "c_block"), "candidate-blocks")
     # The vectors of one query id share its state, as their scores make one order.
     owner = queries.select("dim", "q_block", F.explode(F.array_distinct("ids")).alias("query_id"))
@@ -250,18 +279,12 @@ def top_k(
         rows = F.collect_list(F.struct("query_id", "low", "high", "width"))
         return state.join(owner, "query_id").groupBy("dim", "q_block").agg(rows.alias("state"))
 
-    spans = _meet(queries, candidates, None).mapInArrow(_span, "query_id long, low long, high long, n long")
-    state = spans.groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     # ``high`` is the last score of the present range; ``left``: how many of the range are still to
     # be taken, from the top.
-    # Ranges of longs can be longer than a long, so their ends are computed as decimals.
     long = lambda c: F.col(c).cast("decimal(20,0)")
-    state = state.withColumn("length", long("high") - long("low"))
-    width = F.expr(f"length div {BINS} + 1")
-    state = state.select("query_id", "low", "high", width.alias("width"), F.least("n", F.lit(k)).alias("left"))
-    state = materialise(state, "kth-range")
+    state = materialise(first_ranges(vectors, different, k), "kth-range")
     while not (open_ := state.where("width > 0")).isEmpty():
-        counts = _meet(queries, candidates, gathered(open_)).mapInArrow(_histogram, "query_id long, bin long, n long")
+        counts = _meet(queries, candidates, gathered(open_)).mapInArrow(_histogram(k), "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # At most as many rows per query as there are bins.
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
