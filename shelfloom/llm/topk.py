@@ -230,17 +230,18 @@ def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame) -> DataFr
     """Every query block beside every candidate block of its dimension, with the queries' state.
 
     Candidates go once to each query block of their dimension, dealt over salts, and query blocks
-    to every salt, so the pairs of even a single dimension spread over all tasks.
+    to every salt that has candidates, so the pairs of even a single dimension spread over all tasks.
     """
-    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = candidates.groupBy("dim").agg(F.least(F.lit(most), F.max("c_block") + 1).alias("salts"))
     left = queries.select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     left = left.join(state, ["dim", "q_block"])
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    owners = queries.select("dim", "q_block").groupBy("dim").agg(F.max("q_block").alias("last"))
+    left = left.join(salts, "dim").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    owners = queries.groupBy("dim").agg(F.max("q_block").alias("last")).join(salts, "dim")
     right = candidates.join(owners, "dim").select(
         "dim",
         F.explode(F.sequence(F.lit(0), F.col("last"))).alias("q_block"),
-        F.pmod("c_block", F.lit(salts)).alias("salt"),
+        F.pmod("c_block", "salts").alias("salt"),
         F.col("ids").alias("c_ids"),
         F.col("matrix").alias("c_matrix"),
         F.col("times").alias("c_times"),
