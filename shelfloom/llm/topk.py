@@ -210,6 +210,8 @@ def first_ranges(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     length = F.sqrt(F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x))
     sizes = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("longest"))
+    # Written, so that its true size decides how it is joined: by dimension, ids would meet in few tasks.
+    sizes = materialise(sizes, "dimension-sizes")
     asked = queries.groupBy("id", "dim").agg(
         F.count(F.lit(1)).alias("asked"), F.sum("times").alias("own"), F.max(length).alias("length")
     )
@@ -226,19 +228,27 @@ def first_ranges(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "low", "high", span.cast("long").alias("width"), F.least("n", F.lit(k)).alias("left"))
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame) -> DataFrame:
+def _block_counts(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``dim, last, salts``, a row per dimension: the last query block, and over how many salts candidates are dealt.
+
+    Written, so that its true size decides how it is joined: by dimension, blocks would meet in few tasks.
+    """
+    most = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = candidates.groupBy("dim").agg(F.least(F.lit(most), F.max("c_block") + 1).alias("salts"))
+    return materialise(queries.groupBy("dim").agg(F.max("q_block").alias("last")).join(salts, "dim"), "block-counts")
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, state: DataFrame, counts: DataFrame) -> DataFrame:
     """Every query block beside every candidate block of its dimension, with the queries' state.
 
     Candidates go once to each query block of their dimension, dealt over salts, and query blocks
     to every salt that has candidates, so the pairs of even a single dimension spread over all tasks.
     """
-    most = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = candidates.groupBy("dim").agg(F.least(F.lit(most), F.max("c_block") + 1).alias("salts"))
     left = queries.select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     left = left.join(state, ["dim", "q_block"])
-    left = left.join(salts, "dim").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    owners = queries.groupBy("dim").agg(F.max("q_block").alias("last")).join(salts, "dim")
-    right = candidates.join(owners, "dim").select(
+    left = left.join(counts.select("dim", "salts"), "dim")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    right = candidates.join(counts, "dim").select(
         "dim",
         F.explode(F.sequence(F.lit(0), F.col("last"))).alias("q_block"),
         F.pmod("c_block", "salts").alias("salt"),
@@ -273,6 +283,7 @@ def top_k(
     different = materialise(different, "queries")
     queries = materialise(blocks(different.drop("times"), query_block, "q_block"), "query-blocks")
     candidates = materialise(blocks(vectors, candidate_block, "c_block"), "candidate-blocks")
+    met = _block_counts(queries, candidates)
     # The vectors of one query id share its state, as their scores make one order.
     owner = queries.select("dim", "q_block", F.explode(F.array_distinct("ids")).alias("query_id"))
 
@@ -285,7 +296,7 @@ def top_k(
     long = lambda c: F.col(c).cast("decimal(20,0)")
     state = materialise(first_ranges(vectors, different, k), "kth-range")
     while not (open_ := state.where("width > 0")).isEmpty():
-        counts = _meet(queries, candidates, gathered(open_)).mapInArrow(_histogram(k), "query_id long, bin long, n long")
+        counts = _meet(queries, candidates, gathered(open_), met).mapInArrow(_histogram(k), "query_id long, bin long, n long")
         counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
         # At most as many rows per query as there are bins.
         down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
@@ -302,7 +313,7 @@ def top_k(
             (F.col("left") - F.col("above")).alias("left"),
         )
         state = materialise(refined.unionByName(state.where("width = 0")), "kth-range")
-    found = _meet(queries, candidates, gathered(state)).mapInArrow(
+    found = _meet(queries, candidates, gathered(state), met).mapInArrow(
         _select(k), "query_id long, vec_id long, score long, times long"
     )
     # Per query less than k rows lie above its kth score, and each block adds at most k equal ones.
