@@ -62,3 +62,12 @@ def test_empty_tables_and_texts(spark):
 def test_repeated_rows_and_one_source(spark):
     docs = documents(spark, [(1, "a b c")] * 3, {1: "only"})
     assert found(mixing.mix_report(docs), "size", "source_size", "target", "taken") == [(3, 9, 9.0, 3)] * 3
+
+
+def test_long_texts_keep_their_sizes(spark):
+    separators = [" ", "\t", "\n\n", "\x0b", "\x0c", "\r", "\u00a0", "\u3000"]
+    long = "".join(f"w{i}" + separators[i % len(separators)] for i in range(200_000))
+    docs = documents(spark, [(1, long), (2, "x" * 500_000), (3, " " * 100_000)], {1: "a", 2: "b", 3: None})
+    report = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
+    assert {i: r.size for i, r in report.items()} == {1: len(words(long)), 2: 1, 3: 0}
+    assert all(r.taken % max(1, r.size) == 0 and r.taken <= 3 * r.size for r in report.values())
