@@ -40,6 +40,9 @@ class Passes:
     Chunks are numbered within ``buckets``, which bounds a task's share and is fixed for a run, so
     that which items share a prompt does not depend on the size of the feed; large feeds take
     thousands. By default chunks run through all rows in order of id.
+
+    With one item per prompt, ``at_once`` passes go through one job, so that a large feed takes few
+    jobs however small its passes are; what a lost job asks again is bounded by both settings.
     """
 
     target: S.Target = S.TITLES
@@ -49,6 +52,7 @@ class Passes:
     part: int | None = None
     layout: str = "lines"
     batch_rows: int | None = None
+    at_once: int = 1
     buckets: int | None = None
     max_tries: int = C.MAX_TRIES
     bucket_name: str = ""
@@ -56,6 +60,11 @@ class Passes:
     debug: bool = False
     per_target_tries: bool = False
 
+    def __post_init__(self):
+        if self.at_once > 1 and self.layout != "single":
+            # A prompt of several items would mix the items of several passes.
+            raise ValueError("several passes at once take one item per prompt")
+
 
 def pending(settings: Passes) -> Column:
     """Whether a row still needs the text and has tries left."""
@@ -197,7 +206,8 @@ def generate(
         if settings.batch_rows is None or ids is not None:
             shares = [active]
         else:
-            shares = _shares(active, settings.batch_rows, number, waiting, repeated)
+            size = settings.batch_rows * settings.at_once
+            shares = _shares(active, size, number, waiting, repeated)
         left, waiting = [], 0
         for share in shares:
             asked = _once(share) if repeated else share
@@ -208,15 +218,22 @@ def generate(
             settled.append(_settled(state, columns))
             left.append(_active(state))
             waiting += still
-        active = reduce(DataFrame.unionByName, left)
+        active = _together(left)
         number += 1
-    return reduce(DataFrame.unionByName, settled)
+    return _together(settled)
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    """The union of any number of tables, nested no deeper than the logarithm of their number."""
+    while len(frames) > 1:
+        frames = [reduce(DataFrame.unionByName, frames[i : i + 2]) for i in range(0, len(frames), 2)]
+    return frames[0]
 
 
 def _shares(active: DataFrame, size: int, seed: int, waiting: int, repeated: bool) -> list[DataFrame]:
-    """The active rows in passes of ``size`` ids, in an order drawn and written once.
+    """The active rows in jobs of ``size`` ids, in an order drawn and written once.
 
-    A pass reads its range of the draw and writes what it asked, so all passes over the rows together
+    A job reads its range of the draw and writes what it asked, so all jobs over the rows together
     read and write each of them once; rows that fail wait for the next draw.
     """
     drawn = draw_order(active, seed, once=repeated)

@@ -165,6 +165,10 @@ def request_file_limits(t: Tables) -> DataFrame:
     return report.select("lines", (within & (F.col("files") >= F.col("lines") / _LIMITS["max_lines"])).alias("within"))
 
 
+# Passes that go through one job: an explicit setting, the same at every size.
+_AT_ONCE = 256
+
+
 @query(
     f"""
     WITH single AS (
@@ -178,7 +182,7 @@ def request_file_limits(t: Tables) -> DataFrame:
 )
 def generate_in_batches(t: Tables) -> DataFrame:
     """Passes over a bounded number of items each, in an order that is drawn and written once a round."""
-    return _run(t, S.TITLES, "single", batch_rows=600).select("id", "title", "tries")
+    return _run(t, S.TITLES, "single", batch_rows=600, at_once=_AT_ONCE).select("id", "title", "tries")
 
 
 @query(

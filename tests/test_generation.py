@@ -75,6 +75,33 @@ def test_passes_of_a_drawn_order_write_each_row_once_a_round(spark, monkeypatch)
     assert sum(written) == 60 + 60 + 2 * failed and max(written[1:]) <= 7
 
 
+def test_several_passes_go_through_one_job(spark, monkeypatch):
+    calls, plain = [], G.materialise_counted
+
+    def counted(df, label, counts, by=None):
+        state, seen = plain(df, label, counts | {"n": F.count(F.lit(1))}, by)
+        calls.append(seen["n"])
+        return state, seen
+
+    monkeypatch.setattr(G, "materialise_counted", counted)
+    rows, results = feed(spark, 60), []
+    for at_once in (1, 4):
+        done = run(spark, rows, batch_rows=7, at_once=at_once, layout="single").collect()
+        results.append(sorted((r["id"], r["title"] or "", r["tries"]) for r in done))
+        if at_once == 1:
+            assert calls[1:10] == [7] * 8 + [4]
+            calls.clear()
+    assert results[0] == results[1] and calls[1:4] == [28, 28, 4]
+    with pytest.raises(ValueError, match="one item per prompt"):
+        G.Passes(batch_rows=7, at_once=4)
+
+
+def test_a_union_of_many_tables_stays_shallow(spark):
+    one = spark.range(1)
+    many = G._together([one] * 200)
+    assert many.count() == 200 and G._together([one]) is one
+
+
 def test_counting_active_rows_takes_no_job(spark, monkeypatch):
     def jobs(name):
         spark.sparkContext.setJobGroup(name, name)
