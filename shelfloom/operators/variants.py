@@ -71,6 +71,6 @@ def variants_long(records: DataFrame) -> DataFrame:
     return pairs.select("id", "key", F.try_variant_get("value", "$", "string").alias("value"))
 
 
-def store_variants(records: DataFrame) -> DataFrame:
+def store_variants(records: DataFrame, columns: tuple[str, ...] = ATTRIBUTES) -> DataFrame:
     """Write the records with variants and read them back: later readers parse no JSON."""
-    return materialise(with_variants(records), "variants")
+    return materialise(with_variants(records, columns), "variants")

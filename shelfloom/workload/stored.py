@@ -26,7 +26,18 @@ from shelfloom.sources.reply_stream import load_new_replies
 from shelfloom.sources.request_files import read_request_files, request_files_report, write_request_files
 from shelfloom.workload.prompting import BUCKET_CHUNKS, FAILS, _answers_sql, _batch_sql, sectioned
 from shelfloom.workload.registry import VIEWS, query
-from shelfloom.workload.results import _APPROVED_SQL, _BATCH, _FULL_SQL, _echo, _finished, _mark, _records, _run
+from shelfloom.workload.results import (
+    _APPROVED_SQL,
+    _BATCH,
+    _FEED_COLUMNS,
+    _FULL_SQL,
+    _batch_input,
+    _echo,
+    _finished,
+    _mark,
+    _records,
+    _run,
+)
 from shelfloom.workload.stub import block_reply
 from shelfloom.workload.views import Tables
 
@@ -205,7 +216,7 @@ def progress_observed(t: Tables) -> DataFrame:
 @query(_APPROVED_SQL)
 def approved_feed_variants(t: Tables) -> DataFrame:
     """The feed of approved rows from attributes stored as variants."""
-    records = V.store_variants(X.approve_where(_records(t), "status = 'Success'"))
+    records = V.store_variants(X.approve_where(_records(t), "status = 'Success'").select(*_FEED_COLUMNS))
     return V.approved_variants(records).drop("modified")
 
 
@@ -217,7 +228,8 @@ def approved_feed_variants(t: Tables) -> DataFrame:
     """
 )
 def approved_variants_long(t: Tables) -> DataFrame:
-    return V.variants_long(V.store_variants(_records(t)))
+    rows = _records(t).select("id", "approval", "gap_attributes")
+    return V.variants_long(V.store_variants(rows, ("gap_attributes",)))
 
 
 @query(_answers_sql("blocks", True))

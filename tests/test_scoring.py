@@ -149,3 +149,32 @@ def test_rows_with_a_finished_result_are_left_out(spark):
     none = ColumnGenerator(lambda: F.lit(None))
     found = optimise(rows, none, none, off, generated=before).collect()
     assert sorted(r["id"] for r in found) == ["2", "3"]
+
+
+def test_rows_are_dealt_once_and_texts_are_written_within_the_item(spark, monkeypatch):
+    from shelfloom.operators import export as X
+    from shelfloom.plans import optimise as O
+    from shelfloom.workload.stub import marked_description_reply, marked_title_reply
+
+    written, plain = [], O.materialise
+    monkeypatch.setattr(O, "materialise", lambda df, label: written.append((label, df)) or plain(df, label))
+    rows = spark.createDataFrame(
+        [("1", "red top", None, "b", "SMALL", "S", ""), ("2", "big hat", "text", "b", "LARGE", "M", "red")],
+        "id string, title string, description string, brand string, category string, size string, color string",
+    )
+    made = [ColumnGenerator(marked_title_reply), ColumnGenerator(marked_description_reply)]
+    records = optimise(rows, *made, tasks=4)
+    assert [label for label, _ in written] == ["titles", "descriptions"]
+    assert not any(c.endswith("_original") for _, df in written for c in df.columns)
+    # The rows are dealt before the first step, and read from its files afterwards.
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for _, df in written]
+    plans.append(records._jdf.queryExecution().optimizedPlan().toString())
+    assert ["Repartition" in p for p in plans] == [True, False, False]
+    found = {r["id"]: r for r in records.collect()}
+    assert found["2"]["title_original"] == "big hat" and found["2"]["description_original"] == "text"
+    # Derived attributes are written before they are filtered.
+    stored = []
+    monkeypatch.setattr(X, "materialise", lambda df, label: stored.append(df.columns) or plain(df, label))
+    X.approved_long(records).collect()
+    X.attribute_keys(records).collect()
+    assert stored == [["id", "approval", "gap_attributes"], ["_at", "original_input", "gap_attributes"]]
