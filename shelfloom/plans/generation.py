@@ -334,12 +334,15 @@ def batch_requests(
     return requests
 
 
-def write_requests(requests: dict[str, DataFrame], folder: str) -> None:
-    """Request files per target, for a batch service to pick up."""
+def write_requests(requests: dict[str, DataFrame], folder: str, compression: str = "gzip") -> None:
+    """Request files per target, for a batch service to pick up.
+
+    Every line repeats the wording and the examples, so files are written compressed; ``none`` serves
+    a service that reads plain lines alone.
+    """
     for name, lines in requests.items():
-        lines.select(F.col("request").alias("value")).write.mode("overwrite").text(
-            f"{folder}/requests/{name}"
-        )
+        written = lines.select(F.col("request").alias("value")).write.mode("overwrite")
+        written.option("compression", compression).text(f"{folder}/requests/{name}")
 
 
 def decoded(replies: DataFrame, target: S.Target, strict: bool = False) -> DataFrame:

@@ -314,6 +314,5 @@ def batch_highlights(t: Tables) -> DataFrame:
     """The third target as a batch of files: requests, replies and merge."""
     folder = f"{shared_folder(t.spark)}/{_name('highlights')}"
     settings = dataclasses.replace(_BATCH, targets=("highlights",))
-    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
-    done = generation.run_batch(completed, t.examples(), _echo("generated highlights: "), folder, settings)
+    done = generation.run_batch(_batch_input(t), t.examples(), _echo("generated highlights: "), folder, settings)
     return done.select("id", "highlights", "title", "tries")

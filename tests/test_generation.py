@@ -475,3 +475,26 @@ def test_plain_csv_is_split_among_tasks(spark, tmp_path):
         assert records.read_csv(spark, str(tmp_path / "feed.csv")).rdd.getNumPartitions() > 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_request_files_are_compressed_and_dealt_over_tasks(spark, tmp_path):
+    import os
+
+    from shelfloom.workload import results
+    from shelfloom.workload.views import Tables
+
+    prepared = results._batch_input(Tables(spark, "/root/testdata/sf0.001"))
+    assert prepared.rdd.getNumPartitions() == results.BATCH_TASKS
+    line = F.concat(F.lit("the same words in every request " * 50), F.col("id").cast("string"))
+    lines = spark.range(2000).repartition(4).select(line.alias("request"))
+    for compression, folder in (("gzip", "packed"), ("none", "plain")):
+        G.write_requests({"titles": lines}, str(tmp_path / folder), compression)
+    G.write_requests({"titles": lines}, str(tmp_path / "default"))
+
+    def size(folder):
+        place = tmp_path / folder / "requests" / "titles"
+        read = spark.read.text(str(place))
+        assert read.count() == 2000 and read.select("value").exceptAll(lines).isEmpty()
+        return sum(os.path.getsize(place / n) for n in os.listdir(place) if n.startswith("part-"))
+
+    assert size("default") == size("packed") < size("plain") / 20
