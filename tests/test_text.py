@@ -277,3 +277,20 @@ def test_nested_and_broken_paragraphs(spark):
     found = dict(map(tuple, frame.select("html", selected_text(F.col("html"), "article p")).collect()))
     for page, wanted in cases.items():
         assert found[page] == wanted == paragraphs_by_hand(page)
+
+
+def test_pages_of_a_batch_become_texts_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from shelfloom.functions.pages import parse_selector, select_texts
+
+    pages = pa.array(["<p>a</p><!--" + "x" * 20_000 + "-->", None, "", "<p>b"] * 250)
+    tracemalloc.start()
+    found = select_texts(pages, parse_selector("p"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == ["a", "", "", "b"] * 250
+    # The batch holds 5 MB.
+    assert pages.nbytes > 5_000_000 and peak < 1_000_000
