@@ -1,8 +1,9 @@
 """Request files within the limits of a batch service, as a data source with a manifest.
 
 A service takes files up to some lines and bytes. Each task closes its file at the limit and opens the
-next; what it wrote is told to the driver, one entry per file, and the manifest is written once all
-tasks are done. Readers follow the manifest, so nothing of a job that failed is ever visible.
+next, in a folder of its own, and lists its files beside them. The manifest names the lists and is
+written once all tasks are done. Readers follow it, so nothing of a job that failed is ever visible,
+and the driver holds one entry per task, however many files there are.
 """
 
 from __future__ import annotations
@@ -13,26 +14,23 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 FORMAT = "request_files"
 MANIFEST = "manifest.jsonl"
-
-
-@dataclass(frozen=True)
-class WrittenFile:
-    """A file of a job: its name below the folder, its lines and its bytes."""
-
-    name: str
-    lines: int
-    bytes: int
+_ENTRY = "name string, lines long, bytes long"
+# Bytes that a task takes from a file at a time, and about so many that a task reads in all.
+_BLOCK, _SHARE = 4 << 20, 128 << 20
 
 
 @dataclass
 class WrittenFiles(WriterCommitMessage):
-    files: list[WrittenFile]
+    """The list of a task's files, by its name below the folder; none if the task had no rows."""
+
+    listed: str | None
 
 
 def _store(path: str):
@@ -46,53 +44,63 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, folder: str, max_lines: int, max_bytes: int, job: str):
         self.folder, self.max_lines, self.max_bytes, self.job = folder, max_lines, max_bytes, job
 
-    def write(self, rows: Iterator[Row]) -> WrittenFiles:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WrittenFiles:
         store, folder = _store(self.folder)
-        store.create_dir(folder, recursive=True)
-        files, out = [], None
+        # Attempts of a task never share a folder.
+        own = posixpath.join(self.job, uuid.uuid4().hex)
+        listed, files, out = None, 0, None
         name, lines, size = "", 0, 0
+
+        def close() -> None:
+            out.close()
+            entry = {"name": name, "lines": lines, "bytes": size}
+            listed.write(json.dumps(entry).encode() + b"\n")
+
         try:
-            for row in rows:
-                line = (row[0] or "").encode() + b"\n"
-                if len(line) > self.max_bytes:
-                    raise ValueError(f"a request of {len(line)} bytes exceeds the limit of {self.max_bytes}")
-                if out is not None and (lines == self.max_lines or size + len(line) > self.max_bytes):
-                    out.close()
-                    files.append(WrittenFile(name, lines, size))
-                    out = None
-                if out is None:
-                    # Attempts of a task never share a name.
-                    name, lines, size = f"{self.job}-{uuid.uuid4().hex}.jsonl", 0, 0
-                    out = store.open_output_stream(posixpath.join(folder, name))
-                out.write(line)
-                lines, size = lines + 1, size + len(line)
-        finally:
+            for batch in batches:
+                for value in batch.column(0):
+                    line = (value.as_py() or "").encode() + b"\n"
+                    if len(line) > self.max_bytes:
+                        raise ValueError(f"a request of {len(line)} bytes exceeds the limit of {self.max_bytes}")
+                    if out is not None and (lines == self.max_lines or size + len(line) > self.max_bytes):
+                        close()
+                        out = None
+                    if out is None:
+                        if listed is None:
+                            store.create_dir(posixpath.join(folder, own), recursive=True)
+                            listed = store.open_output_stream(posixpath.join(folder, own, "files"))
+                        name, lines, size = posixpath.join(own, f"{files:09d}.jsonl"), 0, 0
+                        out = store.open_output_stream(posixpath.join(folder, name))
+                        files += 1
+                    out.write(line)
+                    lines, size = lines + 1, size + len(line)
             if out is not None:
-                out.close()
-        if out is not None:
-            files.append(WrittenFile(name, lines, size))
-        return WrittenFiles(files)
+                close()
+        finally:
+            for stream in (out, listed):
+                if stream is not None:
+                    stream.close()
+        return WrittenFiles(listed and posixpath.join(own, "files"))
 
     def commit(self, messages: list[WrittenFiles | None]) -> None:
         store, folder = _store(self.folder)
         store.create_dir(folder, recursive=True)
-        entries = sorted((f for m in messages if m for f in m.files), key=lambda f: f.name)
-        text = "".join(json.dumps(vars(f)) + "\n" for f in entries)
+        lists = sorted(m.listed for m in messages if m and m.listed)
         part = posixpath.join(folder, f"_{self.job}")
         with store.open_output_stream(part) as out:
-            out.write(text.encode())
+            out.write("".join(json.dumps({"list": name}) + "\n" for name in lists).encode())
         store.move(part, posixpath.join(folder, MANIFEST))
 
     def abort(self, messages: list[WrittenFiles | None]) -> None:
         """Remove what finished tasks wrote; files of broken ones are in no manifest and stay unseen."""
         store, folder = _store(self.folder)
         for message in messages:
-            for file in message.files if message else ():
-                store.delete_file(posixpath.join(folder, file.name))
+            if message and message.listed:
+                store.delete_dir(posixpath.join(folder, posixpath.dirname(message.listed)))
 
 
 class RequestFiles(DataSource):
@@ -129,16 +137,54 @@ def write_request_files(
 
 def request_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """``name, lines, bytes`` of the published files of a folder."""
-    return spark.read.schema("name string, lines long, bytes long").json(f"{folder}/{MANIFEST}")
+    lists = spark.read.schema("list string").json(f"{folder}/{MANIFEST}")
+    paths = [f"{folder}/{r['list']}" for r in lists.collect()]  # one per task that wrote
+    if not paths:
+        return spark.createDataFrame([], _ENTRY)
+    return spark.read.schema(_ENTRY).json(paths)
+
+
+def _lines(blocks: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """The whole lines of each block, the start of one that goes on in the next kept for it."""
+    rest: list[bytes] = []
+    for block in blocks:
+        first, *more = block.split(b"\n")
+        if more:
+            yield [b"".join([*rest, first]), *more[:-1]]
+            rest = [more[-1]]
+        else:
+            rest.append(first)
 
 
 def read_request_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``value``: the lines of the published files, and of no others."""
-    listed = request_manifest(spark, folder).select("name")
-    paths = [f"{folder}/{r['name']}" for r in listed.collect()]  # one per file, as the driver knew them to commit
-    if not paths:
-        return spark.createDataFrame([], "value string")
-    return spark.read.text(paths)
+    """``value``: the lines of the published files, and of no others.
+
+    Files are dealt over tasks by the bytes that the manifest states, and a task opens its own: their
+    paths are neither fetched nor listed by the driver.
+    """
+    listed = request_manifest(spark, folder)
+    total = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, below = _store(folder)
+        held, size = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(posixpath.join(below, name)) as file:
+                    for some in _lines(iter(lambda: file.read(_BLOCK), b"")):
+                        held += some
+                        size += sum(map(len, some))
+                        if size >= _BLOCK:
+                            yield _values(held)
+                            held, size = [], 0
+        if held:
+            yield _values(held)
+
+    return listed.select("name").repartition(total // _SHARE + 1).mapInArrow(lines, "value string")
+
+
+def _values(lines: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
 
 
 def request_files_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,6 @@ from shelfloom.operators import merge as M
 from shelfloom.operators import sketches as K
 from shelfloom.operators import variants as V
 from shelfloom.operators.numbering import chunk, gather_chunks
-from shelfloom.operators.prepare import complete_input
 from shelfloom.plans import generation
 from shelfloom.session import shared_folder
 from shelfloom.sources.ledger import Ledger, store_bucketed
@@ -150,8 +149,7 @@ _LIMITS = {"max_lines": 7, "max_bytes": 2 << 20}
 
 
 def _requests(t: Tables) -> DataFrame:
-    completed = complete_input(t.filtered(), t.web(), image_col="image_link")
-    return generation.batch_requests(completed, t.examples(), _BATCH)["titles"].select("request")
+    return generation.batch_requests(_batch_input(t), t.examples(), _BATCH)["titles"].select("request")
 
 
 @query(f"SELECT id, md5(prompt) AS prompt FROM ({_batch_sql('titles', 'title')})")

@@ -54,3 +54,20 @@ def test_one_text_column_and_positive_limits(spark, tmp_path):
         write_request_files(spark.range(1), str(tmp_path / "x"))
     with pytest.raises(Exception, match="positive"):
         write_request_files(lines(spark, 1), str(tmp_path / "x"), max_lines=0)
+
+
+def test_driver_holds_one_entry_per_task_and_readers_list_no_files(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    write_request_files(lines(spark, 400), folder, max_lines=2)
+    # About 200 files, written by 4 tasks.
+    assert request_manifest(spark, folder).count() >= 200
+    assert len((tmp_path / "many" / "manifest.jsonl").read_text().splitlines()) == 4
+    assert len(read_request_files(spark, folder).inputFiles()) == 4
+    assert read(spark, folder) == [f"{i:010d}" for i in range(400)]
+
+
+def test_lines_longer_than_a_block_and_carriage_returns_stay_whole(spark, tmp_path):
+    texts = ["x" * (5 << 20), "", "a\rb", "y" * (9 << 20), "z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1)
+    write_request_files(rows, str(tmp_path / "long"))
+    assert read(spark, str(tmp_path / "long")) == sorted(texts)
