@@ -131,6 +131,9 @@ def build_prompts(rows: DataFrame, examples: Column, settings: Passes) -> DataFr
 # What active rows carry along besides the columns of the output table.
 CARRIED = ("properties", "image_url")
 
+# The most ids that are sent to every task to pick the texts of a pass; beyond, they meet the texts in a shuffle.
+_SENT_IDS = 1_000_000
+
 
 def run_pass(
     active: DataFrame,
@@ -172,9 +175,10 @@ def generate(
     """The output table after all passes, or after one pass over explicit ids.
 
     Input and output meet once, before the first pass. Rows that are done leave the loop: a pass
-    reads and rewrites only the rows that are still active, which carry their properties along, and
-    the result is the union of what the passes left behind. The loop ends because every asked row
-    either gets its text or comes one try closer to the limit.
+    reads and rewrites only the rows that are still active, and the result is the union of what the
+    passes left behind. Properties are written once, with the active rows; a pass shuffles them into
+    its prompts, while answers meet rows without them, and the next pass picks its own by id. The loop
+    ends because every asked row either gets its text or comes one try closer to the limit.
     """
     columns = output.columns
     if settings.per_target_tries:
@@ -201,24 +205,28 @@ def generate(
     state, waiting = _split(joined.withColumn("_active", active_now), columns)
     settled, active = [_settled(state, columns)], _active(state)
     repeated = repeats(active)
+    rows, texts = active.select(*columns), active.select("id", *CARRIED)
     number = 0
     while waiting:
         if settings.batch_rows is None or ids is not None:
-            shares = [active]
+            shares = [(rows, texts)]
         else:
             size = settings.batch_rows * settings.at_once
-            shares = _shares(active, size, number, waiting, repeated)
+            active = active if number == 0 else rows.join(texts, "id")
+            drawn = _shares(active, size, number, waiting, repeated)
+            shares = [(s.select(*columns), s.select("id", *CARRIED)) for s in drawn]
         left, waiting = [], 0
-        for share in shares:
-            asked = _once(share) if repeated else share
+        for share, own in shares:
+            asked = _once(own) if repeated else own
             merged = run_pass(share, asked, block, generator, settings)
             if ids is not None:
                 return reduce(DataFrame.unionByName, [*settled, merged.select(*columns)])
             state, still = _split(merged.withColumn("_active", pending(settings)), columns)
             settled.append(_settled(state, columns))
-            left.append(_active(state))
+            remaining = _active(state)
+            left.append((remaining, _picked(asked, remaining, still)))
             waiting += still
-        active = _together(left)
+        rows, texts = (_together(list(frames)) for frames in zip(*left))
         number += 1
     return _together(settled)
 
@@ -245,12 +253,18 @@ def _shares(active: DataFrame, size: int, seed: int, waiting: int, repeated: boo
     ]
 
 
+def _picked(texts: DataFrame, remaining: DataFrame, count: int) -> DataFrame:
+    """The texts of the rows that remain. Their ids are counted: up to a limit they go to the texts."""
+    ids = remaining.select("id")
+    return texts.join(F.broadcast(ids) if count <= _SENT_IDS else ids, "id", "left_semi")
+
+
 def _split(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """Write rows out, the active ones apart from the others and alone with their properties.
+    """Write rows out, the active ones apart from the others and alone with any properties.
 
     Also returns how many are active, as counted by the write itself.
     """
-    carried = [F.when(F.col("_active"), F.col(c)).alias(c) for c in CARRIED]
+    carried = [F.when(F.col("_active"), F.col(c)).alias(c) for c in CARRIED if c in rows.columns]
     active = {"active": F.count_if(F.col("_active"))}
     state, seen = materialise_counted(rows.select(*columns, *carried, "_active"), "output", active, by="_active")
     return state, seen["active"]

@@ -22,7 +22,8 @@ from shelfloom.session import materialise
 
 def store_bucketed(df: DataFrame, name: str, buckets: int, key: str = "id", parts: tuple[str, ...] = ()) -> DataFrame:
     """Create a table bucketed and sorted by ``key``, a file per bucket and part; returns the table."""
-    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer = df.repartition(buckets, key).write.format("parquet").option("compression", "zstd")
+    writer = writer.bucketBy(buckets, key).sortBy(key)
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 

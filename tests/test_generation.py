@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfloom import schemas as S
 from shelfloom.generator import CallGenerator, ColumnGenerator
 from shelfloom.operators import merge as M
-from shelfloom.operators.examples import example_blocks, literal_examples
+from shelfloom.operators.examples import example_blocks, examples_by_metric, literal_examples
 from shelfloom.plans import generation as G
 from shelfloom.sources import records
 from shelfloom.workload.stub import stub_generator
@@ -121,6 +121,36 @@ def test_counting_active_rows_takes_no_job(spark, monkeypatch):
     assert new + len(splits) <= jobs("asked") and len(splits) == 4
 
 
+def test_answers_meet_rows_without_their_texts(spark, monkeypatch):
+    plain, seen, results = G._split, [], []
+
+    def watched(rows, columns):
+        seen.append("properties" in rows.columns)
+        return plain(rows, columns)
+
+    monkeypatch.setattr(G, "_split", watched)
+    # Ids are sent to the texts up to a limit, and shuffled beyond it.
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(G, "_SENT_IDS", most)
+        done = run(spark, feed(spark, 20), generator=failing()).collect()
+        results.append(sorted((r["id"], r["title"] or "", r["tries"]) for r in done))
+        assert seen[0] and not any(seen[1:]) and len(seen) > 2
+        seen.clear()
+    assert results[0] == results[1]
+
+
+def test_examples_move_the_texts_of_their_own_rows_alone(spark):
+    items = spark.range(100).select("id", (F.col("id") % 7).alias("clicks"))
+    texts = spark.range(100).select("id", F.concat(F.lit("text "), F.col("id")).alias("title"))
+    raw = items.join(texts, "id", "left").select(F.col("id").cast("string").alias("id"), "clicks", "title")
+    best = examples_by_metric(raw.withColumn("description", F.col("title")), "clicks", ["title"], 3)
+    # The ids are named on both sides of the join.
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("IN (13,20,27)") >= 2
+    assert [r["id"] for r in best.collect()] == ["13", "20", "27"]
+    unnamed = spark.createDataFrame([(None, 9, "a", "b"), ("1", 5, "c", "d")], "id string, n int, title string, description string")
+    assert [r["id"] for r in examples_by_metric(unnamed, "n", ["title"], 2).collect()] == [None, "1"]
+
+
 def test_repeated_items_are_asked_once_in_batches(spark):
     rows = feed(spark, 20, copies=[("7", 40)])
     done = run(spark, rows, M.init_output(rows.select("id")), batch_rows=6).collect()
