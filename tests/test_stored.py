@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,19 @@ def test_sweeping_takes_abandoned_runs_and_no_live_one(spark):
         assert os.path.exists(mine.removeprefix("file:"))
     assert os.path.exists(fresh.removeprefix("file:"))
     assert session.sweep(spark, idle_seconds=-1) and not os.path.exists(fresh.removeprefix("file:"))
+
+
+def test_a_bucket_numbered_in_pieces_is_gathered_by_many_tasks(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("{}").alias("properties"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    # As with rows that are too large for a broadcast.
+    spark.conf.set(limit, "-1")
+    try:
+        gathered = gather_chunks(chunk(rows, 10, 2, spread=True))
+        plan = gathered._jdf.queryExecution().executedPlan().toString()
+        # Chunks meet by bucket and number, not a whole bucket in one task.
+        assert re.search(r"hashpartitioning\(_bucket#\d+L?, chunk_id#", plan), plan
+        assert gathered.selectExpr("sum(size(ids))").first()[0] == 300
+    finally:
+        spark.conf.set(limit, before)
