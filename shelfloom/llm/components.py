@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     written once; rounds end when one changes nothing.
     """
     pairs = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges, before = materialise(pairs.distinct(), "links"), None
+    edges, before = materialise(pairs.distinct(), "links", free=True), None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -48,4 +48,10 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(lowest, F.col("u") == F.col("c"))
         tied = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(tied.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = materialise(tied.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars", free=True)
+
+
+def clusters(links: DataFrame) -> DataFrame:
+    """``node, root`` of every linked node, the root among them."""
+    tied = components(links)
+    return tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())

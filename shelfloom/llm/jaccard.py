@@ -5,11 +5,15 @@ of document pivots, which hold nearly all documents each, since most pairs of te
 distance 1 (figures in the README). N-grams have one global order, those of many documents last, and a
 document lists the first of its set: as many as a partner within the distance may lack, and a few more,
 since a linked pair then meets in that many lists. The documents that list an n-gram, here called a
-pivot, are its region. Small regions list the pairs that can still be linked, and those are verified on
-whole sets. A large region is dealt in blocks, each with the same few central documents. A task
-measures all documents of its block and the centres against each other and returns a spanning forest of
-their links, never the links. Documents that this connects with the first centre are connected with each
-other; only the others, the outsiders of their block, meet all blocks of the region, block by block.
+pivot, are its region. Small regions list the pairs that can still be linked; large ones compare the
+sketches of their documents, block by block, and return a spanning forest of the pairs that no sketch
+rules out. What these candidates connect, over all regions, is a cluster, and every link lies within one.
+
+Only documents in clusters become whole sets, and a set goes to its cluster once, in however many
+regions its document is. A large cluster is dealt in blocks, each with the same few central documents. A
+task measures all documents of its block and the centres against each other and returns a spanning
+forest of their links, never the links. Documents that this connects with the first centre are connected
+with each other; only the others, the outsiders of their block, meet all blocks of the cluster.
 
 Sets are sets of 64-bit hashes; documents of equal 128-bit set digests share one representative.
 """
@@ -17,14 +21,16 @@ Sets are sets of 64-bit hashes; documents of equal 128-bit set digests share one
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm.components import components, unite
+from shelfloom.llm.components import clusters, components, unite
 from shelfloom.llm.words import (
     LOWER,
     mix,
@@ -38,16 +44,18 @@ from shelfloom.session import materialise
 
 # Regions in which a linked pair meets, if its documents are large enough.
 MEETINGS = 3
-# Documents in a region whose pairs are listed at once; centres of a larger one, and documents and
-# n-grams in a block of it.
-REGION, CENTRES, BLOCK, BLOCK_GRAMS = 256, 4, 512, 1 << 20
+# Documents in a region whose pairs are listed at once; sketches in a block of a larger one.
+REGION, SKETCHES = 16, 1024
+# Centres of a large cluster, documents they are chosen from, and documents and n-grams in a block of it.
+CENTRES, TRIED, BLOCK, BLOCK_GRAMS = 4, 64, 512, 1 << 20
 # Documents of a pivot from which its rows are dealt over several tasks.
-SALTED = 64 * REGION
+SALTED = 1 << 14
 _COLUMNS = 4096
 # N-grams in at least this share of documents come last in the order; the list has a fixed bound.
 COMMON_SHARE, COMMON_MOST = 0.0005, 1 << 18
 _CHUNK = 1 << 22
-_CLASSES = 128
+# Classes of the smallest and largest sketch, and n-grams a class of those between, all as bits.
+_FEWEST, _MOST, _FILL = 7, 14, 3
 
 # Linked: 100 * common >= percent * union. All bounds below follow from it in whole numbers.
 PERCENT = 85
@@ -112,6 +120,7 @@ _PROFILE = pa.schema(
         ("n", pa.int32()),
         ("digest", pa.binary()),
         ("key", pa.int64()),
+        ("sketch", pa.binary()),
         ("gram", pa.int64()),
         ("docs", pa.int64()),
     ]
@@ -119,7 +128,7 @@ _PROFILE = pa.schema(
 
 
 def _profile(width: int):
-    """Size and digest of every set, and the n-grams that are common in a chunk of documents.
+    """Size, digest and sketch of every set, and the n-grams that are common in a chunk of documents.
 
     An n-gram with a share of all documents has at least that share in one of the chunks.
     """
@@ -143,6 +152,7 @@ def _profile(width: int):
                     n=[len(g) for g in found],
                     digest=digests,
                     key=[_short(d) for d in digests],
+                    sketch=[_sketch(g).tobytes() if len(g) else None for g in found],
                 )
                 chunk += [g for g in found if len(g)]
                 held += sum(map(len, found))
@@ -212,7 +222,6 @@ _MEETING = pa.schema(
         ("total", pa.int32()),
         ("pivot", pa.int64()),
         ("key", pa.int64()),
-        ("n", pa.int32()),
         ("rank", pa.int32()),
     ]
 )
@@ -230,7 +239,7 @@ def _list_pairs(percent: int, region: int, pivot, key, n, rank) -> Iterator[pa.R
     per_row = np.repeat(sizes, sizes)
     large = per_row > region
     if large.any():
-        yield _rows(_MEETING, pivot=pivot[large], key=key[large], n=n[large], rank=rank[large])
+        yield _rows(_MEETING, pivot=pivot[large], key=key[large], rank=rank[large])
     small = (per_row > 1) & ~large
     pivot, key, n, rank = (x[small] for x in (pivot, key, n, rank))
     n, rank = n.astype(np.int64), rank.astype(np.int64)
@@ -286,10 +295,8 @@ def _regions(percent: int, region: int):
 
 
 def _sets(width: int):
-    """Set and sketch of each document whose text gives the digest that it was chosen for, once."""
-    schema = pa.schema(
-        [("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("sketch", pa.binary())]
-    )
+    """Set of each document whose text gives the digest that it was chosen for, once."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -300,7 +307,7 @@ def _sets(width: int):
                 for node, digest, grams in zip(nodes, digests, sets_of(part.column("text"), width)):
                     if _digest(grams) == digest and (node, digest) not in seen:
                         seen.add((node, digest))
-                        rows.append((_short(digest), node, len(grams), grams.tobytes(), _sketch(grams).tobytes()))
+                        rows.append((_short(digest), node, grams.tobytes()))
                 if rows:
                     yield _rows(schema, **dict(zip(schema.names, zip(*rows))))
 
@@ -308,62 +315,116 @@ def _sets(width: int):
 
 
 def _sketch(grams: np.ndarray) -> np.ndarray:
-    """N-grams per class of hashes. Sketches differ by no more than the sets do."""
-    classes = (mix(grams) >> np.uint64(57)).astype(np.int64)
-    return np.minimum(np.bincount(classes, minlength=_CLASSES), 65535).astype(np.uint16)
+    """N-grams per class of hashes, up to 15, two classes a byte. Sketches differ by no more than the sets do.
 
+    Larger sets have more classes, so that unlike ones stay apart.
+    """
+    bits = min(_MOST, max(_FEWEST, (len(grams) - 1).bit_length() - _FILL))
+    classes = (mix(grams) >> np.uint64(64 - bits)).astype(np.int64)
+    counts = np.minimum(np.bincount(classes, minlength=1 << bits), 15).astype(np.uint8)
+    return counts[::2] | counts[1::2] << 4
 
-def _common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Sizes of the intersections of sets given as bytes."""
-    counts = []
-    for a, b in zip(left, right):
-        x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
-        at = np.searchsorted(y, x)
-        counts.append(int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)))
-    return pa.array(counts, type=pa.int64())
+
+def _folded(sketches: pa.Array, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Sketches as rows of ``2 * size`` classes; ``sizes`` and ``size`` are in bytes.
+
+    Neighbouring classes of larger ones are added up, again to 15, as a smaller sketch would count them.
+    """
+    rows = np.zeros((len(sketches), 2 * size), dtype=np.int8)
+    for own in np.unique(sizes):
+        at = np.flatnonzero(sizes == own)
+        packed = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), dtype=np.uint8)
+        whole = np.stack([packed & 15, packed >> 4], axis=-1)
+        rows[at] = np.minimum(whole.reshape(len(at), 2 * size, own // size).sum(axis=2, dtype=np.int32), 15)
+    return rows
 
 
 def _apart(left: pa.Array, right: pa.Array) -> pa.Array:
     """By how much sketches differ."""
-    size = _CLASSES
-    a, b = (
-        np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint16).astype(np.int64).reshape(-1, size)
-        for v in (left, right)
-    )
-    return pa.array(np.abs(a - b).sum(axis=1))
+    sizes = [pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (left, right)]
+    smaller = np.minimum(*sizes)
+    apart = np.zeros(len(left), dtype=np.int64)
+    for size in np.unique(smaller):
+        at = np.flatnonzero(smaller == size)
+        for rows in np.array_split(at, len(at) * size // _CHUNK + 1):
+            a, b = (_folded(x.take(pa.array(rows)), s[rows], int(size)) for x, s in zip((left, right), sizes))
+            apart[rows] = np.abs(a - b).sum(axis=1)
+    return pa.array(apart)
+
 
+def _most_apart(total, percent: int):
+    """By how much the sets of two linked documents with ``total`` n-grams together can differ."""
+    return total - 2 * least_common(total, percent)
 
-def _sides(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
-    """Pairs of keys with node, size and one column of both documents.
+
+def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule out a link.
 
     Both sides grow with the corpus, so they meet by a sort-merge join at every size.
     """
-    for key, node in (("a", "u"), ("b", "v")):
-        side = sets.select(
-            F.col("key").alias(key), F.col("node").alias(node), F.col("n").alias(f"n_{node}"), F.col(value).alias(f"x_{node}")
-        )
+    for key in ("a", "b"):
+        side = sketches.select(F.col("key").alias(key), F.col("n").alias(f"n_{key}"), F.col("sketch").alias(f"x_{key}"))
         pairs = pairs.join(side.hint("merge"), key)
-    return pairs.withColumn("total", F.col("n_u") + F.col("n_v"))
+    total = F.col("n_a") + F.col("n_b")
+    most = total - 2 * F.ceil(F.lit(percent) * total / (100 + percent))
+    apart = F.arrow_udf(_apart, "long")
+    return pairs.where(apart("x_a", "x_b") <= most).select("a", "b").distinct()
 
 
-def _promising(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches do not rule out a link."""
-    most = F.col("total") - 2 * F.ceil(F.lit(percent) * F.col("total") / (100 + percent))
-    apart = F.arrow_udf(_apart, "long")
-    close = _sides(pairs.select("a", "b"), sets, "sketch").where(apart("x_u", "x_v") <= most)
-    return close.select("a", "b").distinct()
+def _sketch_forest(percent: int):
+    """Pairs of a block that no sketch rules out, as a forest of keys."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n", "ascending"), ("key", "ascending")]).combine_chunks()
+        key, n = (group.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+        sketches = group.column("sketch").combine_chunks()
+        sizes = pc.binary_length(sketches).to_numpy(zero_copy_only=False)
+        ends = np.searchsorted(percent * n, 100 * n, side="right")
+        parent = np.arange(len(key))
+        for size in np.unique(sizes):
+            # Those of this size meet the larger ones, folded alike.
+            first = int(np.searchsorted(sizes, size))
+            last = int(np.searchsorted(sizes, size, side="right"))
+            upto = int(ends[last - 1])
+            rows = _folded(sketches.slice(first, upto - first), sizes[first:upto], int(size))
+            for i in range(first, last):
+                other = i + 1 + np.flatnonzero(parent[i + 1 : ends[i]] != parent[i])
+                if len(other):
+                    apart = np.abs(rows[other - first] - rows[i - first]).sum(axis=1)
+                    near = other[apart <= _most_apart(n[other] + n[i], percent)]
+                    parent = unite(parent, np.full(len(near), i), near)
+        tied = np.flatnonzero(parent != np.arange(len(key)))
+        return pa.table({"a": key[tied], "b": key[parent[tied]]})
 
+    return run
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, u, v, n_common, n_union`` of pairs of keys; u and v are the nodes."""
-    count = F.arrow_udf(_common, "long")
-    both = _sides(pairs.select("a", "b"), sets, "grams")
-    counted = both.select("a", "b", "u", "v", "total", count("x_u", "x_v").alias("n_common"))
-    return counted.withColumn("n_union", F.col("total") - F.col("n_common")).drop("total")
 
+def _hot_candidates(hot: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: keys that connect what the pairs connect that meet in large regions and have like sketches.
 
-def _links(verified: DataFrame, percent: int) -> DataFrame:
-    return verified.where(100 * F.col("n_common") >= percent * F.col("n_union")).select("u", "v")
+    ``hot`` has ``pivot, key``. A region of more than a block is parted into bands of sizes, each with
+    the band below, as linked sizes lie in the same band or in neighbouring ones; all blocks of a band meet.
+    """
+    width = max(math.log(100 / percent), 1e-3) * (1 + 1e-9)
+    many = hot.groupBy("pivot").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    placed = hot.select("pivot", "key").join(many, "pivot")
+    groups = ["pivot", "band", "one", "two"]
+    small = placed.where(F.col("docs") <= SKETCHES)
+    small = small.withColumns({"band": F.lit(-1), "one": F.lit(0), "two": F.lit(0)}).select(*groups, "key")
+    band = F.floor(F.log("n") / F.lit(width)).cast("int")
+    large = placed.where(F.col("docs") > SKETCHES).join(sketches.select("key", "n").distinct().hint("merge"), "key")
+    large = large.select("pivot", "key", F.explode(F.array(band, band + 1)).alias("band"))
+    blocks = large.groupBy("pivot", "band").agg(F.ceil(F.count(F.lit(1)) / SKETCHES).cast("int").alias("blocks"))
+    large = large.join(blocks, ["pivot", "band"]).withColumns(
+        {
+            "own": F.pmod(F.xxhash64("key", "pivot"), "blocks").cast("int"),
+            "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+        }
+    )
+    large = large.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")}).select(*groups, "key")
+    # Sketches come last, so that they are shuffled to their groups alone.
+    rows = small.unionByName(large).join(sketches.hint("merge"), "key").select(*groups, "key", "n", "sketch")
+    return rows.groupBy(*groups).applyInArrow(_sketch_forest(percent), "a long, b long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -459,28 +520,50 @@ def _outside_forest(percent: int):
     return run
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: links that connect what the links within large regions connect.
+def _central(group: pa.Table) -> pa.Table:
+    """Of some documents of a cluster those that differ least from the others, by their sketches."""
+    group = group.sort_by("key")
+    sketches = group.column("sketch").combine_chunks()
+    sizes = pc.binary_length(sketches).to_numpy(zero_copy_only=False)
+    rows = _folded(sketches, sizes, int(sizes.min()))
+    apart = np.array([np.abs(rows - one).sum() for one in rows])
+    best = np.argsort(apart, kind="stable")[:CENTRES]
+    return pa.table(
+        {
+            "pivot": group.column("pivot").take(pa.array(best)),
+            "centre": pa.array(np.arange(len(best)), pa.int32()),
+            "key": group.column("key").take(pa.array(best)),
+        }
+    )
+
 
-    ``hot`` has ``pivot, key, n, rank``. Centres have the pivot at the front of their order, so they
-    hold few n-grams of their own. All groups are bounded in documents and n-grams.
+def _cluster_links(rows: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links that connect what the links within clusters connect.
+
+    ``rows`` has ``pivot, key, n, rank``, the pivot being the name of the cluster and the rank that of the
+    first pivot of a large region. Centres are chosen among the documents of low rank, which hold few
+    n-grams of their own. All groups are bounded in documents and n-grams.
     """
-    regions = hot.groupBy("pivot").agg(
+    regions = rows.groupBy("pivot").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks")
     )
-    number = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).cast("int").alias("centre")
-    centres = hot.groupBy("pivot", number).agg(F.min(F.struct("rank", "key"))["key"].alias("key"))
-    placed = hot.select("pivot", "key").join(regions, "pivot")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key", "pivot"), "blocks").cast("int"))
+    placed = rows.select("pivot", "key", "rank").join(regions, "pivot")
+    tried = F.struct(F.coalesce("rank", F.lit((1 << 31) - 1)).alias("rank"), "key")
+    tried = placed.where("blocks > 1").groupBy("pivot", F.pmod(F.xxhash64("key"), F.lit(TRIED))).agg(F.min(tried)["key"].alias("key"))
+    tried = tried.select("pivot", "key").join(sketches.select("key", "sketch").hint("merge"), "key")
+    centres = tried.groupBy("pivot").applyInArrow(_central, "pivot long, centre int, key long")
+    placed = placed.drop("rank").withColumn("block", F.pmod(F.xxhash64("key", "pivot"), "blocks").cast("int"))
     central = centres.join(regions, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.withColumn("centre", F.lit(CENTRES)).unionByName(central)
     found = sets.select("key", "node", "grams").hint("merge")
     met = met.join(found, "key").select("pivot", "block", "centre", "node", "grams")
-    first = materialise(met.groupBy("pivot", "block").applyInArrow(_block_forest(percent), _FOUND_DDL), "block-forests")
+    forests = met.groupBy("pivot", "block").applyInArrow(_block_forest(percent), _FOUND_DDL)
+    first = materialise(forests, "block-forests", free=True)
     out = first.where("node IS NOT NULL").select("pivot", F.col("block").alias("home"), "node")
     strays = materialise(
         out.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).join(regions, "pivot"),
         "outsider-counts",
+        free=True,
     )
     strays = strays.where("blocks > 1")
     outside = out.join(strays, "pivot").withColumns(
@@ -518,7 +601,10 @@ def near_components(
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     profile = materialise(
-        texts.mapInArrow(_profile(width), "doc_id long, n int, digest binary, key long, gram long, docs long"), "set-profile"
+        texts.mapInArrow(
+            _profile(width), "doc_id long, n int, digest binary, key long, sketch binary, gram long, docs long"
+        ),
+        "set-profile",
     )
     members = profile.where("digest IS NOT NULL").select("doc_id", "n", "digest", "key")
     nodes = materialise(
@@ -526,6 +612,7 @@ def near_components(
             F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("key").alias("key")
         ),
         "set-nodes",
+        free=True,
     )
     documents = members.count()
     often = (
@@ -550,26 +637,34 @@ def near_components(
     meetings = materialise(
         windows.repartition("pivot", "salt")
         .sortWithinPartitions("pivot", "salt", "n", "key")
-        .mapInArrow(_regions(percent, REGION), "a long, b long, total int, pivot long, key long, n int, rank int"),
+        .mapInArrow(_regions(percent, REGION), "a long, b long, total int, pivot long, key long, rank int"),
         "meetings",
+        free=True,
     )
     needed = F.least(F.lit(MEETINGS), F.ceil(F.lit(percent) * F.col("total") / (100 + percent)))
     pairs = meetings.where("a IS NOT NULL").groupBy("a", "b", "total").agg(F.count(F.lit(1)).alias("met"))
-    pairs = materialise(pairs.where(F.col("met") >= needed).select("a", "b").distinct(), "pairs")
-    hot = meetings.where("a IS NULL").select("pivot", "key", "n", "rank").dropDuplicates(["pivot", "key"])
-    hot = materialise(hot, "large-regions")
+    pairs = materialise(pairs.where(F.col("met") >= needed).select("a", "b").distinct(), "pairs", free=True)
+    hot = meetings.where("a IS NULL").groupBy("pivot", "key").agg(F.min("rank").alias("rank"))
+    hot = materialise(hot, "large-regions", free=True)
 
     keys = [pairs.select(F.col(c).alias("key")) for c in "ab"]
     wanted = keys[0].unionByName(keys[1]).unionByName(hot.select("key")).distinct()
-    chosen = nodes.join(wanted, "key").select("node", F.col("digest").alias("own_digest"))
+    sketches = profile.where("n > 0 AND doc_id IS NOT NULL").select("key", "n", "sketch")
+    sketches = materialise(sketches.join(wanted, "key", "left_semi").distinct(), "sketches", free=True)
+    candidates = _promising(pairs, sketches, percent).unionByName(_hot_candidates(hot, sketches, percent))
+    candidates = materialise(candidates, "candidates", free=True)
+    placed = clusters(candidates.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = placed.select(F.col("root").alias("pivot"), F.col("node").alias("key"))
+    ranks = hot.groupBy("key").agg(F.min("rank").alias("rank"))
+    placed = placed.join(sketches.select("key", "n").distinct(), "key").join(ranks, "key", "left")
+    placed = materialise(placed, "clusters", free=True)
+
+    chosen = nodes.join(placed.select("key").distinct(), "key").select("node", F.col("digest").alias("own_digest"))
     found = known.join(chosen.hint("merge"), F.col("doc_id") == F.col("node")).select(
         "node", "text", F.col("own_digest").alias("digest")
     )
-    sets = materialise(
-        found.mapInArrow(_sets(width), "key long, node long, n int, grams binary, sketch binary"), "sets"
-    )
-    links = _links(verify(_promising(pairs, sets, percent), sets), percent)
-    roots = components(links.unionByName(_hot_links(hot, sets, percent)))
+    sets = materialise(found.mapInArrow(_sets(width), "key long, node long, grams binary"), "sets", free=True)
+    roots = components(_cluster_links(placed, sets, sketches, percent))
     labelled = nodes.join(roots, "node", "left").select(
         F.col("digest").alias("own"), F.coalesce("root", "node").alias("root")
     )

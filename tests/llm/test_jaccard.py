@@ -1,11 +1,15 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shelfloom.llm import jaccard
 from shelfloom.llm.components import components
+from shelfloom.session import materialise
 from tests.llm.common import ascii_lower, documents, found, with_extra, words
 
 
@@ -91,6 +95,89 @@ def test_links_returned_grow_with_documents_not_pairs(spark, monkeypatch):
     assert found_links[1] < 5 * found_links[0]
 
 
+def near_copies(seed, copies, words=150):
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(500)}" for _ in range(words)]
+    texts = []
+    for i in range(copies):
+        own = list(base)
+        for _ in range(draw.randrange(5)):
+            own[draw.randrange(words)] = f"x{draw.randrange(9999)}"
+        texts.append((i, " ".join(own)))
+    return texts
+
+
+def test_a_set_goes_to_its_cluster_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION", 20)
+    sent, plain = spark.sparkContext.accumulator(0), jaccard._block_forest
+
+    def counted(percent):
+        run = plain(percent)
+
+        def add(group):
+            sent.add(group.num_rows)
+            return run(group)
+
+        return add
+
+    monkeypatch.setattr(jaccard, "_block_forest", counted)
+    # Copies of one text share many large regions; the others share only a line with each other.
+    draw = random.Random(4)
+    line = " ".join(f"line{k}" for k in range(60))
+    others = [(500 + i, f"{line} " + " ".join(f"y{draw.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    texts = near_copies(1, 300) + others
+    result = jaccard.near_components(documents(spark, texts))
+    assert found(result, *COLUMNS) == by_hand(texts)
+    assert 0 < sent.value < 400
+
+
+def test_regions_beyond_a_block_of_sketches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION", 4)
+    monkeypatch.setattr(jaccard, "SKETCHES", 9)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    texts = corpus(6, groups=8, copies=40) + [(5000 + i, t) for i, t in near_copies(2, 25, words=1500)]
+    for width, percent in ((4, 85), (2, 100)):
+        result = jaccard.near_components(documents(spark, texts), width=width, percent=percent)
+        assert found(result, *COLUMNS) == by_hand(texts, width, percent)
+
+
+def test_sketches_differ_no_more_than_sets():
+    draw = np.random.default_rng(3)
+    sets = []
+    for n in (1, 40, 900, 1024, 1025, 1200, 2100, 40_000):
+        grams = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        sets += [grams, grams[: max(1, n - n // 9)], np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))]
+    sketches = pa.array([jaccard._sketch(g).tobytes() for g in sets], pa.binary())
+    places = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    left, right = (sketches.take(pa.array([p[k] for p in places])) for k in (0, 1))
+    for (i, j), apart in zip(places, jaccard._apart(left, right).to_pylist()):
+        assert apart <= len(np.setxor1d(sets[i], sets[j])) and (i != j or apart == 0)
+    # Unlike sets are told apart at every size up to the largest sketch.
+    for k in range(3, len(sets), 3):
+        total = len(sets[k]) + len(sets[k + 2])
+        one, two = (sketches.slice(x, 1) for x in (k, k + 2))
+        assert jaccard._apart(one, two)[0].as_py() > jaccard._most_apart(total, 85)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        names = (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = files()
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = materialise(sums, "freed", free=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert kept.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_overlaps_of_all_pairs():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 9000, n).astype(np.uint64)) for n in (0, 5, 900, 7000, 8000)]
